@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,3 +50,27 @@ def text_or_empty(name: str = "text") -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it any number of times in ``body``, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write ``df`` as compressed Parquet to the shared folder and read it back.
+
+    Like ``cut``, for wide or large tables: columns are compressed, and readers take only those
+    they need. The folder keeps the files until ``drop_staged``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+_STAGED: list[str] = []
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what ``staged`` has written in this process; frames that read it end with it."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
