@@ -31,7 +31,7 @@ from folio.llm.common import small_batches, table
 CACHED_WORDS = 400_000
 
 # White space by Unicode's property of that name, as the tokenizer file's \s means it.
-SPACE = r"\t-\r\x20\x85\xa0  -     　"
+SPACE = "\\t-\\r\\x20\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def default_tokenizer() -> str:
