@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from folio.plans import intervals, reading  # noqa: F401
+    from folio.plans import intervals, reading, retrieval  # noqa: F401
 
 
 load()
