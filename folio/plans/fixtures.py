@@ -62,10 +62,10 @@ VIEWS: dict[str, tuple[str, str | None]] = {
         None,
     ),
     "summary_cards": (
-        "select l_orderkey as owner_id, l_linenumber as card_id, concat(l_returnflag, l_linestatus) as content, cast(l_linenumber * 100 as bigint) as start, "
-        "cast(l_linenumber * 100 + 99 as bigint) as end, l_shipdate as created_at from {lineitem}",
-        "select l_orderkey as owner_id, l_linenumber as card_id, concat(l_returnflag, l_linestatus) as content, cast(l_linenumber * 100 as bigint) as start, "
-        'cast(l_linenumber * 100 + 99 as bigint) as "end", l_shipdate as created_at from {lineitem}',
+        "select o_custkey as owner_id, o_orderkey as card_id, concat(o_orderstatus, ' ', o_orderpriority) as content, o_orderkey % 50 * 100 as start, "
+        "o_orderkey % 50 * 100 + 99 as end, o_orderdate as created_at from {orders}",
+        "select o_custkey as owner_id, o_orderkey as card_id, concat(o_orderstatus, ' ', o_orderpriority) as content, o_orderkey % 50 * 100 as start, "
+        'o_orderkey % 50 * 100 + 99 as "end", o_orderdate as created_at from {orders}',
     ),
     "quiz_answers": ("select l_orderkey as session_id, l_linenumber as question_id, l_suppkey % 4 as answer, l_partkey % 4 as correct from {lineitem}", None),
     "lore_entries": (
