@@ -243,3 +243,100 @@ def image_mime(content: Column) -> Column:
         .when(h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250"), "image/webp")
         .when(h.startswith("424D"), "image/bmp")
     )
+
+
+# ---- headings that say the same ------------------------------------------------------------------
+
+#: Number words, Roman letters and Chinese numerals.
+_WORDS = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split())} | {
+    w: 10 * i for i, w in enumerate("twenty thirty forty fifty sixty seventy eighty ninety".split(), 2)
+}
+_SCALES = {"hundred": 100, "thousand": 1000}
+_ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+_HAN_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+_HAN_UNITS = {"十": 10, "百": 100, "千": 1000}
+_HAN_SCALES = {"万": 10**4, "亿": 10**8}
+_HAN = "零〇一二两三四五六七八九十百千万亿0-9"
+
+
+def _lookup(key: Column, table: dict[str, int]) -> Column:
+    """The value of ``key`` or null, by a chain of comparisons that stays in generated code."""
+    found = None
+    for k, v in table.items():
+        found = F.when(key == k, F.lit(v).cast("long")) if found is None else found.when(key == k, F.lit(v).cast("long"))
+    return found
+
+
+def _han_value(text: Column) -> Column:
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    start = F.struct(zero.alias("total"), zero.alias("part"), none.alias("digit"))
+
+    def step(s: Column, c: Column) -> Column:
+        digit, unit, scale = (_lookup(c, t) for t in (_HAN_DIGITS, _HAN_UNITS, _HAN_SCALES))
+        whole = s["part"] + F.coalesce(s["digit"], zero)
+        scaled = F.when(whole == 0, F.lit(1).cast("long")).otherwise(whole) * scale
+        return (
+            F.when(digit.isNotNull(), F.struct(s["total"].alias("total"), s["part"].alias("part"), digit.alias("digit")))
+            .when(unit.isNotNull(), F.struct(s["total"].alias("total"), (s["part"] + F.coalesce(s["digit"], F.lit(1).cast("long")) * unit).alias("part"), none.alias("digit")))
+            .otherwise(F.struct((s["total"] + F.coalesce(scaled, zero)).alias("total"), zero.alias("part"), none.alias("digit")))
+        )
+
+    folded = F.aggregate(F.split(text, ""), start, step, lambda s: s["total"] + s["part"] + F.coalesce(s["digit"], zero))
+    plain = text.rlike("^[0-9]+$")
+    # Digits mixed with numerals are not a number.
+    return F.when(plain, text.try_cast("long")).when(text.rlike(f"^[{_HAN.replace('0-9', '')}]+$"), folded)
+
+
+def _han_token(t: Column) -> Column:
+    number, unit = f"([{_HAN}]+)", "([章节回卷部篇集幕])"
+    prefixed, suffixed = f"^第{number}{unit}?$", f"^{number}{unit}$"
+    a, b, c = _han_value(F.regexp_extract(t, prefixed, 1)), _han_value(F.regexp_extract(t, suffixed, 1)), _han_value(t)
+    return (
+        F.when(t.rlike(prefixed) & a.isNotNull(), F.concat(F.lit("第"), a.cast("string"), F.regexp_extract(t, prefixed, 2)))
+        .when(t.rlike(suffixed) & b.isNotNull(), F.concat(b.cast("string"), F.regexp_extract(t, suffixed, 2)))
+        .when(c.isNotNull(), c.cast("string"))
+        .otherwise(t)
+    )
+
+
+def _roman_token(t: Column) -> Column:
+    valid = t.rlike("^(?=.)m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$")
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("last"))
+
+    def step(s: Column, c: Column) -> Column:  # from the right: smaller than the one after it counts down
+        v = F.coalesce(_lookup(c, _ROMAN), F.lit(0).cast("long"))
+        return F.struct((s["sum"] + F.when(v < s["last"], -v).otherwise(v)).alias("sum"), v.alias("last"))
+
+    value = F.aggregate(F.reverse(F.split(t, "")), start, step, lambda s: s["sum"])
+    return F.when(valid, value.cast("string")).otherwise(t)
+
+
+def heading_key(text: Column) -> Column:
+    """A form of a heading in which numbers in words, Roman and Chinese numerals are digits.
+
+    ``and`` inside a number goes, on its own it stays; ``hundred`` on its own is 100.
+    """
+    plain = F.regexp_replace(F.lower(F.regexp_replace(text, r"^\x{FEFF}", "")), r"[\x{2010}-\x{2015}\x{3000}]", " ")
+    plain = compact(F.regexp_replace(plain, r"""[()\[\]{},.;:!?`~"'\x{2018}\x{2019}\\/|<>+=*^%$#@&_-]+""", " "))
+    tokens = F.transform(F.filter(F.split(plain, " "), lambda t: t != ""), lambda t: _roman_token(_han_token(t)))
+    zero = F.lit(0).cast("long")
+    words = F.array().cast("array<string>")
+
+    def state(out: Column, now: Column, total: Column, has: Column, ands: Column) -> Column:
+        return F.struct(out.alias("out"), now.alias("now"), total.alias("total"), has.alias("has"), ands.alias("ands"))
+
+    def flush(s: Column) -> Column:
+        return F.concat(s["out"], F.when(s["has"], F.array((s["total"] + s["now"]).cast("string"))).otherwise(F.array_repeat(F.lit("and"), s["ands"])))
+
+    def step(s: Column, t: Column) -> Column:
+        value, scale = _lookup(t, _WORDS), _lookup(t, _SCALES)
+        scaled = F.when(s["now"] == 0, F.lit(1).cast("long")).otherwise(s["now"]) * scale
+        return (
+            F.when(t == "and", state(s["out"], s["now"], s["total"], s["has"], s["ands"] + 1))
+            .when(value.isNotNull(), state(s["out"], s["now"] + value, s["total"], F.lit(True), s["ands"]))
+            .when(scale == 100, state(s["out"], scaled, s["total"], F.lit(True), s["ands"]))
+            .when(scale == 1000, state(s["out"], zero, s["total"] + scaled, F.lit(True), s["ands"]))
+            .otherwise(state(F.concat(flush(s), F.array(t)), zero, zero, F.lit(False), F.lit(0)))
+        )
+
+    return F.array_join(F.aggregate(tokens, state(words, zero, zero, F.lit(False), F.lit(0)), step, flush), " ")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import cosine, fnv1a32_value, keyword_boost, query_terms, sanitize
+from folio.operators.staging import cut
 
 BOOST = 0.08
 TOP_K = 5
@@ -172,14 +173,15 @@ def refresh_index(books: DataFrame, chapters: DataFrame, chunks: DataFrame, meta
     """
     from folio.operators.intervals import chapter_offsets
 
-    signed = content_signature(chapters)
+    signed = cut(content_signature(chapters))
     totals = chapter_offsets(chapters).groupBy("book_id").agg(F.max("clean_total").alias("_total"))
     wanted = books.select("book_id", "target").join(totals, "book_id").select("book_id", F.least("target", "_total").alias("target")).join(signed, "book_id")
     todo = needs_index(wanted, meta).where("needs_index")
     old = meta.select("book_id", "chunk_count", "indexed_up_to", F.col("content_signature").alias("_old"))
     state = todo.join(old, "book_id", "left").withColumn("_rebuild", F.coalesce(F.col("chunk_count") <= 0, F.lit(True)) | ~F.col("_old").eqNullSafe(F.col("content_signature")))
+    state = cut(state)
     bounds = state.select("book_id", F.when(F.col("_rebuild"), F.lit(0)).otherwise(F.col("indexed_up_to")).cast("long").alias("min_offset"), F.col("target").cast("long").alias("max_offset"))
-    fresh = chunker(chapters.join(bounds.select("book_id"), "book_id", "left_semi"), bounds)
+    fresh = cut(chunker(chapters.join(bounds.select("book_id"), "book_id", "left_semi"), bounds))
     kept = chunks.join(state.where("_rebuild").select("book_id"), "book_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
     merged = kept.unionByName(fresh, allowMissingColumns=True)
     new_meta = build_index_meta(merged.join(bounds.select("book_id"), "book_id", "left_semi"), signed, bounds.select("book_id", F.col("max_offset").alias("target")))
