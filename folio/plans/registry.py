@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from folio.plans import chat, intervals, library, reading, retrieval, streams, texts  # noqa: F401
+    from folio.plans import chat, intervals, library, reading, records, retrieval, streams, texts  # noqa: F401
 
 
 load()
