@@ -1,20 +1,21 @@
 """Substring dedup: words in windows that occur again anywhere are removed.
 
-Every window of ``WINDOW`` words gets a Rabin-Karp hash (two rolling polynomials, 128 bits).
-Shipping all windows would move several times the corpus, so they are counted in runs:
+Every window of ``WINDOW`` words gets a Rabin-Karp hash (rolling polynomials). Shipping all
+windows would move several times the corpus, so they are counted in runs:
 
 1. The anchor of a window is the least hash of its ``GRAM``-word grams. Equal windows have
    equal anchors, and neighbouring windows mostly share one, so a text falls into runs of
-   windows with one anchor, about one for 14 windows. Spark counts equal runs by anchor and by
-   the run's own Rabin-Karp hash, partial sums first: the windows of a run that occurs
-   twice all occur twice.
+   windows with one anchor, about one for 16 windows. Runs whose anchor occurs once in the
+   corpus hold no repeat and are dropped. The others are counted by anchor and by the run's
+   own Rabin-Karp hash, partial sums first: the windows of a run that occurs twice all
+   occur twice.
 2. Two unequal runs can share windows only if they share an anchor. So for anchors that have
    several distinct runs, and for these alone, each distinct run's windows are hashed
    one by one and counted, again partial sums first.
 3. Windows that occur twice in one text are found in that text.
 
 Each count is of every window that could be equal, so no repeat is lost; repeated windows
-merge to maximal intervals, which are cut out of the text.
+merge to maximal intervals, which are cut out of the text. Texts are shuffled compressed.
 """
 
 from __future__ import annotations
@@ -22,17 +23,21 @@ from __future__ import annotations
 import hashlib
 import sys
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, small_batches, table
+from folio.llm.common import small_batches, staged, table
 
 WINDOW = 35
 GRAM = 8
+#: Words of the texts that are hashed at once.
+TOGETHER = 200_000
 
 _U = np.uint64
 #: Odd multipliers of the two polynomials (fixed values).
@@ -89,94 +94,153 @@ def least(values: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(values[: len(values) - over], values[over:]) if over else values
 
 
-def runs(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchor, first window, number of windows and two content hashes of each run."""
-    anchors = least(rolling(words, gram, _BASES[0]), window - gram + 1)
-    at = np.r_[0, np.flatnonzero(anchors[1:] != anchors[:-1]) + 1]
-    count = np.diff(np.r_[at, len(anchors)])
-    # A run's content is words[at : at + count + window - 1], of any length: prefix sums.
-    places = np.arange(len(words))
-    hashes = []
-    for base in _BASES:
-        powers = np.cumprod(np.r_[_U(1), np.full(len(words), base)])
-        back = np.cumprod(np.r_[_U(1), np.full(len(words), _U(pow(int(base), -1, 1 << 64)))])
-        sums = np.r_[_U(0), np.cumsum(words * powers[places])]
-        hashes.append(_mix((sums[at + count + window - 1] - sums[at]) * back[at] + count.astype(np.uint64)))
-    return anchors[at], at, count, hashes[0], hashes[1]
+def intervals(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places as intervals: first place and length."""
+    cuts = np.flatnonzero(np.diff(places) != 1) + 1
+    first = places[np.r_[0, cuts]]
+    return first, np.diff(np.r_[0, cuts, len(places)])
+
+
+class Runs:
+    """Runs and own repeats of many texts at once, laid end to end."""
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, window: int, gram: int):
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.start = np.r_[0, np.cumsum(sizes)[:-1]]
+        last = len(words) - window + 1
+        inside = self.doc[:last] == self.doc[window - 1 :]
+        anchors = least(rolling(words, gram, _BASES[0]), window - gram + 1)
+        new = np.r_[True, (anchors[1:] != anchors[:-1]) | (self.doc[1:last] != self.doc[: last - 1]) | (inside[1:] != inside[:-1])]
+        at = np.flatnonzero(new)
+        n = np.diff(np.r_[at, last])
+        at, n = at[inside[at]], n[inside[at]]
+        self.anchor, self.n = anchors[at], n
+        # A run's content is words[at : at + n + window - 1], of any length: prefix sums.
+        powers = np.cumprod(np.r_[_U(1), np.full(len(words), _BASES[1])])
+        back = np.cumprod(np.r_[_U(1), np.full(len(words), _U(pow(int(_BASES[1]), -1, 1 << 64)))])
+        sums = np.r_[_U(0), np.cumsum(words * powers[:-1])]
+        self.hash = _mix((sums[at + n + window - 1] - sums[at]) * back[at] + n.astype(np.uint64))
+        self.which, self.at = self.doc[at], at - self.start[self.doc[at]]
+        # Windows that stand twice in their own text.
+        own = rolling(words, window, _BASES[1]) + self.doc[:last].astype(np.uint64) * _BASES[0]
+        every = np.flatnonzero(inside)
+        order = every[np.argsort(own[every])]
+        same = own[order][1:] == own[order][:-1]
+        twice = np.unique(np.r_[order[1:][same], order[:-1][same]])
+        self.own_at, self.own_n = intervals(twice) if len(twice) else (twice, twice)
+        self.own_which = self.doc[self.own_at]
+        self.own_at = self.own_at - self.start[self.own_which]
 
 
 def _longs(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def _ints(x: np.ndarray) -> pa.Array:
+    return pa.array(x.astype(np.int32))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """A row is known by its doc_id and its text's hash, so that repeated ids do no harm."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
 
 
 def window_runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
+    """A row for each run; rows without an anchor are intervals of windows that repeat in their own text."""
+
+    def flush(texts: list[list[bytes]], docs: list, hashes: list) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts])
+        r = Runs(word_hashes([w for t in texts for w in t]), sizes, window, gram)
+        which = np.r_[r.which, r.own_which]
+        blank = np.r_[np.zeros(len(r.which), bool), np.ones(len(r.own_which), bool)]
+        pad = np.zeros(len(r.own_which), dtype=np.uint64)
+        rows = pa.array(which)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.r_[r.anchor, pad].view(np.int64), mask=blank),
+                pa.array(np.r_[r.hash, pad].view(np.int64), mask=blank),
+                pa.array(docs, pa.int64()).take(rows),
+                pa.array(hashes, pa.int32()).take(rows),
+                _ints(np.r_[r.at, r.own_at]),
+                _ints(np.r_[r.n, r.own_n]),
+            ],
+            names=["anchor", "h", "doc_id", "th", "at", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, docs, hashes, held = [], [], [], 0
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            found, which = [], []
-            for i, t in enumerate(texts):
+            for doc, th, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True):
                 words = t.split()
                 if len(words) >= window:
-                    found.append(runs(word_hashes(words), window, gram))
-                    which.append(np.full(len(found[-1][0]), i))
-            if found:
-                anchor, at, count, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
-                rows = pa.array(np.concatenate(which))
-                yield pa.RecordBatch.from_arrays(
-                    [_longs(anchor), _longs(h1), _longs(h2), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["anchor", "h1", "h2", "doc_id", "th", "at", "n"],
-                )
+                    texts.append(words)
+                    docs.append(doc)
+                    hashes.append(th)
+                    held += len(words)
+                    if held >= TOGETHER:
+                        yield flush(texts, docs, hashes)
+                        texts, docs, hashes, held = [], [], [], 0
+        if texts:
+            yield flush(texts, docs, hashes)
+
+    return keyed.mapInArrow(run, "anchor long, h long, doc_id long, th int, at int, n int")
 
-    return keyed.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, th long, at int, n int")
 
+def _packed(keyed: DataFrame) -> DataFrame:
+    """The texts as zstd blobs, for shuffles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(t) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "th", "z"])
+
+    return keyed.mapInArrow(run, "doc_id long, th int, z binary")
 
-def requested_windows(keyed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+
+def requested_windows(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """The windows, hashed one by one, of the runs in ``wanted`` (doc_id, th, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for t, doc, th, spans in zip(batch.column(0).cast(pa.binary()).to_pylist(), *(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                words = word_hashes(t.split())
-                h1, h2 = (rolling(words, window, b) for b in _BASES)
+            for z, doc, th, spans in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                words = word_hashes(unpack(z).split())
+                w1, w2 = (rolling(words, window, b) for b in _BASES)
                 at = np.concatenate([np.arange(s["at"], s["at"] + s["n"]) for s in spans])
                 once = np.concatenate([np.full(s["n"], s["once"]) for s in spans])
                 for lo in range(0, len(at), 50_000):
                     own = at[lo : lo + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [_longs(h1[own]), _longs(h2[own]), pa.array([doc] * len(own), pa.int64()), pa.array([th] * len(own), pa.int64()), pa.array(own.astype(np.int32)), pa.array(once[lo : lo + 50_000])],
+                        [_longs(w1[own]), _ints((w2[own] >> _U(32)).view(np.int64)), pa.array([doc] * len(own), pa.int64()), pa.array([th] * len(own), pa.int32()), _ints(own), pa.array(once[lo : lo + 50_000])],
                         names=["w1", "w2", "doc_id", "th", "at", "once"],
                     )
 
-    same = keyed["doc_id"].eqNullSafe(wanted["doc_id"]) & (keyed["th"] == wanted["th"])
-    rows = keyed.join(wanted, same).select("text", keyed["doc_id"], keyed["th"], "spans")
-    return rows.mapInArrow(run, "w1 long, w2 long, doc_id long, th long, at int, once boolean")
+    same = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["th"] == wanted["th"])
+    rows = packed.join(wanted, same).select("z", packed["doc_id"], packed["th"], "spans")
+    return rows.mapInArrow(run, "w1 long, w2 int, doc_id long, th int, at int, once boolean")
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(doc_id, th, spans)``: for each text, runs of windows that occur elsewhere, (first, count)."""
-    keyed = _keyed(docs)
-    every = cut(window_runs(keyed, window, gram))
-    distinct = cut(
-        every.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "th", "at", "n")).alias("one"))
-    )
+def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """``(doc_id, th, spans)``: for each text, intervals of windows that occur elsewhere, (at, n)."""
+    every = staged(window_runs(keyed, window, gram))
+    own = every.where("anchor is null").select("doc_id", "th", "at", "n")
+    often = every.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
+    near = staged(every.join(often, "anchor", "left_semi"))
+    one = [F.first(c).alias(c) for c in ("doc_id", "th", "at", "n")]
+    distinct = staged(near.groupBy("anchor", "h").agg(F.count("*").alias("copies"), *one))
     # Anchors under which some run stands alone beside another one: only there can a window be shared by unequal runs.
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
-    asked = distinct.join(shared.select("anchor"), "anchor").select("one.*", (F.col("copies") == 1).alias("once"))
+    asked = distinct.join(shared.select("anchor"), "anchor", "left_semi")
     # What is gathered here is one text's own runs.
-    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("at", "n", "once")).alias("spans"))
-    windows = cut(requested_windows(keyed, wanted, window))
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
-    single = windows.where("once").join(again, ["w1", "w2"]).select("doc_id", "th", "at", F.lit(1).alias("n"))
-    whole = every.join(distinct.where("copies > 1").select("anchor", "h1", "h2"), ["anchor", "h1", "h2"], "left_semi").select("doc_id", "th", "at", "n")
-    return whole.union(single).groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
-
-
+    span = F.struct("at", "n", (F.col("copies") == 1).alias("once"))
+    wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(span).alias("spans"))
+    windows = staged(requested_windows(_packed(keyed), wanted, window))
+    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
+    single = windows.where("once").join(again, ["w1", "w2"], "left_semi").select("doc_id", "th", "at", F.lit(1).alias("n"))
+    copied = distinct.where("copies > 1").select("anchor", "h")
+    whole = near.join(copied, ["anchor", "h"], "left_semi").select("doc_id", "th", "at", "n")
+    return whole.union(single).union(own).groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 SCHEMA = "doc_id long, n_words long, n_removed long, kept string"
@@ -190,34 +254,30 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     of a window's length or more lose all their words. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
-    keyed, spans = _keyed(docs), repeated_spans(docs, window, gram)
+    keyed = _keyed(docs)
+    spans = repeated_spans(keyed, window, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for t, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                words = t.split()
-                starts = np.zeros(len(words) + 1, dtype=np.int64)
-                for s in spans or ():
-                    starts[s["at"]] += 1
-                    starts[s["at"] + s["n"]] -= 1
-                hit = np.cumsum(starts[:-1]) > 0
-                if len(words) > window:
-                    own = rolling(word_hashes(words), window, _BASES[0])
-                    _, back, times = np.unique(own, return_inverse=True, return_counts=True)
-                    hit[: len(own)] |= times[back] > 1
-                at = np.flatnonzero(hit)
-                edges = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(edges, at, 1)
-                np.add.at(edges, np.minimum(at + window, len(words)), -1)
-                gone = np.cumsum(edges[:-1]) > 0
-                kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]) if len(at) else b" ".join(words)
-                out.append((len(words), int(gone.sum()), kept))
-            n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
+            n, removed, kept = [], [], []
+            for z, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                words = unpack(z).split()
+                n.append(len(words))
+                if found:
+                    edges = np.zeros(len(words) + 1, dtype=np.int64)
+                    at = np.array([s["at"] for s in found])
+                    np.add.at(edges, at, 1)
+                    np.add.at(edges, at + np.array([s["n"] for s in found]) + window - 1, -1)
+                    stay = np.cumsum(edges[:-1]) == 0
+                    words = list(compress(words, stay.tolist()))
+                removed.append(n[-1] - len(words))
+                kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    same = keyed["doc_id"].eqNullSafe(spans["doc_id"]) & (keyed["th"] == spans["th"])
-    return keyed.join(spans, same, "left").select(keyed["doc_id"], "text", "spans").mapInArrow(run, SCHEMA)
+    packed = _packed(keyed)
+    same = packed["doc_id"].eqNullSafe(spans["doc_id"]) & (packed["th"] == spans["th"])
+    return packed.join(spans, same, "left").select(packed["doc_id"], "z", "spans").mapInArrow(run, SCHEMA)
 
 
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
