@@ -12,6 +12,7 @@ is the templates' own size, whatever the corpus.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def _phrase_columns(words: Column, joined: Column) -> dict[str, Column]:
 def _rows(docs: DataFrame) -> DataFrame:
     """A row is known by its doc_id and its text's hash; equal rows have equal results."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lower(text).alias("low"), words_of(text).alias("words"))
 
 
 def word_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -97,7 +98,9 @@ def template_matches(rows: DataFrame, templates=TEMPLATES, threshold: float = TH
     keys = [r["word"] for r in index.select("word").distinct().collect()]
     fewest = index.agg(F.min("need")).first()[0]
     ranked, starts = F.lit(order), F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - BLOCK // 2, F.lit(0)), F.lit(BLOCK // 2))
-    likely = rows.where(F.arrays_overlap(F.lit(keys), F.col("words")))
+    # A prefix word stands in the text as it is, so texts without any need not be cut into words.
+    somewhere = reduce(lambda a, b: a | b, [F.contains("low", F.lit(k)) for k in keys])
+    likely = rows.where(somewhere & F.arrays_overlap(F.lit(keys), F.col("words")))
     blocks = likely.select(
         "doc_id", "th", F.explode(F.transform(starts, lambda i: F.array_intersect(ranked, F.slice(F.col("words"), i + 1, BLOCK)))).alias("block")
     ).where(F.size("block") >= fewest)
