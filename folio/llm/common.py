@@ -47,6 +47,11 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def wrapped(docs: DataFrame, *names: str) -> DataFrame:
+    """``names`` of ``docs`` beside the whole row as ``_row``, so that no other column's name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *names)
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it any number of times in ``body``, also inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import shared_dir, table, text_or_empty
+from folio.llm.common import shared_dir, table, text_or_empty, wrapped
 
 #: Buckets of the index: a file each. About one for 2 GB of index at the size to come.
 BUCKETS = 16
@@ -69,12 +69,11 @@ def exact_groups(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def keep_unique(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The documents of which ``exact_groups`` says that they stay; columns unchanged."""
-    names = docs.columns
     index.append(_counted(docs).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")))
-    keepers = index.rows().select("digest", F.col("keep_id").alias("_keep_id"))
-    marked = docs.withColumn("_digest", digest(text_or_empty()))
-    same = (F.col("_digest") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("_keep_id"))
-    return marked.join(keepers.hint("merge"), same, "left_semi").dropDuplicates(["_digest", "doc_id"]).select(*names)
+    keepers = index.rows().select(F.col("digest").alias("_index_digest"), F.col("keep_id").alias("_keep_id"))
+    marked = wrapped(docs, "doc_id", "text").select("_row", F.col("doc_id").cast("long").alias("_doc_id"), digest(text_or_empty()).alias("_digest"))
+    same = (F.col("_digest") == F.col("_index_digest")) & F.col("_doc_id").eqNullSafe(F.col("_keep_id"))
+    return marked.join(keepers.hint("merge"), same, "left_semi").dropDuplicates(["_digest", "_doc_id"]).select("_row.*")
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

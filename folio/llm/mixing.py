@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, cut, table, text_or_empty
+from folio.llm.common import WORD, cut, table, text_or_empty, wrapped
 
 #: Weights of the sources by code point, repeating; all targets' share of all sizes; epochs at most.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -116,11 +116,10 @@ def mix_sizes(docs: DataFrame) -> DataFrame:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as many times as it is taken; columns unchanged."""
-    names = docs.columns
-    measured = _measured(docs)
+    measured = _measured(wrapped(docs, "doc_id", "text", "source"))
     plan = mixing_plan(cut(measured.select("_source", "_size", "_key")))
     mixed = _with_copies(measured, plan).where("_copies > 0")
-    return mixed.select(*names, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select(*names)
+    return mixed.select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select("_row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, cut, let, table, text_or_empty
+from folio.llm.common import WORD, cut, let, table, text_or_empty, wrapped
 
 REPEAT_WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -211,14 +211,17 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_base_failed`` and ``_kept``; every row has both, blank texts fail the base."""
+    """``docs`` with ``_base_failed`` and ``_kept``; every row has both, blank texts fail the base.
+
+    Columns of ``docs`` that have the name of a count or statistic are replaced.
+    """
     rules = learn(docs, labels)
     return measured(docs).withColumn("_base_failed", base_failed()).withColumn("_kept", ~F.col("_base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are kept; columns unchanged."""
-    return judge(docs, labels).where("_kept").select(*docs.columns)
+    return judge(wrapped(docs, "doc_id", "text"), labels).where("_kept").select("_row.*")
 
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

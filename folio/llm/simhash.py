@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, small_batches, table
+from folio.llm.common import cut, small_batches, table, wrapped
 from folio.llm.components import connected_components
 
 SHINGLE = 3
@@ -243,7 +243,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = near_groups(docs.select("doc_id", "text"))
     first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")), "left_semi")
+    return wrapped(docs, "doc_id").join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")), "left_semi").select("_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
