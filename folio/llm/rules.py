@@ -21,7 +21,7 @@ SYMBOLS = r"[#*$%&|<>]"
 
 #: Labelled rows that rules are learned from at most (a hash sample of them beyond that).
 LABELLED_ROWS = 20_000
-THRESHOLDS = 24
+THRESHOLDS = 40
 RULES, CONDITIONS = 8, 3
 #: Share of rejects among the pruning rows that a rule covers, and how many it has to cover.
 PRECISION, COVERS = 0.9, 5
@@ -84,7 +84,8 @@ def measured(docs: DataFrame) -> DataFrame:
         "_s_symbol_rate": F.col("_n_symbols") / per_word,
         "_s_repeat_rate": F.col("_n_repeat_words") / per_word,
         "_s_dup_line_rate": F.col("_n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-        "_s_distinct_rate": F.col("_n_distinct") / per_word,
+        # Of the logarithms, as long texts repeat words without harm.
+        "_s_distinct_rate": F.log1p("_n_distinct") / F.log1p(per_word),
         "_s_capital_rate": F.col("_n_capitals") / F.greatest(F.col("_word_chars"), F.lit(1)),
         "_s_mark_rate": F.col("_n_marks") / per_word,
     }
@@ -155,10 +156,12 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list
     # The sample is bounded by a parameter, so it may be broadcast; the texts stay where they are.
     stats = [f"_s_{s}" for s in STATISTICS]
     base = cut(measured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("doc_id", "bad", *stats).coalesce(4))
-    cuts = base.agg(*[F.percentile_approx(s, [i / THRESHOLDS for i in range(1, THRESHOLDS)], 10_000).alias(s) for s in stats]).first()
+    cuts = base.agg(*[F.percentile_approx(s, [i / THRESHOLDS for i in range(THRESHOLDS + 1)], 10_000).alias(s) for s in stats]).first()
     if cuts is None or cuts[0] is None:
         return []
-    edges = {s: sorted(set(cuts[f"_s_{s}"])) for s in STATISTICS}
+    # Thresholds stand midway between neighbouring quantiles, so that a rule keeps a distance to either side.
+    seen = {s: sorted(set(cuts[f"_s_{s}"])) for s in STATISTICS}
+    edges = {s: [(a + b) / 2 for a, b in zip(v, v[1:], strict=False)] for s, v in seen.items()}
     place = lambda s: sum([(F.col(f"_s_{s}") > e).cast("int") for e in edges[s]], F.lit(0))
     pruning = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3)) == 0
     binned = cut(base.select("bad", pruning.alias("pruning"), *[place(s).alias(f"b_{s}") for s in STATISTICS]))
@@ -184,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list
             break
         prefixes = [grown[: i + 1] for i in range(len(grown))]
         sums = [F.sum(F.when(_all([c.binned() for c in p]) & (F.col("bad") == y), 1).otherwise(0)) for p in prefixes for y in (0, 1)]
-        seen = binned.where(left & F.col("pruning")).agg(*[x.alias(f"c{i}") for i, x in enumerate(sums)]).first()
-        scored = [((seen[2 * i + 1] or 0), (seen[2 * i] or 0), p) for i, p in enumerate(prefixes)]
+        tried = binned.where(left & F.col("pruning")).agg(*[x.alias(f"c{i}") for i, x in enumerate(sums)]).first()
+        scored = [((tried[2 * i + 1] or 0), (tried[2 * i] or 0), p) for i, p in enumerate(prefixes)]
         worth = [((bad - good) / (bad + good), -len(p), bad / (bad + good), p) for bad, good, p in scored if bad >= COVERS]
         if not worth:
             break
