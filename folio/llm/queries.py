@@ -15,4 +15,4 @@ QUERIES = {
     "op10_exact": exact.op10_exact,
 }
 
-ORACLE = {**exact.ORACLE, **urls.ORACLE}
+ORACLE = {**exact.ORACLE, **substring.ORACLE, **urls.ORACLE}

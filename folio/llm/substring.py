@@ -302,3 +302,19 @@ def brute_force(texts: list[str | None], window: int = WINDOW) -> list[tuple[int
         kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g)
         out.append((len(words), sum(gone), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+ORACLE = {
+    "op3_substring": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        k AS (SELECT doc_id, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS words
+              FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 2}, 1))) AS i FROM w)),
+        again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY words) AS n FROM k) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM again),
+        every AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+        kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.p) AS t FROM every e
+                 LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.p = e.p WHERE g.p IS NULL GROUP BY e.doc_id)
+        SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+    """
+}
