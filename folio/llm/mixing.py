@@ -23,6 +23,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 EPOCHS = 2
 BUCKETS = 65_536
+#: Rows of the plan (one for each source) that may be broadcast; beyond it the documents are shuffled by source.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -98,7 +100,9 @@ def mixing_plan(measured: DataFrame) -> DataFrame:
 def _with_copies(measured: DataFrame, plan: DataFrame) -> DataFrame:
     bucket = _bucket()
     more = (bucket < F.col("last_bucket")) | ((bucket == F.col("last_bucket")) & (F.col("_key") <= F.col("edge_key")))
-    joined = measured.join(plan, F.col("_source").eqNullSafe(F.col("s")))
+    plan = cut(plan)
+    small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    joined = measured.join(F.broadcast(plan) if small else plan, F.col("_source").eqNullSafe(F.col("s")))
     return joined.withColumn("_copies", F.least(F.col("epochs") + more.cast("int"), F.lit(EPOCHS)))
 
 
