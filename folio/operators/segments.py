@@ -237,7 +237,8 @@ def _apart(c: str) -> str:
 _CLAUSES = "|".join([f"(?:[—–―－]|{_HYPHEN})+", _apart(","), _apart("，"), _apart(":"), _apart("："), "、+", ";+", "；+", r"\r+", r"\n+"])
 _CLOSERS = "[\"'”’)\\]}）】》」』〕〗〉〙〛]*"
 #: Up to a boundary with its closers and blanks, or the rest.
-SENTENCE = f"(?s)(.*?(?:{_ENDS}|{_CLAUSES}){_CLOSERS}(?:(?![\\r\\n]){WS})*|.+\\z)"
+#: The possessive class in front skips what cannot start a boundary.
+SENTENCE = f"(?s)([^!?。！？｡….．,，:：、;；—–―－\\-\\r\\n]*+.*?(?:{_ENDS}|{_CLAUSES}){_CLOSERS}(?:(?![\\r\\n]){WS})*|.+\\z)"
 
 
 def split_sentences(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -288,10 +289,10 @@ def chunk_chapters(chapters: DataFrame, bounds: DataFrame | None = None) -> Data
     ``bounds`` (book_id, min_offset, max_offset) restricts each book to passages that end beyond
     min_offset, within max_offset. Chapters are cut on their own, in parallel.
     """
-    from folio.operators.intervals import chapter_offsets
-
-    starts = chapter_offsets(chapters).select("book_id", "chapter_index", "clean_start")
-    clean = chapters.select("book_id", "chapter_index", sanitize(F.col("content")).alias("content")).join(starts, ["book_id", "chapter_index"])
+    # One pass over the texts: each is cleaned once, and its place is a prefix sum of lengths by book.
+    before = Window.partitionBy("book_id").orderBy("chapter_index").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("content")).over(before), F.lit(0)).cast("long")
+    clean = chapters.select("book_id", "chapter_index", sanitize(F.col("content")).alias("content")).withColumn("clean_start", start)
     if bounds is None:
         bounded = clean.withColumn("lo", F.lit(0).cast("long")).withColumn("hi", F.lit(1 << 60).cast("long"))
     else:
