@@ -223,9 +223,10 @@ def query_terms(query: Column) -> Column:
 
 
 def keyword_boost(text: Column, terms: Column) -> Column:
-    hay = F.lower(F.coalesce(text, F.lit("")))
     weight = lambda t: F.when(F.length(t) >= 6, 1.2).when(F.length(t) >= 4, 1.0).otherwise(0.7)
-    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(hay, t), weight(t)).otherwise(0.0))
+    boost = lambda hay: F.aggregate(terms, F.lit(0.0), lambda s, t: s + F.when(F.contains(hay, t), weight(t)).otherwise(0.0))
+    # The text is lowered once a row, not once a term.
+    return F.element_at(F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), boost), 1)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ BOOST = 0.08
 TOP_K = 5
 PER_BOOK = 2
 
-#: Queries are broadcast up to this many rows; beyond it the pairs are joined by book only.
+#: Rows of queries in one broadcast; more of them go in blocks of about half as many.
 MAX_BROADCAST_QUERIES = 10_000
 
 
@@ -23,25 +24,31 @@ def with_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", query_terms(F.col("query_text")))
 
 
+def all_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Each query beside each chunk (of its own model_id where both have one); queries are broadcast in bounded blocks."""
+    on = "model_id" if "model_id" in queries.columns and "model_id" in chunks.columns else "_"
+    if on == "_":
+        queries, chunks = queries.withColumn("_", F.lit(1)), chunks.withColumn("_", F.lit(1))
+    n = queries.count()
+    if n <= MAX_BROADCAST_QUERIES:
+        return chunks.join(F.broadcast(queries), on).drop("_")
+    # Blocks by a hash of the id are half full on average, so that none comes near the bound.
+    count = -(-2 * n // MAX_BROADCAST_QUERIES)
+    dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(count))))
+    blocks = [chunks.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")), on) for i in range(count)]
+    return reduce(DataFrame.unionByName, blocks).drop("_")
+
+
 def score_pairs(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """Hybrid score of each query with each chunk in its scope (query_id, book_id).
 
-    Without a scope every query meets every chunk, so there may be few of them: more than
-    MAX_BROADCAST_QUERIES are refused. ``queries`` may have a model_id; chunks of other models are then left out.
+    Without a scope every query meets every chunk. ``queries`` may have a model_id; chunks of other models are then left out.
     """
-    q = with_terms(queries)
-    if scope is not None:
-        pairs = q.join(scope.select("query_id", "book_id"), "query_id").join(chunks, "book_id")
-    else:
-        n = queries.limit(MAX_BROADCAST_QUERIES + 1).count()
-        if n > MAX_BROADCAST_QUERIES:
-            raise ValueError("too many queries without a scope: give each one the books it may see")
-        # A set of stated queries against all chunks; its size was checked just now.
-        on = ["model_id"] if "model_id" in queries.columns and "model_id" in chunks.columns else None
-        pairs = chunks.join(F.broadcast(q), on) if on else chunks.withColumn("_", F.lit(1)).join(F.broadcast(q.withColumn("_", F.lit(1))), "_").drop("_")
+    q = with_terms(queries).drop("query_text")
+    pairs = all_pairs(q, chunks) if scope is None else q.join(scope.select("query_id", "book_id"), "query_id").join(chunks, "book_id")
     score = cosine(F.col("query_vec"), F.col("embedding")) + F.lit(BOOST) * keyword_boost(F.col("text"), F.col("terms"))
     # One score a row, rounded so that engines and partitions agree on ties.
-    return pairs.withColumn("score", F.round(score, 6)).drop("query_vec", "embedding", "terms", "query_text")
+    return pairs.withColumn("score", F.round(score, 6)).drop("query_vec", "embedding", "terms")
 
 
 def within_progress(df: DataFrame, safe: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ VIEWS: dict[str, tuple[str, str | None]] = {
         "d.text, e.embedding from {embeddings} e left join {documents} d on d.doc_id = e.vec_id",
         None,
     ),
-    "queries": ("select e.vec_id as query_id, e.embedding as query_vec, d.text as query_text from {embeddings} e left join {documents} d on d.doc_id = e.vec_id where e.vec_id < 5", None),
+    "queries": ("select e.vec_id as query_id, e.embedding as query_vec, d.text as query_text from {embeddings} e left join {documents} d on d.doc_id = e.vec_id where e.vec_id % 50 = 0", None),
     "reader_progress": ("select distinct label as book_id, cast(5000 + 1000 * label as bigint) as safe_offset from {embeddings}", None),
     "sessions": (
         "select user_id, event_id % 40 as book_id, ts as start, timestamp_micros(unix_micros(ts) + cast(round(value * 60000) as bigint) * 1000) as end from {events} where value > 0",

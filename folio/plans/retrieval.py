@@ -82,8 +82,7 @@ def query_terms(t):
        from {queries} q cross join {chunks} c""",
 )
 def cosine(t):
-    q = t.queries.select("query_id", "query_vec").withColumn("j", F.lit(1))
-    return t.chunks.withColumn("j", F.lit(1)).join(F.broadcast(q), "j").select("query_id", "chunk_id", F.round(T.cosine(F.col("query_vec"), F.col("embedding")), 6).alias("cosine"))
+    return R.all_pairs(t.queries.select("query_id", "query_vec"), t.chunks).select("query_id", "chunk_id", F.round(T.cosine(F.col("query_vec"), F.col("embedding")), 6).alias("cosine"))
 
 
 @query(
