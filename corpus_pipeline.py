@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm import bpe, exact, mixing, rules, simhash
+from folio.llm import bpe, exact, mixing, rules, similar
 from folio.llm.common import staged, table
 
 
@@ -24,8 +24,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicate groups the row with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of texts with 5-word-shingle similarity 0.8 or more the row with the smallest doc_id stays."""
+    return similar.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: The learned rules, the fingerprints' links and the tokenizer are beyond SQL.
+#: The learned rules, the near copies and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
