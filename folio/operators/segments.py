@@ -15,42 +15,49 @@ from folio.functions.text import WS, compact, heading_key, normalize_block, para
 # ---- chapters -----------------------------------------------------------------------------------
 
 
-def split_chapters_regex(books: DataFrame, regex: str) -> DataFrame:
-    """Chapters that start at lines with a match; what stands before the first is the preface.
+def _compiles(regex: str | None) -> bool:
+    try:
+        re.compile(regex or "")
+    except re.error:
+        return False
+    return bool((regex or "").strip())
+
+
+def split_chapters_regex(books: DataFrame, regex: str | Column) -> DataFrame:
+    """Chapters that start at lines with a match; what stands before the first is the preface. ``regex`` may be a column.
 
     A book without matches, a blank regex or one that does not compile gives one chapter of the whole text.
     """
     text = F.coalesce("full_text", F.lit(""))
     whole = F.array(F.struct(F.lit("全文").alias("title"), text.alias("content")))
-    try:
-        re.compile(regex)
-        usable = bool(regex.strip())
-    except re.error:
-        usable = False
-    if usable:
-        # A mark is put before each match (the rest of the line goes with it), and the text is cut there.
-        mark = "\u0001\u0002"
-        cut = F.split(F.regexp_replace(text, f"(?m)((?:{regex}).*)", mark + "$1"), mark)
-        head = F.element_at(cut, 1)
-        rest = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda c: F.struct(strip(F.substring_index(c, "\n", 1)).alias("title"), c.alias("content")))
-        first = F.when(head != "", F.array(F.struct(F.lit("序章 / 前言").alias("title"), head.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
-        found = F.when(F.size(cut) > 1, F.concat(first, rest)).otherwise(whole)
+    if isinstance(regex, Column):
+        books = books.withColumn("_usable", F.udf(_compiles, "boolean")(regex))
+        usable, pattern = F.col("_usable"), F.when(F.col("_usable"), regex).otherwise("")
     else:
-        found = whole
+        usable, pattern = F.lit(_compiles(regex)), F.lit(regex if _compiles(regex) else "")
+    # A mark is put before each match (the rest of the line goes with it), and the text is cut there.
+    mark = "\u0001\u0002"
+    marked = F.regexp_replace(text, F.concat(F.lit("(?m)((?:"), pattern, F.lit(").*)")), F.lit(mark + "$1"))
+    cut = F.split(F.when(usable, marked).otherwise(text), mark)
+    head = F.element_at(cut, 1)
+    rest = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda c: F.struct(strip(F.substring_index(c, "\n", 1)).alias("title"), c.alias("content")))
+    first = F.when(head != "", F.array(F.struct(F.lit("序章 / 前言").alias("title"), head.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
+    found = F.when(usable & (F.size(cut) > 1), F.concat(first, rest)).otherwise(whole)
     return books.where("coalesce(full_text, '') <> ''").select("book_id", F.posexplode(found).alias("chapter_index", "c")).select("book_id", "chapter_index", "c.title", "c.content")
 
 
-def per_text(df: DataFrame, keys: list[str], text: str, fn: Callable[[str], list[tuple]], schema: str) -> DataFrame:
-    """Rows of ``fn`` over each text, as ``keys`` and ``schema``; texts go through Arrow in batches."""
-    own = df.select(*keys, text)
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+def per_text(df: DataFrame, keys: list[str], text: str, fn: Callable[..., list[tuple]], schema: str, args: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``fn`` over each text and the columns ``args``, as ``keys`` and ``schema``; texts go through Arrow in batches."""
+    own = df.select(*keys, text, *args)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema.fields[: len(keys)])
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, which = [], []
-            for i, t in enumerate(b.column(len(keys)).to_pylist()):
-                own_rows = fn(t or "")
+            given = [b.column(i).to_pylist() for i in range(len(keys), b.num_columns)]
+            for i, (t, *more) in enumerate(zip(*given, strict=True)):
+                own_rows = fn(t or "", *more)
                 rows += own_rows
                 which += [i] * len(own_rows)
             at = pa.array(which, pa.int64())
@@ -114,13 +121,11 @@ def resolve_chapters(books: DataFrame, structured: DataFrame) -> DataFrame:
     rest = books.where("coalesce(chapter_char_count, 0) < 500")
     own = structured.join(rest.select("book_id"), "book_id", "left_semi")
     plain = rest.join(structured.select("book_id"), "book_id", "left_anti")
-    counts = [r[0] for r in sized.select("chapter_char_count").distinct().limit(64).collect()]
-    out = own.select("book_id", "chapter_index", "title", "content")
-    for c in counts:
-        out = out.unionByName(split_chapters_chars(sized.where(F.col("chapter_char_count") == c), c))
-    for r in [r[0] for r in plain.select("chapter_regex").distinct().limit(64).collect()]:
-        out = out.unionByName(split_chapters_regex(plain.where(F.col("chapter_regex").eqNullSafe(F.lit(r))), r or ""))
-    return out
+    by_size = per_text(
+        sized, ["book_id"], "full_text", lambda t, n: [(i, *c) for i, c in enumerate(_size_cuts(t, n))], "chapter_index int, title string, content string", ("chapter_char_count",)
+    )
+    out = own.select("book_id", "chapter_index", "title", "content").unionByName(by_size)
+    return out.unionByName(split_chapters_regex(plain, F.col("chapter_regex")))
 
 
 def merge_text_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
