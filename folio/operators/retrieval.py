@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import cosine, fnv1a32_value, keyword_boost, query_terms, sanitize
-from folio.operators.staging import cut
+from folio.operators.staging import cut, numbered
 
 BOOST = 0.08
 TOP_K = 5
@@ -147,8 +147,7 @@ def needs_index(books: DataFrame, meta: DataFrame) -> DataFrame:
 def index_backlog(books: DataFrame, meta: DataFrame, active: Column) -> DataFrame:
     """Books that need indexing: the active one first, then those read last."""
     todo = needs_index(books, meta).where("needs_index").drop("needs_index")
-    rank = F.row_number().over(Window.orderBy(F.desc(active.cast("int")), F.desc("last_read_at"), "book_id"))
-    return todo.withColumn("rank", rank)
+    return numbered(todo, "rank", F.desc(active.cast("int")), F.desc("last_read_at"), F.asc("book_id"))
 
 
 def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 8, prefix: str = "passage: ") -> DataFrame:

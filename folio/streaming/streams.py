@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folio.operators.staging import cut  # noqa: F401
+from folio.operators.staging import cut, shared_dir
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,13 +26,7 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='folio-')}")
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame, mode: str = "append") -> DataFrame:
