@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.operators.staging import cut, numbered, shared_dir  # noqa: F401
+
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -15,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = 256
 
 
+#: A key with over 1 / HOT_SHARE of all rows is hot. There are fewer than HOT_SHARE such keys, so they may be broadcast.
+HOT_SHARE = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -26,23 +31,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='folio-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: written to the shared checkpoint folder, so a lost executor costs only its running tasks."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -57,6 +45,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """The rows whose key (columns ``on``) is in ``keys``; ``times`` says how many of the ``total`` rows have it.
+
+    Rows of hot keys stay where they are, as these few keys are broadcast; only the others are
+    shuffled, so that no task gets more than 1 / HOT_SHARE of the rows by one key.
+    """
+    is_hot = F.col(times) * HOT_SHARE > total
+    hot = F.broadcast(cut(keys.where(is_hot).select(*on)))
+    cold = rows.join(hot, on, "left_anti").join(keys.where(~is_hot).select(*on), on, "left_semi")
+    return rows.join(hot, on, "left_semi").unionByName(cold)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as compressed Parquet to the shared folder and read it back.
 

@@ -153,9 +153,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000))
     sample = known.where(draw < min(1_000_000, 1_000_000 * rows // max(n, 1)))
-    # The sample is bounded by a parameter, so it may be broadcast; the texts stay where they are.
+    # The sample is bounded by a parameter, so it may be broadcast; the texts stay where they are, and
+    # only the statistics of the sample are moved together.
     stats = [f"_s_{s}" for s in STATISTICS]
-    base = cut(measured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("doc_id", "bad", *stats).coalesce(4))
+    base = cut(measured(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("doc_id", "bad", *stats).repartition(4, "doc_id"))
     cuts = base.agg(*[F.percentile_approx(s, [i / THRESHOLDS for i in range(THRESHOLDS + 1)], 10_000).alias(s) for s in stats]).first()
     if cuts is None or cuts[0] is None:
         return []
