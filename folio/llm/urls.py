@@ -7,8 +7,10 @@ chain is built over every key of the corpus, its answers for them are exact, and
 judged by looking at a few bits, without a join.
 
 A key is a host or a parent domain of it, followed by a prefix of the path as long as some
-listed rule's. The filters' size follows the list, which is bounded by MAX_LISTED, not the
-corpus; keys are hashed by Spark and counted as distinct before a level is built.
+listed rule's; or a word of the host, marked as one. Only parameters list keys, so a list is as
+long as the parameters are. The first filter is made so sharp that it lets through about as
+many other keys as the list has: the filters' size then follows the list and the logarithm
+of the corpus. Keys are hashed by Spark and counted as distinct before a level is built.
 """
 
 from __future__ import annotations
@@ -33,12 +35,10 @@ RULES = (
     ("org", "/es/", "block"),
 )
 
-#: A host is listed if one of these is a word of one of its labels.
+#: A host without a rule is blocked if one of these is a word of one of its labels.
 BLOCKED_WORDS = ("adult", "bet", "bets", "casino", "escort", "gambling", "pills", "poker", "porn", "sex", "viagra", "xxx")
 
-#: Keys that a list may have, so that the filters (about 1.5 bytes a key) may be broadcast.
-MAX_LISTED = 20_000_000
-
+#: Levels at most. Each lets a quarter of the level before through, so only two keys with equal hashes get here.
 LEVELS = 64
 
 
@@ -88,8 +88,8 @@ def _bit_places(h1: np.ndarray, h2: np.ndarray, bits: int, hashes: int, salt: in
     x = h1 + np.uint64(salt + 1) * h2
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     for i in range(hashes):
-        y = (x + np.uint64(i) * h2) ^ (x >> np.uint64(29 + i))
-        yield y % np.uint64(bits)
+        y = (x + np.uint64(i) * (h2 | np.uint64(1))) * np.uint64(0xC4CEB9FE1A85EC53)
+        yield (y ^ (y >> np.uint64(31))) % np.uint64(bits)
 
 
 def in_cascade(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
@@ -107,7 +107,7 @@ def in_cascade(levels: list[Level], h1: np.ndarray, h2: np.ndarray) -> np.ndarra
 def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
     """A Bloom filter of ``n`` keys (h1, h2); Spark ors the bits, the driver gets the finished words."""
     bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 64)
-    hashes = min(8, max(1, round(bits / n * math.log(2))))
+    hashes = min(32, max(1, round(bits / n * math.log(2))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, dtype=np.uint64)
@@ -120,8 +120,9 @@ def _level(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
 
     parts = keys.select("h1", "h2").mapInArrow(run, "place long, word long").groupBy("place").agg(F.bit_or("word").alias("word"))
     words = np.zeros(bits // 64, dtype=np.uint64)
-    for r in parts.collect():
-        words[r["place"]] = np.uint64(r["word"] % (1 << 64))
+    # At most a word for each bit that a listed key sets: the list's size, not the corpus's.
+    found = parts.toArrow()
+    words[found.column("place").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
     return Level(bits, hashes, salt, words)
 
 
@@ -136,21 +137,21 @@ def _through(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("h1", "h2").mapInArrow(run, "h1 long, h2 long")
 
 
-def build_cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
+def build_cascade(listed: DataFrame, others: DataFrame, n: int | None = None, rest: int | None = None) -> list[Level]:
     """Levels that tell ``listed`` from ``others`` (h1, h2 of distinct keys, apart from each other).
 
-    Two keys count as one only if both 64-bit hashes agree. The list may be empty.
+    ``n`` and ``rest`` are their counts where known. Two keys count as one only if both 64-bit hashes
+    agree. The list may be empty.
     """
     levels: list[Level] = []
-    inside, outside = cut(listed.select("h1", "h2")), others.select("h1", "h2")
-    n = inside.count()
-    if n > MAX_LISTED:
-        raise ValueError(f"{n} listed keys; the filters are broadcast, so MAX_LISTED is {MAX_LISTED}: split the list")
+    inside, outside = listed.select("h1", "h2"), others.select("h1", "h2")
+    n, rest = inside.count() if n is None else n, outside.count() if rest is None else rest
     while n:
         if len(levels) == LEVELS:
-            raise ValueError("the cascade does not end: a key is both listed and not")
-        # The first level lets few through, as the others may be many; then half a level's keys, as is usual.
-        levels.append(_level(inside, n, 0.01 if not levels else 0.25, len(levels)))
+            raise ValueError("the cascade does not end: a listed key and another one have the same two hashes")
+        # The first level lets through about as many others as it has keys; then a quarter, as is usual.
+        rate = 0.25 if levels else min(0.25, n / max(rest, 1))
+        levels.append(_level(inside, n, rate, len(levels)))
         inside, outside = cut(_through(outside, levels[-1])), inside
         n = inside.count()
     return levels
@@ -159,10 +160,11 @@ def build_cascade(listed: DataFrame, others: DataFrame) -> list[Level]:
 def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for each row of ``pages``.
 
-    The longest fitting rule's verdict holds; without one, a host that is listed (one of
-    ``blocked_words`` in its labels) is blocked and any other allowed. Null URLs and URLs
-    without ``://`` have an empty host and path, fit no rule and are allowed. Repeated rows
-    each give a row, an empty table gives none.
+    The longest fitting rule's verdict holds; without one, a host with one of ``blocked_words`` as a
+    word of its labels is blocked and any other allowed. Null URLs and URLs without ``://`` have an
+    empty host and path, fit no rule and are allowed. Very long URLs are looked at whole: only the
+    hosts' last labels and the starts of paths can be listed. Repeated rows each give a row, an
+    empty table gives none. Columns other than page_id and url, whatever their names, are ignored.
     """
     spark = pages.sparkSession
     small_batches(spark)
@@ -170,17 +172,23 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> Da
     labels = max(h.count(".") + 1 for h, _, _ in rules)
     host, path = url_parts(F.col("url").cast("string"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
-    keyed = parts.withColumn("keys", F.array_distinct(probe_keys(F.col("host"), F.col("path"), labels, lengths)))
+    # No host or path prefix has a question mark, so words cannot be mistaken for them.
+    words = F.transform(F.filter(F.split("host", "[^a-z]+"), lambda w: w != ""), lambda w: F.concat(F.lit("?"), w))
+    keyed = parts.withColumn("keys", F.array_union(probe_keys(F.col("host"), F.col("path"), labels, lengths), words))
 
     # The complete universe of keys: each once, with what lists it.
     kinds = F.lit(None).cast("string")
     for verdict in ("allow", "block"):
         kinds = F.when(F.col("key").isin([h + p for h, p, v in rules if v == verdict]), F.lit(verdict)).otherwise(kinds)
-    spam = r"(^|[^a-z])(" + "|".join(blocked_words) + r")([^a-z]|$)"
+    kinds = F.when(F.col("key").isin([f"?{w}" for w in blocked_words]), F.lit("word")).otherwise(kinds)
     named = keyed.select(F.explode("keys").alias("key")).distinct().withColumn("kind", kinds)
-    named = named.withColumn("kind", F.when(F.col("kind").isNull() & ~F.contains("key", F.lit("/")) & F.col("key").rlike(spam), F.lit("host")).otherwise(F.col("kind")))
     every = cut(named.select("kind", _hashes(F.col("key")).alias("h")).select("kind", "h.*"))
-    lists = {k: build_cascade(every.where(F.col("kind") == k), every.where(~F.col("kind").eqNullSafe(F.lit(k)))) for k in ("allow", "block", "host")}
+    sizes = {r["kind"]: r["count"] for r in every.groupBy("kind").count().collect()}
+    total = sum(sizes.values())
+    lists = {}
+    for k in ("allow", "block", "word"):
+        own = F.col("kind").eqNullSafe(F.lit(k))
+        lists[k] = build_cascade(every.where(own), every.where(~own), sizes.get(k, 0), total - sizes.get(k, 0))
     sent = spark.sparkContext.broadcast({k: [tuple(x) for x in levels] for k, levels in lists.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +205,7 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> Da
                 for i in range(at, at + n):
                     if (hits["allow"][i] or hits["block"][i]) and (best is None or len(flat[i]) > len(best)):
                         best, says = flat[i], "allow" if hits["allow"][i] else "block"
-                if best is None and hits["host"][at : at + n].any():
+                if best is None and hits["word"][at : at + n].any():
                     says = "block"
                 rule.append(best)
                 verdict.append(says)
