@@ -16,6 +16,8 @@ windows would move several times the corpus, so they are counted in runs:
 
 Each count is of every window that could be equal, so no repeat is lost; repeated windows
 merge to maximal intervals, which are cut out of the text. Texts are shuffled compressed.
+Anchors, runs and windows with over a thousandth of all rows are broadcast where rows are
+looked up by them, so that a passage of very many documents makes no task long.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import small_batches, staged, table
+from folio.llm.common import small_batches, staged, table, with_keys
 
 WINDOW = 35
 GRAM = 8
@@ -143,7 +145,7 @@ def _ints(x: np.ndarray) -> pa.Array:
 def _keyed(docs: DataFrame) -> DataFrame:
     """A row is known by its doc_id and its text's hash, so that repeated ids do no harm."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def window_runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
@@ -161,7 +163,7 @@ def window_runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
                 pa.array(np.r_[r.anchor, pad].view(np.int64), mask=blank),
                 pa.array(np.r_[r.hash, pad].view(np.int64), mask=blank),
                 pa.array(docs, pa.int64()).take(rows),
-                pa.array(hashes, pa.int32()).take(rows),
+                pa.array(hashes, pa.int64()).take(rows),
                 _ints(np.r_[r.at, r.own_at]),
                 _ints(np.r_[r.n, r.own_n]),
             ],
@@ -184,7 +186,7 @@ def window_runs(keyed: DataFrame, window: int, gram: int) -> DataFrame:
         if texts:
             yield flush(texts, docs, hashes)
 
-    return keyed.mapInArrow(run, "anchor long, h long, doc_id long, th int, at int, n int")
+    return keyed.mapInArrow(run, "anchor long, h long, doc_id long, th long, at int, n int")
 
 
 def _packed(keyed: DataFrame) -> DataFrame:
@@ -195,7 +197,7 @@ def _packed(keyed: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([press(t) for t in b.column(2).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc_id", "th", "z"])
 
-    return keyed.mapInArrow(run, "doc_id long, th int, z binary")
+    return keyed.mapInArrow(run, "doc_id long, th long, z binary")
 
 
 def requested_windows(packed: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -212,34 +214,34 @@ def requested_windows(packed: DataFrame, wanted: DataFrame, window: int) -> Data
                 for lo in range(0, len(at), 50_000):
                     own = at[lo : lo + 50_000]
                     yield pa.RecordBatch.from_arrays(
-                        [_longs(w1[own]), _ints((w2[own] >> _U(32)).view(np.int64)), pa.array([doc] * len(own), pa.int64()), pa.array([th] * len(own), pa.int32()), _ints(own), pa.array(once[lo : lo + 50_000])],
+                        [_longs(w1[own]), _ints((w2[own] >> _U(32)).view(np.int64)), pa.array([doc] * len(own), pa.int64()), pa.array([th] * len(own), pa.int64()), _ints(own), pa.array(once[lo : lo + 50_000])],
                         names=["w1", "w2", "doc_id", "th", "at", "once"],
                     )
 
     same = packed["doc_id"].eqNullSafe(wanted["doc_id"]) & (packed["th"] == wanted["th"])
     rows = packed.join(wanted, same).select("z", packed["doc_id"], packed["th"], "spans")
-    return rows.mapInArrow(run, "w1 long, w2 int, doc_id long, th int, at int, once boolean")
+    return rows.mapInArrow(run, "w1 long, w2 int, doc_id long, th long, at int, once boolean")
 
 
 def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``(doc_id, th, spans)``: for each text, intervals of windows that occur elsewhere, (at, n)."""
     every = staged(window_runs(keyed, window, gram))
     own = every.where("anchor is null").select("doc_id", "th", "at", "n")
-    often = every.where("anchor is not null").groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    near = staged(every.join(often, "anchor", "left_semi"))
+    runs = every.where("anchor is not null")
+    often = runs.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1")
+    near = staged(with_keys(runs, often, ["anchor"], "times", runs.count()))
     one = [F.first(c).alias(c) for c in ("doc_id", "th", "at", "n")]
     distinct = staged(near.groupBy("anchor", "h").agg(F.count("*").alias("copies"), *one))
     # Anchors under which some run stands alone beside another one: only there can a window be shared by unequal runs.
     shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("copies").alias("fewest")).where("kinds > 1 and fewest = 1")
-    asked = distinct.join(shared.select("anchor"), "anchor", "left_semi")
+    asked = with_keys(distinct, shared, ["anchor"], "kinds", distinct.count())
     # What is gathered here is one text's own runs.
     span = F.struct("at", "n", (F.col("copies") == 1).alias("once"))
     wanted = asked.groupBy("doc_id", "th").agg(F.collect_list(span).alias("spans"))
     windows = staged(requested_windows(_packed(keyed), wanted, window))
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    single = windows.where("once").join(again, ["w1", "w2"], "left_semi").select("doc_id", "th", "at", F.lit(1).alias("n"))
-    copied = distinct.where("copies > 1").select("anchor", "h")
-    whole = near.join(copied, ["anchor", "h"], "left_semi").select("doc_id", "th", "at", "n")
+    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1")
+    single = with_keys(windows.where("once"), again, ["w1", "w2"], "times", windows.count()).select("doc_id", "th", "at", F.lit(1).alias("n"))
+    whole = with_keys(near, distinct.where("copies > 1"), ["anchor", "h"], "copies", near.count()).select("doc_id", "th", "at", "n")
     return whole.union(single).union(own).groupBy("doc_id", "th").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
@@ -251,7 +253,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
 
     Kept words are joined by one space. Null and blank texts have no words; texts shorter
     than a window lose nothing. Repeated rows are occurrences of their own: two equal rows
-    of a window's length or more lose all their words. An empty table gives no rows.
+    of a window's length or more lose all their words. Very long texts are read whole. Columns other
+    than doc_id and text, whatever their names, are ignored. An empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
