@@ -1,12 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer numpy network.
 
 Each word has a fixed sparse random index vector; its word vector is the sum of the index
-vectors of the words around it, over the training documents. Words share BUCKETS hash buckets,
+vectors of the words around it, over all documents. Words share BUCKETS hash buckets,
 so the vectors are a table of fixed size. A document is the mean of its vectors: of its words,
-of their shapes (letters, capitals, digits, symbols) and of marks that say whether a word
+and, as index vectors, of their shapes (letters, capitals, digits, symbols) and of marks that say whether a word
 triple was seen before in the text. The network is fitted on at most LABELLED_ROWS labelled
 rows; its logits are divided by a temperature, chosen on rows that it was not fitted on. Every
 document is then scored on its own, with the tables broadcast (under 8 MB).
+
+Index vectors are whole numbers, so their sums are the same in whatever order they are added.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +35,10 @@ LABELLED_ROWS = 20_000
 PARTS = 8
 HIDDEN = 32
 THRESHOLD = 0.3
-#: Rows of the vector table in one message between tasks.
-_CHUNK = 512
+#: Words whose contexts are added at once.
+TOGETHER = 100_000
+#: Rows of the vector table in one message between tasks; they are added up one by one.
+_CHUNK = 64
 
 _SEEN, _NEW = 0, 1  # buckets of the two marks; others start at 2
 
@@ -44,18 +49,22 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]))
+        shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
         own = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "replace"), 11) % (BUCKETS - 2) + 2
         of_shape = xxhash.xxh64_intdigest(shape.encode("utf-8", "replace"), 12) % (BUCKETS - 2) + 2
         code = self[word] = own << 32 | of_shape
         return code
 
 
+def _codes() -> _Codes:
+    # Functions reach the workers by value, so a worker's own dictionary hangs on a module that is there anyway.
+    return sys.__dict__.setdefault("_folio_codes", _Codes())
+
+
 def buckets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the words, of their shapes, and of the marks, in the order of the text."""
     words = text.split()
-    codes = sys.__dict__.setdefault("_folio_codes", _Codes())
-    both = np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words))
+    both = np.fromiter(map(_codes().__getitem__, words), dtype=np.int64, count=len(words))
     own, shape = both >> 32, both & 0xFFFFFFFF
     marks = np.full(len(words), _NEW)
     if len(words) > 2:
@@ -67,52 +76,73 @@ def buckets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own, shape, marks
 
 
+def index_places() -> np.ndarray:
+    """Where each bucket's index vector has its ones (first half) and minus ones, from a fixed seed; a last row that cancels out."""
+    order = np.random.default_rng(20240101).random((BUCKETS, DIM)).argsort(axis=1)[:, :NONZERO]
+    return np.vstack([order, np.zeros((1, NONZERO), np.int64)]).astype(np.int32)
+
+
 def index_vectors() -> np.ndarray:
-    """Sparse ternary index vectors of all buckets, from a fixed seed."""
-    rng = np.random.default_rng(20240101)
     out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    at = rng.integers(0, DIM, (BUCKETS, NONZERO))
-    np.put_along_axis(out, at, rng.choice([-1.0, 1.0], (BUCKETS, NONZERO)).astype(np.float32), axis=1)
+    signs = np.repeat(np.array([1, -1], dtype=np.float32), NONZERO // 2)
+    np.put_along_axis(out, index_places()[:BUCKETS], np.broadcast_to(signs, (BUCKETS, NONZERO)), axis=1)
     return out
 
 
-def add_contexts(table_: np.ndarray, index: np.ndarray, text: str) -> None:
-    """Add the index vectors around each word of ``text`` to the word's and the shape's row."""
-    own, shape, marks = buckets(text)
-    for at in range(0, len(own), 20_000):
-        lo, hi = max(0, at - AROUND), min(len(own), at + 20_000 + AROUND)
-        near = index[own[lo:hi]] + index[shape[lo:hi]]
-        sums = np.vstack([np.zeros((1, DIM), np.float32), np.cumsum(near, axis=0, dtype=np.float64).astype(np.float32)])
-        place = np.arange(at, min(len(own), at + 20_000)) - lo
-        context = sums[np.minimum(place + AROUND + 1, hi - lo)] - sums[np.maximum(place - AROUND, 0)] - near[place]
-        for rows in (own, shape, marks):
-            rows = rows[at : at + 20_000]
-            order = np.argsort(rows, kind="stable")
-            starts = np.flatnonzero(np.r_[True, rows[order][1:] != rows[order][:-1]])
-            table_[rows[order][starts]] += np.add.reduceat(context[order], starts, axis=0)
+def word_buckets(text: str) -> np.ndarray:
+    """Buckets of the words alone."""
+    words = text.split()
+    return np.fromiter(map(_codes().__getitem__, words), dtype=np.int64, count=len(words)) >> 32
+
+
+def add_contexts(sums: np.ndarray, places: np.ndarray, texts: list[np.ndarray]) -> None:
+    """Add the index vectors of the words around each word to its row of ``sums`` (flat), for the word buckets of some texts."""
+    # The texts are laid end to end with AROUND places between them that cancel out.
+    gap = np.full(AROUND, BUCKETS, dtype=np.int32)
+    rows = np.concatenate([gap, *[x for t in texts for x in (t.astype(np.int32), gap)]])
+    n = len(rows) - 2 * AROUND
+    own = (rows[AROUND : AROUND + n] * DIM)[:, None]
+    half = NONZERO // 2
+    for sign, part in ((1, places[:, :half]), (-1, places[:, half:])):
+        near = np.ascontiguousarray(part)[rows]
+        at = np.concatenate([(own + near[k : k + n]).ravel() for k in range(2 * AROUND + 1) if k != AROUND])
+        sums += sign * np.bincount(at, minlength=len(sums))
 
 
 def train_vectors(texts: DataFrame) -> np.ndarray:
     """The word vectors over ``texts``: partial tables by task, summed by chunk of rows."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, index = np.zeros((BUCKETS, DIM), dtype=np.float32), index_vectors()
+        sums, places = np.zeros((BUCKETS + 1) * DIM, dtype=np.int64), index_places()
+        held: list = []
+        size = 0
         for b in batches:
             for t in b.column(0).to_pylist():
-                add_contexts(sums, index, t or "")
-        chunks = [sums[i : i + _CHUNK].tobytes() for i in range(0, BUCKETS, _CHUNK)]
+                held.append(word_buckets(t or ""))
+                size += len(held[-1])
+                if size >= TOGETHER:
+                    add_contexts(sums, places, held)
+                    held, size = [], 0
+        if held:
+            add_contexts(sums, places, held)
+        press = zstandard.ZstdCompressor(level=1).compress
+        chunks = [press(sums[i * DIM : (i + _CHUNK) * DIM].astype("<i8").tobytes()) for i in range(0, BUCKETS, _CHUNK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array(chunks, pa.binary())], names=["chunk", "sums"])
 
-    def add(key: tuple, rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype=np.float32) for x in rows.column("sums").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    summed = texts.select("text").mapInArrow(partial, "chunk int, sums binary").groupBy("chunk").applyInArrow(add, "chunk int, sums binary")
-    out = np.zeros((BUCKETS, DIM), dtype=np.float32)
-    for r in summed.collect():
-        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["sums"], dtype=np.float32).reshape(-1, DIM)
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total = np.zeros(_CHUNK * DIM, dtype=np.int64)
+        for b in batches:
+            for x in b.column("sums").to_pylist():
+                total += np.frombuffer(unpack(x), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["chunk", "sums"])
+
+    parts = texts.select("text").mapInArrow(partial, "chunk int, sums binary")
+    out = np.zeros((BUCKETS, DIM), dtype=np.float64)
+    for r in parts.groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect():
+        out[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(r["sums"], dtype=np.int64).reshape(-1, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    # A bucket that training did not see keeps its own index vector.
+    # A bucket that no word has keeps its own index vector.
     return np.where(norm > 0, out / np.maximum(norm, 1e-9) + index_vectors() / NONZERO, index_vectors() / NONZERO).astype(np.float32)
 
 
@@ -185,7 +215,11 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[np.ndarray, Network]:
-    """Vectors and network from the labelled rows that are not held out, a hash sample of ``rows`` at most."""
+    """Word vectors of all documents, and a network from the labelled rows that are not held out, a hash sample of ``rows`` at most.
+
+    Null labels and labels of unknown documents are left out; of several for one doc_id the lowest
+    counts. Without labels of both kinds every document gets the share of ones (one half without any).
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
@@ -193,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[
     # The sample is bounded by a parameter, so it may be broadcast and its texts laid aside.
     joined = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")
     train = cut(joined.select("text", (F.col("label") > 0).cast("double").alias("label"), F.xxhash64("doc_id").alias("at")).repartition(PARTS, "at"))
-    vectors = train_vectors(train)
+    vectors = train_vectors(docs.select(F.col("text").cast("string").alias("text")))
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> tuple[
 
 
 def score(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
-    """``(doc_id, score)`` of every row's whole text; null texts are scored as empty ones."""
+    """``(doc_id, score)`` of every row's whole text; null texts are scored as empty ones.
+
+    Repeated rows each give a row, columns other than doc_id and text, whatever their names, are
+    ignored, very long texts are pooled in pieces, an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((vectors, vars(net)))
 
