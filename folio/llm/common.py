@@ -45,16 +45,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+def with_keys(rows: DataFrame, keys: DataFrame, on: list[str], times: str, total: int, keep_times: bool = False) -> DataFrame:
     """The rows whose key (columns ``on``) is in ``keys``; ``times`` says how many of the ``total`` rows have it.
 
     Rows of hot keys stay where they are, as these few keys are broadcast; only the others are
-    shuffled, so that no task gets more than 1 / HOT_SHARE of the rows by one key.
+    shuffled, so that no task gets more than 1 / HOT_SHARE of the rows by one key. With
+    ``keep_times`` the other columns of ``keys``, which is unique by key, come with the rows.
     """
     is_hot = F.col(times) * HOT_SHARE > total
-    hot = F.broadcast(cut(keys.where(is_hot).select(*on)))
-    cold = rows.join(hot, on, "left_anti").join(keys.where(~is_hot).select(*on), on, "left_semi")
-    return rows.join(hot, on, "left_semi").unionByName(cold)
+    keys = keys if keep_times else keys.select(*on, times)
+    hot = F.broadcast(cut(keys.where(is_hot)))
+    if not keep_times:
+        hot, cold = hot.select(*on), keys.where(~is_hot).select(*on)
+    else:
+        cold = keys.where(~is_hot)
+    how = "inner" if keep_times else "left_semi"
+    rest = rows.join(hot.select(*on), on, "left_anti").join(cold, on, how)
+    return rows.join(hot, on, how).unionByName(rest)
 
 
 def staged(df: DataFrame) -> DataFrame:

@@ -28,10 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, small_batches, table, wrapped
+from folio.llm import similar
+from folio.llm.common import cut, small_batches, staged, table, text_or_empty, wrapped
 from folio.llm.components import connected_components
 
 SHINGLE = 3
+#: Words of a shingle where near copies are to be removed, not only linked by fingerprint.
+STAGE_SHINGLE = 5
 MAX_BITS = 2
 SEED = 42
 #: Members from which a group is split again. It bounds a task's work; no pair is lost by it.
@@ -41,6 +44,16 @@ FANOUT = 16
 _CHUNK = 8192
 
 
+def majority(values: np.ndarray) -> int:
+    """The 64 bits that are set in over half the values."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(values), _CHUNK):
+        bits = np.unpackbits(values[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.uint16)
+    set_bits = np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little")
+    return int(set_bits.view("<u8")[0])
+
+
 def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     """The 64-bit SimHash of UTF-8 text; 0 for a text without words."""
     words = raw.lower().split()
@@ -50,19 +63,12 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     hashed = xxhash.xxh64_intdigest
     joined = b" ".join(words)
     if n <= shingle:
-        values = np.array([hashed(joined, SEED)], dtype=np.uint64)
-    else:
-        lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
-        ends = np.cumsum(lens + 1) - 1
-        starts = (ends - lens)[: n - shingle + 1].tolist()
-        stops = ends[shingle - 1 :].tolist()
-        values = np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n - shingle + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(values), _CHUNK):
-        bits = np.unpackbits(values[at : at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.uint16)
-    set_bits = np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little")
-    return int(set_bits.view("<u8")[0])
+        return majority(np.array([hashed(joined, SEED)], dtype=np.uint64))
+    lens = np.fromiter(map(len, words), dtype=np.int64, count=n)
+    ends = np.cumsum(lens + 1) - 1
+    starts = (ends - lens)[: n - shingle + 1].tolist()
+    stops = ends[shingle - 1 :].tolist()
+    return majority(np.fromiter((hashed(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, n - shingle + 1))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -125,7 +131,7 @@ class GrayIndex:
 
 
 def forest(codes: np.ndarray, limit: int = MAX_BITS) -> list[tuple[int, int]]:
-    """Spanning links ``(member, root)`` of one group of distinct fingerprints."""
+    """Spanning links of one group of distinct fingerprints; each is a pair within ``limit`` bits."""
     if len(codes) == 2:
         a, b = codes
         return [(int(b), int(a))] if int(a ^ b).bit_count() <= limit else []
@@ -138,16 +144,18 @@ def forest(codes: np.ndarray, limit: int = MAX_BITS) -> list[tuple[int, int]]:
             i = parent[i]
         return i
 
+    out = []
     for at in range(0, len(codes), 256):
         q, hit = index.near(index.codes[at : at + 256], limit)
         q = q + at
-        a, b = parent[q], parent[hit]
-        apart = a != b
-        for x, y in set(zip(a[apart].tolist(), b[apart].tolist(), strict=True)):
-            x, y = find(x), find(y)
+        ends = np.stack([parent[q], parent[hit]])
+        apart = np.flatnonzero(ends[0] != ends[1])
+        for i in apart[np.unique(ends[:, apart], axis=1, return_index=True)[1]].tolist():
+            x, y = find(q[i]), find(hit[i])
             if x != y:
                 parent[max(x, y)] = min(x, y)
-    return [(int(index.codes[i]), int(index.codes[r])) for i in range(len(codes)) if (r := find(i)) != i]
+                out.append((int(index.codes[q[i]]), int(index.codes[hit[i]])))
+    return out
 
 
 def _blocks(code: Column, width: int, count: int, shift: int = 0) -> list[Column]:
@@ -235,15 +243,36 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents less all but the first of each near-duplicate group; columns unchanged.
+def keep_one(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """The documents less all but one of each group of near copies; columns unchanged.
+
+    Near copies are texts whose sets of ``shingle`` words in a row, A-Z in lower case, are at 0.8 of each
+    other or more (similar.TENTHS), and all that are joined by such pairs. The index links the
+    fingerprints of the sets; ``similar.links`` completes and decides the links.
 
-    Rows that repeat a doc_id stand or fall together (exact dedup removes repeats before);
-    null doc_ids stay only if their group has no other.
+    Of a group the row with the smallest doc_id stays; null doc_ids come last, and of rows with
+    the same doc_id one stays. Null and blank texts are copies of each other; texts of up to
+    ``shingle`` words are near copies only if they are equal. Very long texts are compared whole. An
+    empty table gives no rows.
     """
-    groups = near_groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first_id")).distinct()
-    return wrapped(docs, "doc_id").join(first, F.col("doc_id").eqNullSafe(F.col("_first_id")), "left_semi").select("_row.*")
+    text = text_or_empty()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
+    marked = staged(similar.signatures(texts, shingle, majority))
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
+    first = [F.first(c).alias(c) for c in ("size", "fp", "keys")]
+    nodes = staged(marked.groupBy("node").agg(F.min(row).alias("row"), F.count("*").alias("n"), *first))
+    # Fingerprint links as pairs of texts: each of a fingerprint's texts with its first one, and the first ones of linked fingerprints.
+    of_fp = staged(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")))
+    same = nodes.select("fp", F.col("node").alias("b")).join(of_fp.where("n > 1").select("fp", F.col("node").alias("a")), "fp").where("a <> b")
+    ends = [of_fp.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node")) for c in ("a", "b")]
+    near = link_forest(of_fp).join(ends[0], "a").join(ends[1], "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    roots = connected_components(similar.links(nodes, texts, cut(same.select("a", "b").union(near)), shingle))
+    grouped = nodes.select("node", "row").join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
+    kept = grouped.groupBy("group").agg(F.min("row").alias("row")).select(F.xxhash64("row.node", "row.doc_id").alias("_key"))
+    keyed = wrapped(docs, "doc_id", "text").select("_row", F.xxhash64(F.xxhash64(text), F.col("doc_id").cast("long")).alias("_key"))
+    left = keyed.join(kept, "_key", "left_semi")
+    repeated = nodes.where("n > 1").limit(1).count()
+    return (left.dropDuplicates(["_key"]) if repeated else left).select("_row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
