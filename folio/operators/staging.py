@@ -45,3 +45,12 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
         total += counts.get(p, 0)
     first = F.get(F.lit(before or [0]), range_of)
     return ranged.withColumn(name, (first + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")).drop("_at")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt over all cores where its files have fewer splits than there are cores; larger tables stay as they are.
+
+    For tables of texts, on which the work of a row is large: one Parquet row group is one task otherwise.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

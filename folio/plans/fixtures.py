@@ -11,8 +11,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.operators.staging import spread
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Tables of texts, with their ids.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
 _PARAGRAPHS = "filter(split(text, '\\\\n'), x -> trim(x) <> '')"
 
 #: name -> (Spark SQL, DuckDB SQL or None for the same text)
@@ -91,6 +96,7 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table; its zoneless instants become instants in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spread(df, TEXTS[name]) if name in TEXTS else df
     return df.select(*[F.col(c).cast("timestamp").alias(c) if t == "timestamp_ntz" else F.col(c) for c, t in df.dtypes])
 
 
