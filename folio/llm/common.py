@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.operators.staging import cut, numbered, shared_dir  # noqa: F401
+from folio.operators.staging import cut, numbered, shared_dir, spread  # noqa: F401
 
 #: One word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,7 +21,8 @@ HOT_SHARE = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0]) if "text" in df.columns or "url" in df.columns else df
 
 
 def small_batches(spark: SparkSession) -> None:
