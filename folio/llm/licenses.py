@@ -7,6 +7,9 @@ one of the template's first ``m - need + 1`` words (prefix filter), has enough t
 at all (length filter), and enough are left from there on in both (positional filter). The
 pairs that pass are counted out, so no match is lost and none is wrong. The index of prefixes
 is the templates' own size, whatever the corpus.
+
+One pass over the texts takes words, phrase places and the template words that occur; only texts
+with a template's prefix word are cut into blocks, by a second one.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, let, table, text_or_empty
+from folio.llm.common import cut, let, staged, table, text_or_empty
 
 #: Words after lower-casing: ASCII letters and digits, and all that is not ASCII.
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,7 +32,10 @@ BLOCK = 64
 #: Phrases that give a label wherever they stand.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label and wording of notices; each has at most BLOCK / 2 distinct words.
+#: Rows of the prefix index that are broadcast.
+MAX_BROADCAST_INDEX = 100_000
+
+#: Label and wording of notices; other ones may be given. Blocks hold twice the longest of them.
 TEMPLATES = (
     ("apache-2.0", "licensed under the apache license version 2 0"),
     ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
@@ -71,10 +77,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.lower(text).alias("low"), words_of(text).alias("words"))
 
 
-def word_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
+def _present(vocabulary: list[str]) -> Column:
+    return F.array_intersect(F.lit(vocabulary), F.col("words"))
+
+
+def word_order(present: DataFrame, vocabulary: list[str]) -> list[str]:
     """The templates' words, rare ones first by the number of documents of the whole corpus; a count for each word at most."""
-    inside = F.array_intersect(F.lit(vocabulary), F.col("words"))
-    counts = {r["w"]: r["n"] for r in rows.select(F.explode(inside).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    counts = {r["w"]: r["n"] for r in present.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
@@ -89,23 +98,32 @@ def prefix_index(spark: SparkSession, order: list[str], templates=TEMPLATES, thr
     return spark.createDataFrame(out, "word string, label string, wanted array<string>, m int, need int, place int")
 
 
-def template_matches(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, th, found, best)``: labels of the templates that some block contains, and the best containment."""
+def _vocabulary(templates) -> list[str]:
+    return sorted({w for _, t in templates for w in t.split()})
+
+
+def template_matches(rows: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, present: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, th, found, best)``: labels of the templates that some block contains, and the best containment.
+
+    ``present`` has the template words of each text, where they are known.
+    """
     spark = rows.sparkSession
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    order = word_order(rows, vocabulary)
+    vocabulary = _vocabulary(templates)
+    order = word_order(rows.select(_present(vocabulary).alias("present")) if present is None else present, vocabulary)
+    block = max(BLOCK, 2 * max(len(t.split()) for _, t in templates))
     index = cut(prefix_index(spark, order, templates, threshold))
+    small = index.count() <= MAX_BROADCAST_INDEX
     keys = [r["word"] for r in index.select("word").distinct().collect()]
     fewest = index.agg(F.min("need")).first()[0]
-    ranked, starts = F.lit(order), F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - BLOCK // 2, F.lit(0)), F.lit(BLOCK // 2))
+    ranked, starts = F.lit(order), F.sequence(F.lit(0), F.greatest(F.size("words") - 1 - block // 2, F.lit(0)), F.lit(block // 2))
     # A prefix word stands in the text as it is, so texts without any need not be cut into words.
     somewhere = reduce(lambda a, b: a | b, [F.contains("low", F.lit(k)) for k in keys])
     likely = rows.where(somewhere & F.arrays_overlap(F.lit(keys), F.col("words")))
     blocks = likely.select(
-        "doc_id", "th", F.explode(F.transform(starts, lambda i: F.array_intersect(ranked, F.slice(F.col("words"), i + 1, BLOCK)))).alias("block")
+        "doc_id", "th", F.explode(F.transform(starts, lambda i: F.array_intersect(ranked, F.slice(F.col("words"), i + 1, block)))).alias("block")
     ).where(F.size("block") >= fewest)
     placed = blocks.select("doc_id", "th", "block", F.posexplode("block").alias("at", "word")).where(F.col("word").isin(keys))
-    pairs = placed.join(F.broadcast(index), "word")  # the index has as many rows as the templates have prefix words
+    pairs = placed.join(F.broadcast(index) if small else index, "word")
     enough = pairs.where((F.size("block") >= F.col("need")) & (F.least(F.col("m") - F.col("place"), F.size("block") - F.col("at")) >= F.col("need")))
     shared = enough.withColumn("shared", F.size(F.array_intersect("block", "wanted"))).where("shared >= need")
     return shared.groupBy("doc_id", "th").agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("m")).alias("best"))
@@ -114,18 +132,24 @@ def template_matches(rows: DataFrame, templates=TEMPLATES, threshold: float = TH
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: words, phrase places, labels and a score.
 
+    ``templates`` are pairs of label and wording (lower-case words), or a table with these two columns.
     ``score`` is 1 where a phrase stands, else the best containment of a template that is
-    found, else 0. Null texts count as empty: no words, places or labels, score 0. Repeated
-    rows each give a row; an empty table gives none.
+    found, else 0. Null texts count as empty: no words, places or labels, score 0. Very long texts
+    are cut into blocks whole. Of templates that tie in containment all give their labels, which are
+    sorted. Repeated rows each give a row; an empty table gives none. Columns other than doc_id and
+    text, whatever their names, are ignored.
     """
+    if isinstance(templates, DataFrame):
+        templates = [tuple(r) for r in templates.select("label", "wording").collect()]
     rows = _rows(docs)
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     places = _phrase_columns(F.col("words"), joined)
-    base = rows.select("doc_id", "th", F.size("words").cast("long").alias("n_words"), *[x.alias(f"p{i}") for i, x in enumerate(places.values())])
+    measured = rows.select("doc_id", "th", F.size("words").cast("long").alias("n_words"), _present(_vocabulary(templates)).alias("present"), *[x.alias(f"p{i}") for i, x in enumerate(places.values())])
+    base = staged(measured)
     every = F.concat(*[f"p{i}" for i in range(len(places))])
     labelled = F.array_compact(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(PHRASES[p])) for i, p in enumerate(places)]))
     based = base.select("doc_id", "th", "n_words", every.alias("places"), F.array_sort(labelled).alias("based"))
-    found = template_matches(rows, templates, threshold).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found", "best")
+    found = template_matches(rows, templates, threshold, base).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "found", "best")
     both = based.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     more = F.coalesce("found", F.array().cast("array<string>"))
     return both.select(

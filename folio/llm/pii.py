@@ -5,26 +5,34 @@ them wider patterns propose candidates: written-out emails, cards in other group
 numbers without a plus, addresses of the wrong shape. Labelers vote on each candidate, for,
 against or not at all: its pattern, its check sum and structure, gazetteers of endings,
 issuers and country codes, cue words around it, and how it stands in the text.
-Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler
-is; a logistic classifier over the votes and the shape is then trained on the resulting
-probabilities and decides on the candidates. Both see only counts of patterns, of which
-there are a fixed number, however large the corpus; documents are read once.
+Expectation-maximisation over the counts of vote patterns, of which there is a fixed number,
+estimates how reliable each labeler is and how likely each pattern is personal data. The final
+span classifier sees what the votes do not: the span's shape with the lengths of its groups, the
+words and characters beside it. It is a logistic model over hashed features, trained on the
+probabilities of at most SAMPLED candidates, and decides on every candidate that is not a base
+span. Documents are read once.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Hash buckets of the span classifier's features, and candidates that it is trained on.
+FEATURES = 4096
+SAMPLED = 20_000
 LABELERS = ("pattern", "structure", "gazetteer", "context", "standing")
 
 # Possessive quantifiers: each scan is linear in the text.
@@ -145,9 +153,8 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[str,
 def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Pattern -> probability of personal data, from the number of candidates of each pattern.
 
-    A pattern is ``kind|votes|length``. First expectation-maximisation over kinds' rates and
-    each labeler's votes given the truth, with priors that labelers are mostly right; then a
-    logistic classifier on the votes, kind and length, trained on those probabilities.
+    A pattern is ``kind|votes|length``. Expectation-maximisation over kinds' rates and each
+    labeler's votes given the truth, with priors that labelers are mostly right.
     """
     if not counts:
         return {}
@@ -172,28 +179,52 @@ def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
         for k in range(len(KINDS)):
             own = kind == k
             rate[k] = ((n * p)[own].sum() + 1) / (n[own].sum() + 2)
-    x = np.concatenate([np.eye(len(KINDS))[kind], vote - 1.0, np.eye(4)[size], (kind[:, None] == np.arange(4)) * (vote[:, 1:2] - 1.0)], axis=1)
-    w, share = np.zeros(x.shape[1]), n / n.sum()
-    for _ in range(25):  # Newton steps on the penalised likelihood
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (q - p)) + 1e-4 * w
-        w = w - np.linalg.solve((x * (share * q * (1 - q))[:, None]).T @ x + 1e-4 * np.eye(len(w)), grad)
-    q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return dict(zip(names, q.tolist(), strict=True))
+    return dict(zip(names, p.tolist(), strict=True))
 
 
-SCHEMA = "doc_id long, spans array<struct<kind:int,start:int,end:int,base:boolean,pattern:string>>"
+def features(text: str, kind: int, start: int, end: int, vote: str) -> list[int]:
+    """Hashed features of a candidate: votes, shape and group lengths, the words and characters on both sides."""
+    s = text[start:end]
+    shape = re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), re.sub(r"[^\W\d_]+", "a", s[:200]))
+    before, after = re.findall(r"\w+", text[max(0, start - 40) : start].lower())[-2:], re.findall(r"\w+", text[end : end + 40].lower())[:1]
+    said = [f"k{kind}", f"s{kind}{shape}", f"g{kind}{len(re.findall('[0-9]+', s))}", f"n{kind}{min(len(s) // 4, 12)}"]
+    said += [f"b{kind}{w}" for w in before] + [f"a{kind}{w}" for w in after]
+    said += [f"c{kind}{_class(text[start - 1 : start])}", f"d{kind}{_class(text[end : end + 1])}"] + [f"v{kind}{i}{v}" for i, v in enumerate(vote)]
+    return sorted({xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 5) % FEATURES for x in said})
+
+
+def _class(c: str) -> str:
+    return "w" if c.isspace() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+def train(rows: list[tuple[list[int], float]], rounds: int = 200) -> np.ndarray:
+    """Weights of the logistic span classifier from candidates' features and probabilities; all rows at once, by Adam."""
+    w = np.zeros(FEATURES)
+    if not rows:
+        return w
+    n = np.array([len(f) for f, _ in rows])
+    at, of, p = np.concatenate([f for f, _ in rows]).astype(np.int64), np.repeat(np.arange(len(rows)), n), np.array([q for _, q in rows])
+    m, v = np.zeros(FEATURES), np.zeros(FEATURES)
+    for step in range(1, rounds + 1):
+        q = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[at], len(rows)), -30, 30)))
+        g = np.bincount(at, (q - p)[of], FEATURES) / len(rows) + 1e-5 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return w
+
+
+SCHEMA = "doc_id long, spans array<struct<kind:int,start:int,end:int,base:boolean,pattern:string,features:array<int>>>"
 
 
 def find_candidates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string())]))
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("pattern", pa.string()), ("features", pa.list_(pa.int32()))]))
 
     def one(text: str) -> list[dict]:
         out = []
         for k, a, b, base in candidates(text):
             v, size = votes(text, k, a, b, base)
-            out.append({"kind": k, "start": a, "end": b, "base": base, "pattern": f"{k}|{v}|{size}"})
+            out.append({"kind": k, "start": a, "end": b, "base": base, "pattern": f"{k}|{v}|{size}", "features": features(text, k, a, b, v)})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,15 +237,24 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``(doc_id, spans)``: base spans and the candidates with a probability over ``threshold``, by kind and start.
 
-    Null texts count as empty and have no spans, as have texts without candidates. Repeated
-    rows each give a row, null doc_ids stay null, an empty table gives no rows.
+    Null texts count as empty and have no spans, as have texts without candidates. Very long texts
+    are read whole. Of wider candidates that overlap, the first and then the longest counts; base spans
+    always stay. Repeated rows each give a row, null doc_ids stay null, an empty table gives no
+    rows. Columns other than doc_id and text, whatever their names, are ignored.
     """
     found = cut(find_candidates(docs))
+    each = found.select("doc_id", F.explode("spans").alias("s"))
     # Patterns: 4 kinds, 3 votes of 5 labelers and 4 lengths, so 3,888 rows at the very most.
-    counts = {r["p"]: r["n"] for r in found.select(F.explode("spans.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
-    good = [p for p, q in fit(counts).items() if q >= threshold]
-    accepted = F.lit(good) if good else F.array().cast("array<string>")
-    return found.select("doc_id", F.filter("spans", lambda s: s["base"] | F.array_contains(accepted, s["pattern"])).alias("spans"))
+    counts = {r["p"]: r["n"] for r in each.groupBy(F.col("s.pattern").alias("p")).agg(F.count("*").alias("n")).collect()}
+    likely = fit(counts)
+    share = min(1_000_000, 1_000_000 * SAMPLED // max(sum(counts.values()), 1))
+    drawn = each.where(F.pmod(F.xxhash64("doc_id", "s.start", "s.end"), F.lit(1_000_000)) < share).select("s.features", "s.pattern")
+    # A hash sample of about SAMPLED candidates, and never over twice that.
+    rows = sorted((r["features"], likely[r["pattern"]]) for r in drawn.limit(2 * SAMPLED).collect())
+    weights = F.from_json(F.lit(json.dumps(train(rows).tolist())), "array<double>")
+    score = lambda s: F.aggregate(s["features"], F.lit(0.0), lambda acc, f: acc + F.get(weights, f))
+    edge = math.log(threshold / (1 - threshold))
+    return found.select("doc_id", F.filter("spans", lambda s: s["base"] | (score(s) >= edge)).alias("spans"))
 
 
 def redact(text: str, spans: list) -> str:
