@@ -173,13 +173,22 @@ def estimate_tokens(lines: DataFrame) -> DataFrame:
     return spine.join(texts, ["prompt_id", "section"], "left").select("prompt_id", "section", token_estimate(F.col("text")).alias("tokens"))
 
 
-def assemble_context(cards: DataFrame, excerpts: DataFrame, chunks: DataFrame) -> DataFrame:
-    """For each owner: its cards in order, the excerpt, and chunk texts set apart by a rule."""
+def assemble_context(cards: DataFrame, excerpts: DataFrame, chunks: DataFrame, snippets: DataFrame | None = None) -> DataFrame:
+    """For each owner: its cards in order, the excerpt, highlighted snippets, and chunk texts set apart by a rule.
+
+    Where ``cards`` has a safe_offset, cards that end beyond it are left out. What is gathered is one owner's own.
+    """
     in_order = lambda key, col: F.transform(F.array_sort(F.collect_list(F.struct(*key, col))), lambda x: x[col])
+    if "safe_offset" in cards.columns:
+        cards = cards.where(F.col("end") <= F.col("safe_offset"))
     c = cards.groupBy("owner_id").agg(F.array_join(in_order(["start", "end", "card_id"], "content"), "\n").alias("cards"))
     k = chunks.groupBy("owner_id").agg(F.array_join(in_order(["rank"], "text"), "\n---\n").alias("passages"))
     met = c.join(excerpts.select("owner_id", "excerpt"), "owner_id", "full_outer").join(k, "owner_id", "full_outer")
-    return met.select("owner_id", F.concat_ws("\n\n", F.nullif("cards", F.lit("")), F.nullif("excerpt", F.lit("")), F.nullif("passages", F.lit(""))).alias("context"))
+    parts = ["cards", "excerpt", "passages"]
+    if snippets is not None:
+        said = snippets.where("coalesce(snippet, '') <> ''").groupBy("owner_id").agg(F.array_join(in_order(["start", "range_id"], "snippet"), "\n").alias("snippets"))
+        met, parts = met.join(said, "owner_id", "full_outer"), ["cards", "excerpt", "snippets", "passages"]
+    return met.select("owner_id", F.concat_ws("\n\n", *[F.nullif(p, F.lit("")) for p in parts]).alias("context"))
 
 
 def export_transcripts(messages: DataFrame, header: str = "Conversation") -> DataFrame:

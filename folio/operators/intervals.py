@@ -82,7 +82,7 @@ def annotate_segments(paragraphs: DataFrame, highlights: DataFrame) -> DataFrame
     nxt = F.lead("at").over(Window.partitionBy(*keys[:3]).orderBy("at"))
     pieces = ends.withColumn("until", nxt).where("until > at")
     cover = met.select(*keys, "from_", "to_", F.col("color_r").alias("color"), F.col("range_id_r").alias("range_id"))
-    painted = pieces.join(cover, keys, "left").where("from_ is null or true")
+    painted = pieces.join(cover, keys, "left")
     inside = (F.col("from_") <= F.col("at")) & (F.col("to_") >= F.col("until"))
     last = F.max(F.when(inside, F.struct("range_id", "color")))["color"]
     return painted.groupBy(*keys[:3], "at", "until").agg(last.alias("color")).select("book_id", "chapter_key", "paragraph_index", F.col("at").alias("start"), F.col("until").alias("end"), "color")

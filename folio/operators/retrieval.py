@@ -116,6 +116,12 @@ def build_query_text(messages: DataFrame, last: int = 6, size: int = 1200) -> Da
     return used.groupBy("conversation_key").agg(F.array_join(parts, "\n").alias("text")).select("conversation_key", F.expr(f"right(text, {size})").alias("query_text"))
 
 
+def note_query_text(note: Column, reply: Column, size: int = 1200) -> Column:
+    """The query for a note: the user's last reply, then the note, both sanitised; the last ``size`` characters."""
+    parts = [F.nullif(sanitize(F.coalesce(x, F.lit(""))), F.lit("")) for x in (reply, note)]
+    return F.right(F.concat_ws("\n", *parts), F.lit(size))
+
+
 def content_signature(chapters: DataFrame, strategy: str = "sentence-v1") -> DataFrame:
     """A hash of each book's chapters, from counts, titles, lengths, heads and tails; changes when the text does."""
     text = sanitize(F.col("content"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -177,11 +178,11 @@ def dedupe_toc(toc: DataFrame) -> DataFrame:
     return toc.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
-def flatten_toc(df: DataFrame, depth: int = 6) -> DataFrame:
-    """``(book_id, toc array<struct<title, path, children ...>>)`` level by level, down to ``depth``."""
+def flatten_toc(df: DataFrame) -> DataFrame:
+    """``(book_id, toc array<struct<title, path, children ...>>)`` level by level, as deep as the column's type goes."""
     level = df.select("book_id", F.posexplode("toc").alias("pos", "e")).withColumn("place", F.array("pos"))
     out = None
-    for n in range(depth):
+    for n in count():
         own = level.select("book_id", F.lit(n).alias("level"), "place", "e.title", "e.path")
         out = own if out is None else out.unionByName(own)
         kind = level.schema["e"].dataType
@@ -460,9 +461,16 @@ def _as_of(points: DataFrame, at: str, marks: DataFrame, mark: str, name: str, f
 
 
 def reading_excerpt(positions: DataFrame, books: DataFrame, n: int = 800) -> DataFrame:
-    """``(book_id, position_id, position)`` -> the text up to the last whole sentence, about n characters, from a sentence's start."""
+    """``(book_id, position_id, position)`` -> the text up to the last whole sentence, about n characters, from a sentence's start.
+
+    Positions before or beyond the text count as its start or end; unknown books and null texts have an empty excerpt at 0.
+    """
     spans = split_sentences(books.select("book_id", F.col("full_text").alias("text")), ["book_id"])
     done = spans.where("boundary_type is not null")
+    length = F.coalesce(F.length("full_text"), F.lit(0))
+    inside = F.greatest(F.lit(0), F.least(F.col("position"), length)).cast("long")
+    known = positions.join(books.select("book_id", length.alias("_n"), F.lit(True).alias("_known")), "book_id", "left")
+    positions = known.select("book_id", "position_id", F.coalesce(F.greatest(F.lit(0), F.least("position", "_n")), F.lit(0)).cast("long").alias("position"))
     p = _as_of(positions, "position", done, "end", "_end").withColumn("_end", F.coalesce("_end", "position"))
     p = p.withColumn("_raw", F.greatest(F.lit(0), F.col("_end") - n))
     p = _as_of(_as_of(p, "_raw", spans, "end", "_prev"), "_raw", spans, "start", "_next", forward=True)
@@ -470,7 +478,8 @@ def reading_excerpt(positions: DataFrame, books: DataFrame, n: int = 800) -> Dat
     start = F.when(F.col("_raw") <= 0, 0).when(F.col("_next").isNull() | (F.col("_next") >= F.col("_end")) | (F.col("_end") - F.col("_next") < least), F.coalesce("_prev", "_raw")).otherwise(F.col("_next"))
     placed = p.withColumn("start", start.cast("long"))
     text = F.col("full_text").substr(F.col("start").cast("int") + 1, (F.col("_end") - F.col("start")).cast("int"))
-    return placed.join(books.select("book_id", "full_text"), "book_id").select("book_id", "position_id", "start", F.col("_end").alias("end"), text.alias("excerpt"))
+    met = placed.join(books.select("book_id", "full_text"), "book_id", "left")
+    return met.select("book_id", "position_id", "start", F.col("_end").alias("end"), F.coalesce(text, F.lit("")).alias("excerpt"))
 
 
 def locate_quote(excerpt: Column, quote: Column) -> Column:

@@ -114,12 +114,11 @@ def merge_cards(t):
     return C.merge_cards(cards, cards.where("card_id % 3 = 0").select("owner_id", "card_id"))
 
 
-_CHARS = "chars as (select c_custkey as character_id, 'Brand#' || (11 + c_custkey % 5) as a, 'Brand#' || (21 + c_custkey % 5) as b from {customer} where c_custkey <= 20)"
+_CHARS = "chars as (select c_custkey as character_id, 'Brand#' || (11 + c_custkey % 5) as a, 'Brand#' || (21 + c_custkey % 5) as b from {customer})"
 
 
 def _characters(t):
-    c = t.customer.where("c_custkey <= 20")
-    return c.select(F.col("c_custkey").alias("character_id"), F.expr("array(concat('Brand#', 11 + c_custkey % 5), concat(' Brand#', 21 + c_custkey % 5, ' '), '')").alias("categories"))
+    return t.customer.select(F.col("c_custkey").alias("character_id"), F.expr("array(concat('Brand#', 11 + c_custkey % 5), concat(' Brand#', 21 + c_custkey % 5, ' '), '')").alias("categories"))
 
 
 @query("bind_lore", f"with {_CHARS} select distinct character_id, entry_id, category, position from chars c join {{lore_entries}} l on l.category in (c.a, c.b)")
@@ -194,18 +193,25 @@ def estimate_tokens(t):
 
 @query(
     "assemble_context",
-    """with c as (select owner_id, string_agg(content, chr(10) order by start, "end", card_id) as cards from {summary_cards} where owner_id <= 500 group by 1),
-       e as (select doc_id as owner_id, left(text, 80) as excerpt from {documents} where doc_id <= 400),
-       k as (select doc_id % 100 as owner_id, string_agg(left(text, 40), chr(10) || '---' || chr(10) order by doc_id) as passages from {documents} group by 1)
-       select coalesce(c.owner_id, e.owner_id, k.owner_id) as owner_id, concat_ws(chr(10) || chr(10), nullif(cards, ''), nullif(excerpt, ''), nullif(passages, '')) as context
-       from c full join e on e.owner_id = c.owner_id full join k on k.owner_id = coalesce(c.owner_id, e.owner_id)""",
+    """with c as (select owner_id, string_agg(content, chr(10) order by start, "end", card_id) as cards from {summary_cards} s join {reader_progress} p on p.book_id = s.owner_id % 10 where s."end" <= p.safe_offset group by 1),
+       e as (select doc_id as owner_id, left(text, 800) as excerpt from {documents}),
+       h as (select owner_id, string_agg(snippet, chr(10) order by start, range_id) as snippets from (
+              select h.book_id as owner_id, h.start, h.range_id, trim(substr(d.text, cast(h.start + 1 as integer), cast(h."end" - h.start as integer))) as snippet
+              from {highlights} h join {documents} d on d.doc_id = h.book_id) where snippet <> '' group by 1),
+       k as (select book_id as owner_id, string_agg(content, chr(10) || '---' || chr(10) order by chapter_index) as passages from {chapters} group by 1)
+       select coalesce(c.owner_id, e.owner_id, k.owner_id, h.owner_id) as owner_id, concat_ws(chr(10) || chr(10), nullif(cards, ''), nullif(excerpt, ''), nullif(snippets, ''), nullif(passages, '')) as context
+       from c full join e on e.owner_id = c.owner_id full join h on h.owner_id = coalesce(c.owner_id, e.owner_id) full join k on k.owner_id = coalesce(c.owner_id, e.owner_id, h.owner_id)""",
 )
 def assemble_context(t):
-    d = t.documents
+    # A reader's place in a book, so that no card tells what comes after it.
+    cards = t.summary_cards.join(t.reader_progress, F.col("owner_id") % 10 == F.col("book_id")).select(*t.summary_cards.columns, "safe_offset")
+    marked = t.highlights.select(F.col("book_id").alias("owner_id"), "range_id", "start", "end").join(t.documents.select(F.col("doc_id").alias("owner_id"), "text"), "owner_id")
+    snippet = F.trim(F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
     return C.assemble_context(
-        t.summary_cards.where("owner_id <= 500"),
-        d.where("doc_id <= 400").select(F.col("doc_id").alias("owner_id"), F.left("text", F.lit(80)).alias("excerpt")),
-        d.select(F.expr("doc_id % 100").alias("owner_id"), F.col("doc_id").alias("rank"), F.left("text", F.lit(40)).alias("text")),
+        cards,
+        t.documents.select(F.col("doc_id").alias("owner_id"), F.left("text", F.lit(800)).alias("excerpt")),
+        t.chapters.select(F.col("book_id").alias("owner_id"), F.col("chapter_index").alias("rank"), F.col("content").alias("text")),
+        marked.select("owner_id", "start", "range_id", snippet.alias("snippet")),
     )
 
 

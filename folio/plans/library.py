@@ -106,13 +106,13 @@ def move_entry(t):
 
 @query(
     "unique_names",
-    """with e as (select distinct source as name from {documents} where doc_id < 10),
-       r as (select doc_id as id, source as name, row_number() over (partition by source order by doc_id) - 1 + case when source in (select name from e) then 1 else 0 end as i from {documents} where doc_id < 200)
+    """with e as (select distinct source as name from {documents} where lang = 'de'),
+       r as (select doc_id as id, source as name, row_number() over (partition by source order by doc_id) - 1 + case when source in (select name from e) then 1 else 0 end as i from {documents})
        select id, case when i = 0 then name else name || ' (' || (i + 1) || ')' end as name from r""",
 )
 def unique_names(t):
     d = t.documents.select(F.col("doc_id").alias("id"), F.col("source").alias("name"))
-    return L.unique_names(d.where("id < 200"), d.where("id < 10"))
+    return L.unique_names(d, t.documents.where("lang = 'de'").select(F.col("source").alias("name")))
 
 
 @query(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folio.functions import text as T
 from folio.operators import replies as P
 from folio.plans.registry import query
+from folio.plans.texts import BLOCK_SPACE
 from folio.sources import corpus as S
 
 
@@ -12,9 +13,9 @@ def _longs(df):
     return df.select(*[F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes])
 
 
-@query("decode_text", r"""select doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), ' ' || chr(10)) as text from {documents} where not regexp_matches(text, '[ \t][ \t]|\n\n\n')""")
+@query("decode_text", f"select doc_id, {BLOCK_SPACE.format('text')} as text from {{documents}}")
 def decode_text(t):
-    d = t.documents.where(r"not text rlike '[ \\t][ \\t]|\\n\\n\\n'")
+    d = t.documents
     raw = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).otherwise(F.encode("text", "UTF-8"))
     return S.decode_text(d.select("doc_id", raw.alias("content")), ["doc_id"], "content")
 

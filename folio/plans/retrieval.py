@@ -7,9 +7,11 @@ from folio.operators import retrieval as R
 from folio.plans.registry import query
 
 _CLEAN_Q = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(query_text, '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')))"""
+_CLEAN = r"""trim(regexp_replace(regexp_replace(regexp_replace({0}, '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
 _TERMS = f"""found as (select query_id, query_vec, regexp_extract_all({_CLEAN_Q}, '[a-z0-9][a-z0-9]+') as f from {{queries}}),
-  terms as (select query_id, any_value(query_vec) as query_vec, list_slice(list(term order by i), 1, 12) as terms from (
-     select query_id, query_vec, term, min(i) as i from (select query_id, query_vec, unnest(f) as term, generate_subscripts(f, 1) as i from found) group by all) group by query_id)"""
+  named as (select query_id, list_slice(list(term order by i), 1, 12) as terms from (
+     select query_id, term, min(i) as i from (select query_id, unnest(f) as term, generate_subscripts(f, 1) as i from found) group by all) group by query_id),
+  terms as (select f.query_id, f.query_vec, coalesce(n.terms, []) as terms from found f left join named n on n.query_id = f.query_id)"""
 _SCORED = f"""{_TERMS}, scored as (
   select query_id, chunk_id, book_id, start_offset, end_offset, text,
     round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: cast(embedding[i] as double) * cast(query_vec[i] as double)))
@@ -99,11 +101,13 @@ def topk_per_book(t):
 
 
 _META = """meta as (select book_id, count(*) as chunk_count, cast(max(end_offset) as bigint) as indexed_up_to, case when book_id % 3 = 0 then 'old' else 'sig' end as content_signature,
-   'm' || (book_id % 2) as model_id from {chunks} where book_id < 8 group by book_id)"""
+   'm' || (book_id % 2) as model_id from {chunks} group by book_id)"""
+#: Books with a multiple of four passages count as not indexed yet.
+_SOME = "indexed as (select * from meta where chunk_count % 4 <> 0)"
 
 
 def _meta(t):
-    m = t.chunks.where("book_id < 8").groupBy("book_id").agg(F.count("*").alias("chunk_count"), F.max("end_offset").alias("indexed_up_to"))
+    m = t.chunks.groupBy("book_id").agg(F.count("*").alias("chunk_count"), F.max("end_offset").alias("indexed_up_to"))
     return m.withColumn("content_signature", F.expr("case when book_id % 3 = 0 then 'old' else 'sig' end")).withColumn("model_id", F.expr("concat('m', book_id % 2)"))
 
 
@@ -112,18 +116,18 @@ def _targets(t):
 
 
 _NEED = """need as (select p.book_id, p.safe_offset * 2 as target, m.book_id is null or chunk_count <= 0 or content_signature <> 'sig' or p.safe_offset * 2 > indexed_up_to as needs_index
-   from {reader_progress} p left join meta m on m.book_id = p.book_id)"""
+   from {reader_progress} p left join indexed m on m.book_id = p.book_id)"""
 
 
-@query("needs_index", f"with {_META}, {_NEED} select cast(book_id as bigint) as book_id, needs_index from need")
+@query("needs_index", f"with {_META}, {_SOME}, {_NEED} select cast(book_id as bigint) as book_id, needs_index from need")
 def needs_index(t):
-    return R.needs_index(_targets(t), _meta(t)).select(F.col("book_id").cast("long").alias("book_id"), "needs_index")
+    return R.needs_index(_targets(t), _meta(t).where("chunk_count % 4 <> 0")).select(F.col("book_id").cast("long").alias("book_id"), "needs_index")
 
 
-@query("index_backlog", f"with {_META}, {_NEED} select cast(book_id as bigint) as book_id, row_number() over (order by book_id = 5 desc, target desc, book_id) as rank from need where needs_index")
+@query("index_backlog", f"with {_META}, {_SOME}, {_NEED} select cast(book_id as bigint) as book_id, row_number() over (order by book_id = 5 desc, target desc, book_id) as rank from need where needs_index")
 def index_backlog(t):
     books = _targets(t).withColumn("last_read_at", F.col("target"))
-    return _out(R.index_backlog(books, _meta(t), F.col("book_id") == 5), ["book_id", "rank"])
+    return _out(R.index_backlog(books, _meta(t).where("chunk_count % 4 <> 0"), F.col("book_id") == 5), ["book_id", "rank"])
 
 
 @query("build_index_meta", f"""select cast(book_id as bigint) as book_id, count(*) as chunk_count, greatest(max(end_offset), any_value(5000 + 1000 * book_id)) as indexed_up_to, 's' as content_signature from {{chunks}} group by book_id""")
@@ -153,6 +157,16 @@ def build_query_text(t):
     return R.build_query_text(t.messages)
 
 
+@query(
+    "note_query_text",
+    f"""select doc_id, right(case when reply <> '' and note <> '' then reply || chr(10) || note when reply <> '' then reply else note end, 1200) as query_text
+        from (select doc_id, {_CLEAN.format("text")} as note, case when doc_id % 3 = 0 then '' else 'Tell me about ' || source end as reply from {{documents}})""",
+)
+def note_query_text(t):
+    reply = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.concat(F.lit("Tell me about "), "source"))
+    return t.documents.select("doc_id", R.note_query_text(F.col("text"), reply).alias("query_text"))
+
+
 @query("content_signature")
 def content_signature(t):
     return R.content_signature(t.chapters)

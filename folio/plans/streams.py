@@ -77,10 +77,10 @@ def stream_index_refresh(t):
     return merged.groupBy("book_id").agg(F.max("target").alias("target"))
 
 
-@query("stream_rollback", "select event_id, event_id % 20 as generation_id from events where event_id % 20 not in (select user_id % 20 from events where event_type = 'error' and user_id < 7)")
+@query("stream_rollback", "select event_id, event_id % 500 as generation_id from events where event_id % 500 not in (select user_id from events where event_type = 'error')")
 def stream_rollback(t):
     found = []
-    underlines = t.events.select("event_id", F.expr("event_id % 20").alias("generation_id"))
-    rollbacks = _events(t).where("event_type = 'error' and user_id < 7").select(F.expr("user_id % 20").alias("generation_id"))
+    underlines = t.events.select("event_id", F.expr("event_id % 500").alias("generation_id"))
+    rollbacks = _events(t).where("event_type = 'error'").select(F.col("user_id").alias("generation_id"))
     X.stream_rollback(rollbacks, underlines, found.append)
     return found[-1].select("event_id", "generation_id") if found else underlines

@@ -7,6 +7,10 @@ from folio.operators import segments as S
 from folio.plans.registry import query
 
 
+#: The cleaning of blocks as DuckDB SQL, for texts without quotes and spaces of other kinds.
+BLOCK_SPACE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t][ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
+
+
 def _longs(df):
     return df.select(*[F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes])
 
@@ -253,14 +257,17 @@ def order_cached_chunks(t):
 @query("reading_excerpt")
 def reading_excerpt(t):
     p = t.positions.select("book_id", F.col("event_id").alias("position_id"), F.col("global_char_offset").alias("position"))
-    fit = p.join(t.books.select("book_id", "full_text_length"), "book_id").where("position <= full_text_length").drop("full_text_length")
-    return S.reading_excerpt(fit, t.books, 300)
+    return S.reading_excerpt(p, t.books, 300)
 
 
-@query("locate_quote", """select doc_id, position(regexp_replace(substr(text, 31, 40), '\\s+', '', 'g') in regexp_replace(text, '\\s+', '', 'g')) > 0 as found from {documents} where length(text) > 100""")
+@query(
+    "locate_quote",
+    """with q as (select doc_id, regexp_replace(substr(text, 31, 40), '\\s+', '', 'g') as quote, regexp_replace(text, '\\s+', '', 'g') as bare from {documents})
+       select doc_id, coalesce(quote <> '' and position(quote in bare) > 0, false) as found from q""",
+)
 def locate_quote(t):
     at = S.locate_quote(F.col("text"), F.substring("text", 31, 40))
-    return t.documents.where("length(text) > 100").select("doc_id", at.isNotNull().alias("found"))
+    return t.documents.select("doc_id", at.isNotNull().alias("found"))
 
 
 @query("math_regions")
@@ -278,16 +285,16 @@ def sanitize(t):
 
 @query(
     "strip_markdown",
-    r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '_(.+?)_', '\1', 'g'), ' ' || chr(10)) as text from {documents} where not regexp_matches(text, '\n\n\n') and not regexp_matches(text, '(?m)^(#{1,6}|[0-9]+[.]|[-*+])\s')""",
+    r"""with a as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?m)^#{1,6}\s+', '', 'g'), '(?m)^[0-9]+[.]\s+', '', 'g'), '(?m)^[-*+]\s+', '', 'g') as text from {documents})
+        select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '__(.+?)__', '\1', 'g'), '_(.+?)_', '\1', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) as text from a""",
 )
 def strip_markdown(t):
-    plain = t.documents.where(r"not text rlike '\\n\\n\\n' and not text rlike '(?m)^(#{1,6}|[0-9]+[.]|[-*+])\\s'")
-    return plain.select("doc_id", T.strip_markdown(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", T.strip_markdown(F.col("text")).alias("text"))
 
 
-@query("fix_typography", r"""select doc_id, trim(regexp_replace(regexp_replace(text, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), ' ' || chr(10)) as text from {documents} where not regexp_matches(text, '[ \t][ \t]|\n\n\n')""")
+@query("fix_typography", f"select doc_id, {BLOCK_SPACE.format('text')} as text from {{documents}}")
 def fix_typography(t):
-    return t.documents.where(r"not text rlike '[ \\t][ \\t]|\\n\\n\\n'").select("doc_id", T.normalize_block(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", T.normalize_block(F.col("text")).alias("text"))
 
 
 @query("safe_file_names", r"""select doc_id, substr(regexp_replace(trim(regexp_replace(regexp_replace(left(text, 120), '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '\s+', ' ', 'g')), '[. ]+$', ''), 1, 96) as name, lpad(cast(doc_id + 1 as varchar), cast(greatest(3, length(cast(doc_id + 1 as varchar))) as integer), '0') as number from {documents}""")
