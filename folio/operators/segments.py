@@ -467,10 +467,9 @@ def reading_excerpt(positions: DataFrame, books: DataFrame, n: int = 800) -> Dat
     """
     spans = split_sentences(books.select("book_id", F.col("full_text").alias("text")), ["book_id"])
     done = spans.where("boundary_type is not null")
-    length = F.coalesce(F.length("full_text"), F.lit(0))
-    inside = F.greatest(F.lit(0), F.least(F.col("position"), length)).cast("long")
-    known = positions.join(books.select("book_id", length.alias("_n"), F.lit(True).alias("_known")), "book_id", "left")
-    positions = known.select("book_id", "position_id", F.coalesce(F.greatest(F.lit(0), F.least("position", "_n")), F.lit(0)).cast("long").alias("position"))
+    known = positions.join(books.select("book_id", F.coalesce(F.length("full_text"), F.lit(0)).alias("_n")), "book_id", "left")
+    inside = F.greatest(F.lit(0), F.least(F.col("position"), F.coalesce("_n", F.lit(0)))).cast("long")
+    positions = known.select("book_id", "position_id", inside.alias("position"))
     p = _as_of(positions, "position", done, "end", "_end").withColumn("_end", F.coalesce("_end", "position"))
     p = p.withColumn("_raw", F.greatest(F.lit(0), F.col("_end") - n))
     p = _as_of(_as_of(p, "_raw", spans, "end", "_prev"), "_raw", spans, "start", "_next", forward=True)
