@@ -61,19 +61,15 @@ def _codes() -> _Codes:
     return sys.__dict__.setdefault("_folio_codes", _Codes())
 
 
-def buckets(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the words, of their shapes, and of the marks, in the order of the text."""
+def buckets(text: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Buckets of the words and of their shapes, and how many word triples stand before in the text."""
     words = text.split()
     both = np.fromiter(map(_codes().__getitem__, words), dtype=np.int64, count=len(words))
     own, shape = both >> 32, both & 0xFFFFFFFF
-    marks = np.full(len(words), _NEW)
-    if len(words) > 2:
-        triple = (own[:-2] * BUCKETS + own[1:-1]) * BUCKETS + own[2:]
-        _, first = np.unique(triple, return_index=True)
-        seen = np.ones(len(triple), dtype=bool)
-        seen[first] = False
-        marks[2:][seen] = _SEEN
-    return own, shape, marks
+    if len(words) < 3:
+        return own, shape, 0
+    triple = np.sort((own[:-2] * BUCKETS + own[1:-1]) * BUCKETS + own[2:])
+    return own, shape, int(np.count_nonzero(triple[1:] == triple[:-1]))
 
 
 def index_places() -> np.ndarray:
@@ -148,12 +144,13 @@ def train_vectors(texts: DataFrame) -> np.ndarray:
 
 def pooled(vectors: np.ndarray, text: str) -> np.ndarray:
     """Means of the text's word, shape and mark vectors; zeros for a text without words."""
-    parts = buckets(text)
-    n = len(parts[0])
-    out = np.zeros((len(parts), DIM), dtype=np.float64)
-    for i, rows in enumerate(parts):
+    own, shape, seen = buckets(text)
+    n = len(own)
+    out = np.zeros((3, DIM), dtype=np.float64)
+    for i, rows in enumerate((own, shape)):
         for at in range(0, n, 8192):
             out[i] += vectors[rows[at : at + 8192]].sum(axis=0)
+    out[2] = seen * vectors[_SEEN].astype(np.float64) + (n - seen) * vectors[_NEW].astype(np.float64)
     return (out / max(n, 1)).ravel()
 
 
