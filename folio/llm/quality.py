@@ -36,7 +36,7 @@ PARTS = 8
 HIDDEN = 32
 THRESHOLD = 0.3
 #: Words whose contexts are added at once.
-TOGETHER = 100_000
+TOGETHER = 200_000
 #: Rows of the vector table in one message between tasks; they are added up one by one.
 _CHUNK = 64
 
@@ -149,7 +149,7 @@ def pooled(vectors: np.ndarray, text: str) -> np.ndarray:
     out = np.zeros((3, DIM), dtype=np.float64)
     for i, rows in enumerate((own, shape)):
         for at in range(0, n, 8192):
-            out[i] += vectors[rows[at : at + 8192]].sum(axis=0)
+            out[i] += np.add.reduce(vectors.take(rows[at : at + 8192], axis=0), axis=0)
     out[2] = seen * vectors[_SEEN].astype(np.float64) + (n - seen) * vectors[_NEW].astype(np.float64)
     return (out / max(n, 1)).ravel()
 
