@@ -74,18 +74,38 @@ def split_ranges_by_chapter(ranges: DataFrame, offsets: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def annotate_segments(paragraphs: DataFrame, highlights: DataFrame) -> DataFrame:
-    """Paragraphs cut at highlight borders: segments with the colour of the last range that covers them."""
-    met = overlap_join(paragraphs, highlights, ["book_id", "chapter_key"]).withColumn("from_", F.greatest("start", "start_r")).withColumn("to_", F.least("end", "end_r"))
-    keys = ["book_id", "chapter_key", "paragraph_index", "start", "end"]
-    ends = paragraphs.select(*keys, F.explode(F.array("start", "end")).alias("at")).union(met.select(*keys, F.explode(F.array("from_", "to_")).alias("at"))).distinct()
-    nxt = F.lead("at").over(Window.partitionBy(*keys[:3]).orderBy("at"))
-    pieces = ends.withColumn("until", nxt).where("until > at")
-    cover = met.select(*keys, "from_", "to_", F.col("color_r").alias("color"), F.col("range_id_r").alias("range_id"))
-    painted = pieces.join(cover, keys, "left")
+def annotate_segments(paragraphs: DataFrame, highlights: DataFrame, underlines: DataFrame | None = None, math: DataFrame | None = None) -> DataFrame:
+    """Paragraphs cut at the borders of ranges: segments with the colour of the last highlight that covers them.
+
+    ``underlines`` (book_id, chapter_key, start, end) add cuts and the column ``underlined``. ``math`` (book_id,
+    chapter_key, paragraph_index, start, end, content, display; places in the paragraph, none over another) adds
+    segments with ``math`` (its content) and ``display``: those stay whole and bear neither colour nor underline.
+    """
+    keys = ["book_id", "chapter_key", "paragraph_index"]
+    ranges = highlights.select("book_id", "chapter_key", "start", "end", "color", "range_id", F.lit(False).alias("under"))
+    if underlines is not None:
+        ranges = ranges.unionByName(underlines.select("book_id", "chapter_key", "start", "end", F.lit(True).alias("under")), allowMissingColumns=True)
+    met = overlap_join(paragraphs.select(*keys, "start", "end"), ranges, keys[:2])
+    cover = met.select(*keys, F.greatest("start", "start_r").alias("from_"), F.least("end", "end_r").alias("to_"), F.col("color_r").alias("color"), F.col("range_id_r").alias("range_id"), F.col("under_r").alias("under"))
+    cuts = paragraphs.select(*keys, F.explode(F.array("start", "end")).alias("at")).union(cover.select(*keys, F.explode(F.array("from_", "to_")).alias("at")))
+    if math is not None:
+        local = math.select(*keys, F.col("start").alias("s"), F.col("end").alias("e"), F.col("content").alias("math"), "display")
+        placed = paragraphs.join(local, keys).select(*keys, F.greatest("start", F.col("start") + F.col("s")).alias("m_from"), F.least("end", F.col("start") + F.col("e")).alias("m_to"), "math", "display").where("m_from < m_to")
+        inner = placed.select(*[F.col(k).alias(f"_{k}") for k in keys], "m_from", "m_to")
+        apart = cuts.join(inner, [*(F.col(k) == F.col(f"_{k}") for k in keys), F.col("at") > F.col("m_from"), F.col("at") < F.col("m_to")], "left_anti")
+        cuts = apart.union(placed.select(*keys, F.explode(F.array("m_from", "m_to")).alias("at")))
+    pieces = cuts.distinct().withColumn("until", F.lead("at").over(Window.partitionBy(*keys).orderBy("at"))).where("until > at")
     inside = (F.col("from_") <= F.col("at")) & (F.col("to_") >= F.col("until"))
-    last = F.max(F.when(inside, F.struct("range_id", "color")))["color"]
-    return painted.groupBy(*keys[:3], "at", "until").agg(last.alias("color")).select("book_id", "chapter_key", "paragraph_index", F.col("at").alias("start"), F.col("until").alias("end"), "color")
+    last = F.max(F.when(inside & ~F.col("under"), F.struct("range_id", "color")))["color"]
+    lined = F.coalesce(F.max(inside & F.col("under")), F.lit(False))
+    out = pieces.join(cover, keys, "left").groupBy(*keys, "at", "until").agg(last.alias("color"), lined.alias("underlined"))
+    shown = ["color"] + ["underlined"] * (underlines is not None)
+    if math is not None:
+        starts = placed.select(*keys, F.col("m_from").alias("at"), "math", "display")
+        plain = F.col("math").isNull()
+        out = out.join(starts, [*keys, "at"], "left").withColumn("color", F.when(plain, F.col("color"))).withColumn("underlined", plain & F.col("underlined"))
+        shown += ["math", "display"]
+    return out.select(*keys, F.col("at").alias("start"), F.col("until").alias("end"), *shown)
 
 
 def excerpt_highlights(highlights: DataFrame, excerpts: DataFrame, limit: int = 12) -> DataFrame:

@@ -490,10 +490,97 @@ def locate_quote(excerpt: Column, quote: Column) -> Column:
     return F.when((needle != "") & (back > 0), F.struct(F.get(places, first).alias("start"), (F.get(places, first + F.length(needle) - 1) + 1).alias("end")))
 
 
-MATH = r"(\$\$(?:[^$]|\\\$)+?\$\$|(?<![\\$])\$(?![\s\d.,]+(?:\s|$))(?:[^$\n\\]|\\.)+?(?<!\s)\$(?!\d)|\\\[(?s:.+?)\\\]|\\\(.+?\\\)|[∑∏∫√∞≤≥≠±×÷∂∇∈∉⊂⊃∪∩→⇒⇔∀∃]+)"
+# Signs that hint at mathematics, each with its LaTeX; those that suffice alone; what may stand between.
+_LATEX = r"""
+α \alpha β \beta γ \gamma δ \delta ε \varepsilon ζ \zeta η \eta θ \theta ι \iota κ \kappa λ \lambda μ \mu ν \nu ξ \xi π \pi ρ \rho
+σ \sigma ς \varsigma τ \tau υ \upsilon φ \varphi χ \chi ψ \psi ω \omega ϵ \epsilon ϑ \vartheta ϕ \phi ϱ \varrho ϖ \varpi
+Γ \Gamma Δ \Delta Θ \Theta Λ \Lambda Ξ \Xi Π \Pi Σ \Sigma Υ \Upsilon Φ \Phi Ψ \Psi Ω \Omega
+± \pm ∓ \mp × \times ÷ \div · \cdot ∘ \circ ∙ \bullet ⊕ \oplus ⊗ \otimes ⊖ \ominus ⊙ \odot ∧ \wedge ∨ \vee ∩ \cap ∪ \cup
+⊓ \sqcap ⊔ \sqcup ⋆ \star ⋄ \diamond † \dagger ‡ \ddagger
+∑ \sum ∏ \prod ∐ \coprod ∫ \int ∬ \iint ∭ \iiint ∮ \oint ⋂ \bigcap ⋃ \bigcup ⨁ \bigoplus ⨂ \bigotimes
+≤ \leq ≥ \geq ≠ \neq ≈ \approx ≡ \equiv ∼ \sim ≃ \simeq ≅ \cong ≺ \prec ≻ \succ ⪯ \preceq ⪰ \succeq
+⊂ \subset ⊃ \supset ⊆ \subseteq ⊇ \supseteq ⊊ \subsetneq ⊋ \supsetneq ∈ \in ∉ \notin ∋ \ni
+∝ \propto ∥ \parallel ∦ \nparallel ⊥ \perp ≪ \ll ≫ \gg ⟂ \perp ⊢ \vdash ⊨ \models
+→ \to ← \leftarrow ↔ \leftrightarrow ⇒ \Rightarrow ⇐ \Leftarrow ⇔ \Leftrightarrow ↦ \mapsto ↑ \uparrow ↓ \downarrow
+⇑ \Uparrow ⇓ \Downarrow ⟶ \longrightarrow ⟵ \longleftarrow ⟷ \longleftrightarrow ⟹ \Longrightarrow ⟸ \Longleftarrow
+∞ \infty ∂ \partial ∇ \nabla ∀ \forall ∃ \exists ∄ \nexists ∅ \emptyset ∎ \blacksquare □ \square ¬ \neg ℵ \aleph ℓ \ell ℘ \wp
+⋯ \cdots ⋮ \vdots ⋱ \ddots ℕ \mathbb{N} ℤ \mathbb{Z} ℚ \mathbb{Q} ℝ \mathbb{R} ℂ \mathbb{C} ℍ \mathbb{H} ℙ \mathbb{P} ℑ \Im ℜ \Re
+′ ' ″ '' ‴ ''' ⁗ '''' − -
+""".split()
+_STRONG = set("⊂⊃⊆⊇⊊⊋∈∉∋∀∃∄∑∏∫∬∭∮∪∩⋂⋃→←↔⇒⇐⇔↦⟶⟵⟹⟸≤≥≠≈≡∼≃≅≪≫∞∂∇∅∝⊥∥ℕℤℚℝℂℍℙ±∓⊕⊗⊖⊙")
+_BETWEEN, _AFTER, _FORMULA = r"[A-Za-z0-9 ()\[\]{}.,;:+\-*/=<>|!&^_\\'\"]", r"[.,;:)\]}!?]", r"\\^_{}=+\-*/<>"
+
+_TO_LATEX = dict(zip(_LATEX[::2], _LATEX[1::2], strict=True))
+_HINT = "[" + "".join(_TO_LATEX) + "]"
+_BARE = re.compile(f"{_HINT}+(?:{_BETWEEN}{{1,4}}{_HINT}+)*{_AFTER}*")
+_OPENING = re.compile(r"(\\*)(\$\$?)|\\+([\[(])")
+#: Opening mark -> the whole region from there, its content as group 1.
+_REGION = {
+    "$$": re.compile(r"(?s)\$\$(?!\s*\$\$)((?:[^$\\]|\\.|\$(?!\$))++)\$\$"),
+    "$": re.compile(rf"(?s)\$(?=\S)(?=(?:(?!\n\n)[^${_FORMULA}])*[{_FORMULA}])((?:(?!\n\n)[^$\\]|\\(?!\n\n).)++)(?<!\s)\$"),
+    "[": re.compile(r"(?s)\\\[(?!\s*\\\])(.+?)\\\]"),
+    "(": re.compile(r"(?s)\\\((?!\s*\\\))(.+?)\\\)"),
+}
+_CLOSING = {"$$": "$$", "$": "$", "[": "\\]", "(": "\\)"}
+
+
+def _delimited(text: str) -> list[tuple[int, int, str, bool]]:
+    """Formulas between marks: start, end, content, whether displayed. A mark after an odd number of backslashes is none."""
+    final = {k: text.rfind(c) for k, c in _CLOSING.items()}
+    out, at = [], 0
+    while m := _OPENING.search(text, at):
+        mark = m[2] or m[3]
+        start = m.start(2) if m[2] else m.end() - 2
+        if m[2] and len(m[1]) % 2:
+            at = start + 1
+        elif final[mark] > start and (found := _REGION[mark].match(text, start)):
+            out.append((start, found.end(), found[1], mark in ("$$", "[")))
+            at = found.end()
+        else:
+            at = start + (1 if m[2] else 2)
+    return out
+
+
+def _latex(run: str) -> str:
+    """Signs as commands, parted from a letter that follows."""
+    return re.sub(r"(\\[A-Za-z]+)\x00(?=([A-Za-z])?)", lambda m: m[1] + " " * bool(m[2]), "".join(f"{_TO_LATEX[c]}\x00" if c in _TO_LATEX else c for c in run)).replace("\x00", "")
+
+
+def math_spans(text: str | None) -> list[tuple[int, int, str, bool]]:
+    """Formulas in order: those between marks, and runs of bare mathematical signs that meet none of them.
+
+    A run counts with one sign that suffices alone, or two hints. Null and empty texts have none.
+    """
+    text = text or ""
+    marked = _delimited(text) if "$" in text or "\\" in text else []
+    starts = [m[0] for m in marked]
+    out = list(marked)
+    for m in _BARE.finditer(text):
+        if _STRONG.isdisjoint(m[0]) and sum(c in _TO_LATEX for c in m[0]) < 2:
+            continue
+        before = bisect_left(starts, m.end()) - 1  # the last formula that starts before the run's end
+        if before < 0 or marked[before][1] <= m.start():
+            out.append((m.start(), m.end(), _latex(m[0]), False))
+    return sorted(out)
 
 
 def math_regions(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Formulas and runs of mathematical signs in each text: how many, and how many characters."""
-    found = F.regexp_extract_all("text", F.lit(MATH), F.lit(1))
-    return texts.select(*keys, F.size(found).alias("regions"), F.length(F.array_join(found, "")).alias("characters"))
+    """``keys``, ``start``, ``end``, ``content`` and ``display`` of each formula in the column ``text``; code points, end exclusive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, *r) for i, t in enumerate(b.column("text").to_pylist()) for r in math_spans(t)]
+            which, start, end, content, display = zip(*found, strict=True) if found else [()] * 5
+            kept = [b.column(k).take(pa.array(which, pa.int64())) for k in keys]
+            made = [pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(content, pa.string()), pa.array(display, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=[*keys, "start", "end", "content", "display"])
+
+    df = texts.select(*keys, "text")
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    return df.mapInArrow(run, f"{kinds}start long, end long, content string, display boolean")
+
+
+def math_coverage(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """How many formulas each text has, and how many characters they take; ``keys`` tell rows apart."""
+    found = math_regions(texts, keys).groupBy(*keys).agg(F.count("*").alias("regions"), F.sum(F.col("end") - F.col("start")).alias("characters"))
+    return texts.select(*keys).join(found, keys, "left").select(*keys, F.coalesce("regions", F.lit(0)).alias("regions"), F.coalesce("characters", F.lit(0)).alias("characters"))

@@ -97,6 +97,23 @@ def annotate_segments(t):
     return I.annotate_segments(_paragraphs(t), t.highlights)
 
 
+@query(
+    "annotate_layers",
+    f"""with {_PARAGRAPHS}, met as (
+          select p.*, greatest(p.start, h.start) as f, least(p."end", h."end") as u, h.color, h.range_id, h.color = 'view' as under from paragraphs p join {{highlights}} h
+          on h.book_id = p.book_id and h.chapter_key = p.chapter_key and h.start < p."end" and h."end" > p.start and h."end" > h.start and p."end" > p.start),
+        cuts as (select book_id, chapter_key, paragraph_index, start as pos from paragraphs union select book_id, chapter_key, paragraph_index, "end" from paragraphs
+                 union select book_id, chapter_key, paragraph_index, f from met union select book_id, chapter_key, paragraph_index, u from met),
+        pieces as (select *, lead(pos) over (partition by book_id, chapter_key, paragraph_index order by pos) as til from cuts)
+        select p.book_id, p.chapter_key, p.paragraph_index, pos as start, til as "end", arg_max(m.color, m.range_id) filter (not m.under) as color, coalesce(bool_or(m.under), false) as underlined
+        from pieces p left join met m on m.book_id = p.book_id and m.chapter_key = p.chapter_key and m.paragraph_index = p.paragraph_index and m.f <= pos and m.u >= til
+        where til > pos group by all""",
+)
+def annotate_layers(t):
+    """Views count as underlines, other events as highlights."""
+    return I.annotate_segments(_paragraphs(t), t.highlights.where("color <> 'view'"), t.highlights.where("color = 'view'"))
+
+
 _EXCERPTS = """excerpts as (select bookmark_id as excerpt_id, book_id, 'chapter-' || (bookmark_id % 5) as chapter_key, greatest(0, global_char_offset - 400) as start, global_char_offset + 400 as "end" from {bookmarks})"""
 
 

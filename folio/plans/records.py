@@ -94,6 +94,28 @@ def parse_replies(t):
     return P.parse_replies(m, ["conversation_key", "msg_index"], 2, 3).select("conversation_key", "msg_index", F.size("bubbles").cast("long").alias("n"), "underline")
 
 
+@query(
+    "parse_comments",
+    r"""with m as (select *, trim(content, e' \n\r\t') as bare from {messages} where content <> '')
+       select conversation_key, msg_index, case when msg_index % 3 = 0 then trim(split_part(bare, chr(10), 1), e' \n\r\t') || chr(10) || 'end' else bare end as comment from m""",
+)
+def parse_comments(t):
+    content = F.when(F.col("msg_index") % 3 == 0, F.concat(F.lit("[评论] "), T.strip(F.col("content")), F.lit("\n【评论】end "))).otherwise(F.col("content"))
+    m = t.messages.where("content <> ''").select("conversation_key", "msg_index", content.alias("reply"))
+    return P.parse_replies(m, ["conversation_key", "msg_index"], 1, 1).select("conversation_key", "msg_index", "comment")
+
+
+@query(
+    "parse_sticky_notes",
+    r"""select conversation_key, msg_index, regexp_replace(trim(content, e' \n\r\t'), '\n\n\n+', chr(10) || chr(10), 'g') as sticky_note from {messages} where content <> ''""",
+)
+def parse_sticky_notes(t):
+    k = F.col("msg_index") % 3
+    wrapped = F.when(k == 0, F.concat(F.lit("Here:\n<Sticky_Note>\n"), "content", F.lit("</sticky_note> done"))).when(k == 1, F.concat(F.lit("so\n```markdown\n"), "content", F.lit("\n```"))).otherwise(F.col("content"))
+    m = t.messages.where("content <> ''").select("conversation_key", "msg_index", wrapped.alias("reply"))
+    return P.parse_replies(m, ["conversation_key", "msg_index"], 1, 1).select("conversation_key", "msg_index", "sticky_note")
+
+
 @query("parse_quiz_json", "select p_partkey, case when p_partkey % 4 = 0 then 0 when p_partkey % 4 = 1 then 1 else 2 end as questions from {part}")
 def parse_quiz_json(t):
     q = lambda correct: F.struct(F.col("p_name").alias("question"), F.array("p_type", "p_brand").alias("options"), F.array(correct).alias("correct"), F.lit("single").alias("type"))

@@ -275,6 +275,11 @@ def math_regions(t):
     return S.math_regions(t.documents.select("doc_id", "text"), ["doc_id"])
 
 
+@query("math_coverage")
+def math_coverage(t):
+    return S.math_coverage(t.documents.select("doc_id", "text"), ["doc_id"])
+
+
 @query(
     "sanitize",
     r"""select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) as text from {documents}""",

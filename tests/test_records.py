@@ -115,6 +115,43 @@ def test_replies(spark):
     assert got == {1: ["a", "b", "b"], 2: ["one", "two", "two"], 3: ["x", "y", "z"], 4: []}
 
 
+def test_comments_and_sticky_notes(spark):
+    rows = [
+        (1, " [评论] one \nskip\n【评论】two", "pre <STICKY_NOTE> a\r\nb\n\n\n\nc </sticky_note>"),
+        (2, "no mark\nsecond", "x ```text\n note\n``` y ```z```"),
+        (3, "[评论] a\r\n[评论] b\r\nc", "<sticky_note></sticky_note> ```k```"),
+        (4, "", "  "),
+        (5, None, None),
+    ]
+    df = spark.createDataFrame(rows, "k int, c string, s string")
+    got = {r["k"]: (r["a"], r["b"]) for r in df.select("k", P.comment_text(F.col("c")).alias("a"), P.sticky_note(F.col("s")).alias("b")).collect()}
+    assert got == {1: ("one\ntwo", "a\nb\n\nc"), 2: ("no mark\nsecond", "note"), 3: ("a\r\nb\r\nc", "k"), 4: ("", ""), 5: (None, None)}
+
+
+def test_segments_with_underlines_and_formulas(spark):
+    ranged = "book_id long, chapter_key string, start long, end long"
+    p = spark.createDataFrame([(1, "c", 0, 10, 30), (1, "c", 1, 31, 40)], "book_id long, chapter_key string, paragraph_index long, start long, end long")
+    h = spark.createDataFrame([(1, "c", 0, 14, "red", 1), (1, "c", 18, 35, "blue", 2)], f"{ranged}, color string, range_id long")
+    u = spark.createDataFrame([(1, "c", 12, 16), (1, "c", 22, 24), (1, "c", 33, 33)], ranged)
+    m = spark.createDataFrame([(1, "c", 0, 10, 13, "x^2", True), (1, "c", 1, 7, 99, "y", False)], "book_id long, chapter_key string, paragraph_index long, start long, end long, content string, display boolean")
+    rows = I.annotate_segments(p, h, u, m).collect()
+    got = sorted((r["paragraph_index"], r["start"], r["end"], r["color"], r["underlined"], r["math"], r["display"]) for r in rows)
+    assert got == [
+        (0, 10, 12, "red", False, None, None),
+        (0, 12, 14, "red", True, None, None),
+        (0, 14, 16, None, True, None, None),
+        (0, 16, 18, None, False, None, None),
+        (0, 18, 20, "blue", False, None, None),
+        (0, 20, 23, None, False, "x^2", True),  # the underline's border at 22 does not cut the formula
+        (0, 23, 24, "blue", True, None, None),
+        (0, 24, 30, "blue", False, None, None),
+        (1, 31, 35, "blue", False, None, None),
+        (1, 35, 38, None, False, None, None),
+        (1, 38, 40, None, False, "y", False),
+    ]
+    assert I.annotate_segments(p, h.limit(0), u.limit(0), m.limit(0)).count() == 2
+
+
 def test_quiz_json(spark):
     rows = [('```json\n[{"question":"q","options":["a","b"],"correct":[1]}]\n```',), ("[broken",), ('[{"question":"q","correct":[0]}]',), ("none",)]
     df = spark.createDataFrame(rows, "t string")

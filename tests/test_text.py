@@ -140,8 +140,42 @@ def test_quotes(spark):
 
 
 def test_math(spark):
-    df = spark.createDataFrame([(1, "$5 and $10"), (2, "$x^2$"), (3, "$$a$$ and \\(b\\)"), (4, "a \\$ b"), (5, "∑∞")], "k int, text string")
-    assert {r["k"]: r["regions"] for r in S.math_regions(df, ["k"]).collect()} == {1: 0, 2: 1, 3: 2, 4: 0, 5: 1}
+    rows = [(1, "$5 and $10"), (2, "$x^2$"), (3, "$$a$$ and \\(b\\)"), (4, "a \\$ b"), (5, "∑∞"), (6, None), (7, "")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    got = {r["k"]: (r["regions"], r["characters"]) for r in S.math_coverage(df, ["k"]).collect()}
+    assert got == {1: (0, 0), 2: (1, 5), 3: (2, 10), 4: (0, 0), 5: (1, 2), 6: (0, 0), 7: (0, 0)}
+    spans = {(r["k"], r["start"], r["end"], r["content"], r["display"]) for r in S.math_regions(df, ["k"]).collect()}
+    assert spans == {(2, 0, 5, "x^2", False), (3, 0, 5, "a", True), (3, 10, 15, "b", False), (5, 0, 2, "\\sum\\infty", False)}
+    assert S.math_regions(df.limit(0), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("\\[x ∈ A\\] ∈ B", [(0, 9, "x ∈ A", True), (10, 11, "\\in", False)]),  # a run inside a formula goes, one beside it stays
+        ("Ω → [ −∞, ∞ prose", [(0, 11, "\\Omega \\to [ -\\infty, \\infty", False)]),
+        ("α version", []),  # one hint is not enough
+        ("ΩC ⊂).", [(0, 6, "\\Omega C \\subset).", False)]),
+        ("α 12345 β", []),  # over four characters between
+        ("α 12 β", [(0, 6, "\\alpha 12 \\beta", False)]),
+        ("$$ $$ $a=b$", [(6, 11, "a=b", False)]),
+        ("$$$$x$$", [(1, 7, "$x", True)]),
+        ("\\\\$a+b$", [(2, 7, "a+b", False)]),  # two backslashes escape each other
+        ("\\$a+b$", []),
+        ("$\\$=1$", [(0, 6, "\\$=1", False)]),
+        ("$a\n\nb=c$", []),
+        ("$ab$", []),
+        ("\\[ \\] \\(\\)", []),
+        ("\\[ \\[ x", []),
+    ],
+)
+def test_math_spans(text, want):
+    assert S.math_spans(text) == want
+
+
+def test_math_in_long_texts_takes_linear_time():
+    for text in ("\\[" * 100_000, "$a " * 100_000, "$" * 200_001, "α" * 200_000, "\\" * 200_000 + "$"):
+        assert len(S.math_spans(text)) <= 1
 
 
 def test_titles(spark):
