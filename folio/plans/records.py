@@ -94,6 +94,25 @@ def parse_replies(t):
     return P.parse_replies(m, ["conversation_key", "msg_index"], 2, 3).select("conversation_key", "msg_index", F.size("bubbles").cast("long").alias("n"), "underline")
 
 
+@query(
+    "restore_old_archive",
+    r"""select conv_id as conversation_key, count(*) as messages, cast(sum(len(text)) as bigint) as characters from {conversations} group by conv_id""",
+)
+def restore_old_archive(t):
+    """Each conversation as a JSON object in the settings, as archives of old have it, restored in place of other tables."""
+    from folio.streaming.streams import _folder
+
+    talks = t.conversations.groupBy(F.col("conv_id").cast("string").alias("k")).agg(F.collect_list(F.struct("turn", "text")).alias("messages"))
+    settings = talks.select(F.lit("chat_history").alias("key"), F.to_json(F.create_map("k", F.struct("messages"))).alias("value"))
+    path, live = _folder(t.spark, "archive"), _folder(t.spark, "live")
+    S.export_archive(t.spark, {"settings": settings}, path, "2024-01-01T00:00:00Z")
+    S.replace_all(S.restore_archive(t.spark, path), live, {"images": "image_ref string, data_url string"})
+    kind = "messages array<struct<turn:long,text:string>>"
+    back = t.spark.read.parquet(f"{live}/conversations").select("conversation_key", F.from_json("bucket", kind)["messages"].alias("m"))
+    characters = F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
+    return back.select(F.col("conversation_key").cast(t.conversations.schema["conv_id"].dataType).alias("conversation_key"), F.size("m").cast("long").alias("messages"), characters.alias("characters"))
+
+
 @query(
     "parse_comments",
     r"""with m as (select *, trim(content, e' \n\r\t') as bare from {messages} where content <> '')

@@ -141,15 +141,55 @@ def export_archive(spark: SparkSession, tables: dict[str, DataFrame], path: str,
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
 
 
-def restore_archive(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an archive; ValueError if its manifest is missing, foreign or newer than this code."""
+#: Table of an archive -> the rows that a restore takes, where the table has these columns.
+ROW_RULES = {
+    "books": "book_id <> ''",
+    "images": "image_ref <> '' and data_url like 'data:%'",
+    "conversations": "conversation_key <> '' and bucket like '{%'",
+    "audio": "audio_key <> '' and audio is not null",
+    "settings": "key <> '' and value is not null",
+}
+
+
+def restore_archive(spark: SparkSession, path: str, rules: dict[str, str] | None = None, legacy_key: str = "chat_history") -> dict[str, DataFrame]:
+    """The tables of an archive; ValueError if its manifest is missing, foreign, undated or newer than this code.
+
+    ``rules`` (conditions by table name, ROW_RULES unless given) say which rows are taken; nulls go. Archives of old have
+    their chats in ``settings`` (key, value) as one JSON object of buckets by conversation under ``legacy_key``: where
+    ``conversations`` (conversation_key, bucket) is missing or has no good row, it is read from there; a broken object
+    gives none. The settings come back without that key.
+    """
     try:
         manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/_manifest").collect()))
     except Exception as e:
         raise ValueError(f"{path} has no readable manifest") from e
-    if manifest.get("schema") != SCHEMA_NAME or not isinstance(manifest.get("version"), int) or manifest["version"] > VERSION:
+    known = isinstance(manifest, dict) and manifest.get("schema") == SCHEMA_NAME
+    if not known or not isinstance(manifest.get("version"), int) or not 1 <= manifest["version"] <= VERSION or not manifest.get("exportedAt"):
         raise ValueError(f"{path} is not an archive that can be read here")
-    return {name: spark.read.parquet(f"{path}/{name}") for name in manifest["tables"]}
+    out = {}
+    for name in manifest["tables"]:
+        rule = (ROW_RULES if rules is None else rules).get(name)
+        df = spark.read.parquet(f"{path}/{name}")
+        out[name] = df.where(rule) if rule else df
+    if "settings" in out and {"key", "value"} <= set(out["settings"].columns):
+        old = out["settings"].where(F.col("key") == legacy_key)
+        out["settings"] = out["settings"].where(~F.col("key").eqNullSafe(legacy_key))
+        if "conversations" not in out or out["conversations"].isEmpty():
+            buckets = old.select(F.explode(F.from_json("value", "map<string,string>")).alias("conversation_key", "bucket"))
+            out["conversations"] = buckets.where(ROW_RULES["conversations"])
+    return out
+
+
+def replace_all(tables: dict[str, DataFrame], path: str, known: dict[str, str] | None = None) -> None:
+    """Each table in place of what ``path`` holds under its name; tables of ``known`` (name -> schema) that are not given become empty.
+
+    ``tables`` must not be read from ``path`` itself.
+    """
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    for name, schema in (known or {}).items():
+        if name not in tables:
+            SparkSession.active().createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def write_transcripts(transcripts: DataFrame, path: str) -> None:

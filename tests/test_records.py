@@ -165,6 +165,31 @@ def test_archives_are_checked(spark, tmp_path):
     assert corpus.restore_archive(spark, f"file://{tmp_path}/a")["t"].count() == 3
 
 
+def test_archives_of_old_and_bad_rows(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    settings = spark.createDataFrame([("chat_history", '{"k1":{"messages":[{"t":"a"}]},"":{},"k2":7}'), ("theme", "dark"), ("chat_history", "{broken"), (None, "x")], "key string, value string")
+    images = spark.createDataFrame([("i1", "data:x"), ("i2", "http://x"), (None, "data:y")], "image_ref string, data_url string")
+    none = spark.createDataFrame([], "conversation_key string, bucket string")
+    corpus.export_archive(spark, {"settings": settings, "images": images, "conversations": none}, f"{at}/a", "now")
+    got = corpus.restore_archive(spark, f"{at}/a")
+    assert [tuple(r) for r in got["conversations"].collect()] == [("k1", '{"messages":[{"t":"a"}]}')]
+    assert [tuple(r) for r in got["settings"].collect()] == [("theme", "dark")]
+    assert [r[0] for r in got["images"].collect()] == ["i1"]
+    # Chats of its own make an archive ignore the old ones.
+    own = spark.createDataFrame([("k9", "{}"), ("k8", "[]")], "conversation_key string, bucket string")
+    corpus.export_archive(spark, {"settings": settings, "conversations": own}, f"{at}/b", "now")
+    assert [r[0] for r in corpus.restore_archive(spark, f"{at}/b")["conversations"].collect()] == ["k9"]
+    assert corpus.restore_archive(spark, f"{at}/b", rules={})["conversations"].count() == 2
+    # A restore replaces what was there, and empties what the archive lacks.
+    corpus.replace_all({"images": spark.createDataFrame([("old", "data:z")], images.schema), "books": spark.createDataFrame([("b",)], "book_id string")}, f"{at}/live")
+    corpus.replace_all(got, f"{at}/live", {"books": "book_id string", "images": "image_ref string, data_url string"})
+    assert [r[0] for r in spark.read.parquet(f"{at}/live/images").collect()] == ["i1"]
+    assert spark.read.parquet(f"{at}/live/books").count() == 0
+    corpus.export_archive(spark, {"t": spark.range(1)}, f"{at}/c", "")
+    with pytest.raises(ValueError):
+        corpus.restore_archive(spark, f"{at}/c")
+
+
 def test_stream_sessions_equal_the_batch_twin(spark, tmp_path):
     rows = [(u, T0 + dt.timedelta(minutes=m)) for u in (1, 2) for m in (0, 10, 40, 45, 100, 131, 5000)]
     for i, part in enumerate((rows[:7], rows[7:])):
