@@ -192,6 +192,12 @@ def replace_all(tables: dict[str, DataFrame], path: str, known: dict[str, str] |
             SparkSession.active().createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def write_transcripts(transcripts: DataFrame, path: str) -> None:
-    """One folder for each conversation with its text."""
-    transcripts.select("conversation_key", F.col("text").alias("value")).write.mode("overwrite").partitionBy("conversation_key").text(path)
+def write_transcripts(transcripts: DataFrame, path: str, folders: bool = False) -> None:
+    """Texts by conversation: a JSON line each, in as many files as the table has partitions.
+
+    ``folders`` gives each conversation a folder of its own with its plain text; that is for few conversations, as every one makes a file.
+    """
+    if folders:
+        transcripts.select("conversation_key", F.col("text").alias("value")).write.mode("overwrite").partitionBy("conversation_key").text(path)
+    else:
+        transcripts.select("conversation_key", "text").write.mode("overwrite").json(path)

@@ -165,6 +165,14 @@ def test_archives_are_checked(spark, tmp_path):
     assert corpus.restore_archive(spark, f"file://{tmp_path}/a")["t"].count() == 3
 
 
+def test_transcripts_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x: 1\ny: 2"), ("b", "")], "conversation_key string, text string")
+    corpus.write_transcripts(df, f"file://{tmp_path}/lines")
+    assert sorted(map(tuple, spark.read.json(f"file://{tmp_path}/lines").collect())) == [("a", "x: 1\ny: 2"), ("b", "")]
+    corpus.write_transcripts(df, f"file://{tmp_path}/folders", folders=True)
+    assert (tmp_path / "folders" / "conversation_key=a").is_dir()
+
+
 def test_archives_of_old_and_bad_rows(spark, tmp_path):
     at = f"file://{tmp_path}"
     settings = spark.createDataFrame([("chat_history", '{"k1":{"messages":[{"t":"a"}]},"":{},"k2":7}'), ("theme", "dark"), ("chat_history", "{broken"), (None, "x")], "key string, value string")
