@@ -77,7 +77,10 @@ def _dense(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 class Space:
-    """Rows with one component more, so that all have the length of the longest; queries have none there."""
+    """Rows with one component more, so that all have the length of the longest; queries, stretched to that length, have none there.
+
+    Stretching a query changes no order of scores, and brings it as near to its hits as it can be.
+    """
 
     def __init__(self, dim: int, longest: int):
         self.dim, self.square = dim, float(longest)
@@ -93,8 +96,9 @@ class Space:
         return np.sqrt(np.maximum(0, 2 * (self.square - a @ b.T)))
 
     def reach(self, norms: np.ndarray, scores: np.ndarray) -> np.ndarray:
-        """Distance of a row from a query of squared length ``norms`` at ``scores``."""
-        return np.sqrt(np.maximum(0, norms + self.square - 2 * scores))
+        """Distance from a stretched query, whose squared length was ``norms``, to a row with ``scores``."""
+        stretch = np.sqrt(np.divide(self.square, norms, out=np.zeros_like(norms), where=norms > 0))
+        return np.sqrt(np.maximum(0, 2 * (self.square - stretch * scores)))
 
 
 def choose(points: np.ndarray, count: int, space: Space) -> np.ndarray:
@@ -377,7 +381,7 @@ def _probe(routed: DataFrame, index: Index, k: int) -> DataFrame:
                 near, far = asked.annulus(space, np.arange(len(asked.query)))
                 at = space.reach(asked.norms[:, None], asked.vectors @ splits[:, : space.dim].T)[asked.of]
                 gone = apart(at, near, far, np.array(row["b_low"])[:, None], np.array(row["b_high"])[:, None], space.slack)[:, 0]
-                asked.low[gone] = np.inf
+                asked.low[gone] = 1e18  # beyond any score
                 if gone.all():
                     continue
                 points = np.frombuffer(row["points"], np.int32).reshape(-1, space.dim).astype(np.float64)

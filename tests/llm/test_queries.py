@@ -36,7 +36,7 @@ def sha(text):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_against_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings", "benchmark"):
         duck.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = run(spark, name)
     cols = sorted(got.columns)
