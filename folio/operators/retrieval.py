@@ -3,52 +3,35 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import cosine, fnv1a32_value, keyword_boost, query_terms, sanitize
+from folio.functions.text import fnv1a32_value, sanitize
+from folio.operators.scoring import score_blocks
 from folio.operators.staging import cut, numbered
 
-BOOST = 0.08
 TOP_K = 5
 PER_BOOK = 2
 
-#: Rows of queries in one broadcast; more of them go in blocks of about half as many.
-MAX_BROADCAST_QUERIES = 10_000
 
+def score_pairs(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """Hybrid score of each query with each chunk in its scope (query_id, book_id); without a scope, with every chunk.
 
-def with_terms(queries: DataFrame) -> DataFrame:
-    return queries.withColumn("terms", query_terms(F.col("query_text")))
+    For rankings take ``best_pairs``, which puts out no more than they need. Without a query_text a score is the cosine alone.
+    """
+    return score_blocks(queries, chunks, None, scope).drop("safe")
 
 
-def all_pairs(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Each query beside each chunk (of its own model_id where both have one); queries are broadcast in bounded blocks."""
-    on = "model_id" if "model_id" in queries.columns and "model_id" in chunks.columns else "_"
-    if on == "_":
-        queries, chunks = queries.withColumn("_", F.lit(1)), chunks.withColumn("_", F.lit(1))
-    n = queries.count()
-    if n <= MAX_BROADCAST_QUERIES:
-        return chunks.join(F.broadcast(queries), on).drop("_")
-    # Blocks by a hash of the id are half full on average, so that none comes near the bound.
-    count = -(-2 * n // MAX_BROADCAST_QUERIES)
-    dealt = cut(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(count))))
-    blocks = [chunks.join(F.broadcast(dealt.where(F.col("_block") == i).drop("_block")), on) for i in range(count)]
-    return reduce(DataFrame.unionByName, blocks).drop("_")
+def best_pairs(queries: DataFrame, chunks: DataFrame, k: int, scope: DataFrame | None = None) -> DataFrame:
+    """The pairs of which a ranking of ``k`` for each query and book needs no more."""
+    return score_blocks(queries, chunks, [(k, False)], scope).drop("safe")
 
 
-def score_pairs(queries: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """Hybrid score of each query with each chunk in its scope (query_id, book_id).
-
-    Without a scope every query meets every chunk. ``queries`` may have a model_id; chunks of other models are then left out.
-    """
-    q = with_terms(queries).drop("query_text")
-    pairs = all_pairs(q, chunks) if scope is None else q.join(scope.select("query_id", "book_id"), "query_id").join(chunks, "book_id")
-    score = cosine(F.col("query_vec"), F.col("embedding")) + F.lit(BOOST) * keyword_boost(F.col("text"), F.col("terms"))
-    # One score a row, rounded so that engines and partitions agree on ties.
-    return pairs.withColumn("score", F.round(score, 6)).drop("query_vec", "embedding", "terms")
+def with_passages(found: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``found`` with the text of its passages."""
+    return found.join(chunks.select("book_id", "chunk_id", "text"), ["book_id", "chunk_id"])
 
 
 def within_progress(df: DataFrame, safe: DataFrame) -> DataFrame:
@@ -71,13 +54,13 @@ def round_robin(ranked: DataFrame, k: int = TOP_K) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, chunks: DataFrame, safe: DataFrame | None = None, k: int = TOP_K, per_book: int = PER_BOOK) -> DataFrame:
-    scored = score_pairs(queries, chunks if safe is None else within_progress(chunks, safe))
+    scored = best_pairs(queries, chunks if safe is None else within_progress(chunks, safe), per_book)
     return round_robin(topk_per_book(scored, per_book), k)
 
 
 def retrieve_safe(queries: DataFrame, chunks: DataFrame, safe: DataFrame, k: int = TOP_K) -> DataFrame:
     """Book by book: filtering first gives what over-fetching, filtering and refilling gives."""
-    ranked = topk_per_book(score_pairs(queries, within_progress(chunks, safe)), k)
+    ranked = topk_per_book(best_pairs(queries, within_progress(chunks, safe), k), k)
     return ranked.withColumnRenamed("rank_in_book", "rank")
 
 
@@ -90,14 +73,17 @@ def fill_unseen(selected: DataFrame, candidates: DataFrame, k: int) -> DataFrame
 
 
 def retrieve_safe_global(queries: DataFrame, chunks: DataFrame, safe: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Over all books: over-fetch, keep the safe ones, fill up from the safe scope."""
+    """Over all books: over-fetch, keep the safe ones, fill up from the safe scope. Both passes rank one scoring."""
     n = max(1, safe.select("book_id").distinct().count())
-    wide = max(6 * k, 8 * n)
-    scored = score_pairs(queries, chunks.join(safe.select("book_id"), "book_id", "left_semi"))
-    fetched = round_robin(topk_per_book(scored, wide if n == 1 else 8), wide)
+    wide, each, fill = max(6 * k, 8 * n), 8, 2
+    if n == 1:
+        each, fill = wide, k
+    known = chunks.join(safe.select("book_id", "safe_offset"), "book_id").withColumn("safe", F.col("end_offset") <= F.col("safe_offset"))
+    scored = cut(score_blocks(queries, known, [(each, False), (fill, True)]))
+    fetched = round_robin(topk_per_book(scored, each), wide)
     order = Window.partitionBy("query_id").orderBy("rank")
-    first = within_progress(fetched, safe).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return fill_unseen(first, round_robin(topk_per_book(within_progress(scored, safe), k if n == 1 else 2), k), k)
+    first = fetched.where("safe").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return fill_unseen(first, round_robin(topk_per_book(scored.where("safe"), fill), k), k).drop("safe")
 
 
 def route_by_model(chunks: DataFrame, meta: DataFrame, vectors: DataFrame) -> DataFrame:

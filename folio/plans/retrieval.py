@@ -84,7 +84,7 @@ def query_terms(t):
        from {queries} q cross join {chunks} c""",
 )
 def cosine(t):
-    return R.all_pairs(t.queries.select("query_id", "query_vec"), t.chunks).select("query_id", "chunk_id", F.round(T.cosine(F.col("query_vec"), F.col("embedding")), 6).alias("cosine"))
+    return R.score_pairs(t.queries.select("query_id", "query_vec"), t.chunks).select("query_id", "chunk_id", F.col("score").alias("cosine"))
 
 
 @query(
@@ -97,7 +97,7 @@ def hybrid_score(t):
 
 @query("topk_per_book", f"with {_SCORED}, {_top('scored', 'top', 3)} select query_id, chunk_id, cast(book_id as bigint) as book_id, score, rank_in_book from top")
 def topk_per_book(t):
-    return _out(R.topk_per_book(R.score_pairs(t.queries, t.chunks), 3), ["query_id", "chunk_id", "book_id", "score", "rank_in_book"])
+    return _out(R.topk_per_book(R.best_pairs(t.queries, t.chunks, 3), 3), ["query_id", "chunk_id", "book_id", "score", "rank_in_book"])
 
 
 _META = """meta as (select book_id, count(*) as chunk_count, cast(max(end_offset) as bigint) as indexed_up_to, case when book_id % 3 = 0 then 'old' else 'sig' end as content_signature,
