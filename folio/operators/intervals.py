@@ -151,23 +151,6 @@ def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
     return named.groupBy(*keys, "_run", "_island", "color").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(*keys, "start", "end", "color")
 
 
-def apply_stroke(ranges: DataFrame, strokes: DataFrame, keys: list[str]) -> DataFrame:
-    """One stroke for each key: taken out of all ranges; painted unless it was covered whole before; then merged."""
-    s = strokes.select(*keys, F.least("start", "end").alias("s0"), F.greatest("start", "end").alias("s1"), F.col("color").alias("ink")).where("s1 > s0")
-    met = ranges.where("end > start").join(s, keys, "left")
-    hit = (F.col("start") < F.col("s1")) & (F.col("end") > F.col("s0"))
-    left = F.struct(F.col("start"), F.least("end", "s0").alias("end"), "color")
-    right = F.struct(F.greatest("start", "s1").alias("start"), F.col("end"), "color")
-    kept = met.select(*keys, F.explode(F.when(hit, F.array(left, right)).otherwise(F.array(F.struct("start", "end", "color")))).alias("r")).select(*keys, "r.*").where("end > start")
-    # How much of the stroke its overlaps cover together: each adds what lies beyond those before it.
-    clip = met.where(hit).select(*keys, "s0", "s1", F.greatest("start", "s0").alias("a"), F.least("end", "s1").alias("b"))
-    reach = F.max("b").over(Window.partitionBy(*keys).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    added = F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce(reach, F.col("s0"))))
-    covered = clip.withColumn("n", added).groupBy(*keys).agg(F.sum("n").alias("covered"))
-    painted = s.join(covered, keys, "left").where(F.coalesce("covered", F.lit(0)) < F.col("s1") - F.col("s0")).select(*keys, F.col("s0").alias("start"), F.col("s1").alias("end"), F.col("ink").alias("color"))
-    return merge_ranges(kept.unionByName(painted), keys)
-
-
 def filter_highlights(h: DataFrame, books: list | None = None, color: str | None = None, chapter: str | None = None) -> DataFrame:
     out = h.where("end > start")
     for name, value in (("color", color), ("chapter_key", chapter)):

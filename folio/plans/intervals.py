@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folio.operators import intervals as I
+from folio.operators import strokes
 from folio.plans.registry import query
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(content, '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))"
@@ -160,27 +161,34 @@ def merge_ranges(t):
     return I.merge_ranges(t.highlights, ["book_id", "chapter_key"])
 
 
-_STROKES = """strokes as (select book_id, chapter_key, min(global) as s0, min(global) + 400 as s1, 'mark' as ink from (
-      select book_id, 'chapter-' || (bookmark_id % 5) as chapter_key, global_char_offset as global from {bookmarks}) group by all)"""
+#: Every bookmark is a stroke, drawn in order of creation; some are of the colours that are there.
+_STROKES = """strokes as (select book_id, 'chapter-' || (bookmark_id % 5) as chapter_key, list(struct_pack(a := global_char_offset, b := global_char_offset + 100 + bookmark_id % 4 * 200,
+      ink := case when bookmark_id % 3 = 0 then 'view' else 'mark' end, rs := cast([] as struct(s bigint, i bigint, e bigint, c varchar)[])) order by created_at, bookmark_id) as drawn from {bookmarks} group by 1, 2)"""
+
+#: One stroke on the list x.rs: pieces by start and place in the list before; covered if its start and each end inside lie in some range.
+_PIECES = """list_filter(flatten(list_transform(x.rs, lambda r, n: case when r.e <= y.a or r.s >= y.b then [struct_pack(s := r.s, i := n, e := r.e, c := r.c)]
+      else [struct_pack(s := r.s, i := n, e := least(r.e, y.a), c := r.c), struct_pack(s := greatest(r.s, y.b), i := n, e := r.e, c := r.c)] end)), lambda r: r.e > r.s)"""
+_COVERED = """len(list_filter(list_concat([y.a], list_filter(list_transform(x.rs, lambda r: r.e), lambda p: p > y.a and p < y.b)), lambda p: len(list_filter(x.rs, lambda r: r.s <= p and r.e > p)) = 0)) = 0"""
+_JOINED = """coalesce(list_reduce(list_transform(list_sort({0}), lambda r: [r]), lambda o, r: case when o[-1].c = r[1].c and o[-1].e >= r[1].s
+      then list_concat(o[:-2], [struct_pack(s := o[-1].s, i := 0::bigint, e := greatest(o[-1].e, r[1].e), c := r[1].c)]) else list_concat(o, r) end), [])"""
+_DRAWN = _JOINED.format(f"case when {_COVERED} then {_PIECES} else list_append({_PIECES}, struct_pack(s := y.a, i := 1000000::bigint, e := y.b, c := y.ink)) end")
 
 
 @query(
     "apply_stroke",
-    f"""with {_STROKES}, met as (select h.book_id, h.chapter_key, h.start, h."end", h.color, s0, s1, coalesce(h.start < s1 and h."end" > s0, false) as hit
-          from {{highlights}} h left join strokes s on s.book_id = h.book_id and s.chapter_key = h.chapter_key where h."end" > h.start),
-        clip as (select book_id, chapter_key, s0, s1, greatest(start, s0) as a, least("end", s1) as b from met where hit),
-        cov as (select book_id, chapter_key, sum(greatest(0, b - greatest(a, coalesce(r, s0)))) as covered from (
-          select *, max(b) over (partition by book_id, chapter_key order by a, b rows between unbounded preceding and 1 preceding) as r from clip) group by all),
-        src as (select book_id, chapter_key, start, "end", color from met where not hit
-          union all select book_id, chapter_key, start, s0, color from met where hit and start < s0
-          union all select book_id, chapter_key, s1, "end", color from met where hit and "end" > s1
-          union all select s.book_id, s.chapter_key, s0, s1, ink from strokes s left join cov c on c.book_id = s.book_id and c.chapter_key = s.chapter_key where coalesce(covered, 0) < s1 - s0),
-        {_MERGE} select * from merged""",
+    f"""with {_STROKES}, ranges as (select book_id, chapter_key, list(struct_pack(s := start, i := 0::bigint, e := "end", c := color) order by start, "end", color) as rs from {{highlights}} group by 1, 2),
+        met as (select coalesce(r.book_id, s.book_id) as book_id, coalesce(r.chapter_key, s.chapter_key) as chapter_key, coalesce(rs, []) as rs, drawn
+          from ranges r full join strokes s on s.book_id = r.book_id and s.chapter_key = r.chapter_key),
+        done as (select book_id, chapter_key, case when drawn is null then rs else list_reduce(list_prepend(struct_pack(a := 0::bigint, b := 0::bigint, ink := '', rs := rs), drawn),
+            lambda x, y: struct_pack(a := 0::bigint, b := 0::bigint, ink := '', rs := {_DRAWN})).rs end as rs from met)
+        select book_id, chapter_key, r.s as start, r.e as "end", r.c as color from (select book_id, chapter_key, unnest(rs) as r from done)""",
 )
 def apply_stroke(t):
-    marks = t.bookmarks.select("book_id", F.expr("concat('chapter-', bookmark_id % 5)").alias("chapter_key"), "global_char_offset")
-    s = marks.groupBy("book_id", "chapter_key").agg(F.min("global_char_offset").alias("start")).withColumn("end", F.col("start") + 400).withColumn("color", F.lit("mark"))
-    return I.apply_stroke(t.highlights, s, ["book_id", "chapter_key"])
+    s = t.bookmarks.select(
+        "book_id", F.expr("concat('chapter-', bookmark_id % 5)").alias("chapter_key"), F.col("global_char_offset").alias("start"),
+        F.expr("global_char_offset + 100 + bookmark_id % 4 * 200").alias("end"), F.expr("if(bookmark_id % 3 = 0, 'view', 'mark')").alias("color"), "created_at", "bookmark_id",
+    )
+    return strokes.apply_strokes(t.highlights, s, ["book_id", "chapter_key"], ["created_at", "bookmark_id"])
 
 
 @query("filter_highlights", """select book_id, chapter_key, range_id, start, "end", color from {highlights} where "end" > start and color = 'view' and chapter_key = 'chapter-2' and book_id in (1, 2, 3, 5, 8, 13)""")

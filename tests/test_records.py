@@ -10,6 +10,7 @@ from folio.operators import intervals as I
 from folio.operators import library as L
 from folio.operators import reading as R
 from folio.operators import replies as P
+from folio.operators import strokes
 from folio.sources import corpus
 from folio.streaming import streams as X
 
@@ -63,7 +64,7 @@ def test_merge_ranges(spark):
     ],
 )
 def test_strokes(spark, old, stroke, new):
-    assert spans(I.apply_stroke(ranges(spark, old), ranges(spark, [stroke]), ["k"])) == new
+    assert spans(strokes.apply_strokes(ranges(spark, old), ranges(spark, [stroke]), ["k"])) == new
 
 
 def test_overlaps_come_once_across_buckets(spark):
