@@ -164,23 +164,42 @@ def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[floa
     return df.withColumn("embedding", run(F.col(text_col)))
 
 
+def planned_refresh(books: DataFrame, chapters: DataFrame, meta: DataFrame) -> DataFrame:
+    """What is to be done for ``books`` (book_id, target): ``(book_id, target, content_signature, indexed, rebuild)``, without those that need nothing."""
+    from folio.operators.intervals import chapter_offsets
+
+    asked = chapters.join(books.select("book_id").distinct(), "book_id", "left_semi")
+    totals = chapter_offsets(asked).groupBy("book_id").agg(F.max("clean_total").alias("_total"))
+    wanted = books.groupBy("book_id").agg(F.max("target").alias("target")).join(totals, "book_id").join(content_signature(asked), "book_id")
+    wanted = cut(wanted.select("book_id", F.least("target", "_total").cast("long").alias("target"), "content_signature"))
+    old = meta.select("book_id", "chunk_count", "indexed_up_to", F.col("content_signature").alias("_old"))
+    met = needs_index(wanted, meta).where("needs_index").join(old, "book_id", "left")
+    rebuild = F.coalesce(F.col("chunk_count") <= 0, F.lit(True)) | ~F.col("_old").eqNullSafe(F.col("content_signature"))
+    return cut(met.select("book_id", "target", "content_signature", F.when(rebuild, F.lit(0)).otherwise(F.col("indexed_up_to")).cast("long").alias("indexed"), rebuild.alias("rebuild")))
+
+
+def fresh_chunks(state: DataFrame, chapters: DataFrame, chunker: Callable[..., DataFrame]) -> DataFrame:
+    """The passages that a planned refresh adds: those that end beyond what is indexed, up to the target."""
+    bounds = state.select("book_id", F.col("indexed").alias("min_offset"), F.col("target").alias("max_offset"))
+    return chunker(chapters.join(bounds.select("book_id"), "book_id", "left_semi"), bounds)
+
+
+def refreshed_meta(state: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(book_id, chunk_count, indexed_up_to, content_signature)`` of the planned books, of which ``chunks`` has all passages."""
+    counts = chunks.groupBy("book_id").agg(F.count("*").alias("chunk_count"))
+    met = state.join(counts, "book_id", "left")
+    return met.select("book_id", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.greatest("indexed", "target").alias("indexed_up_to"), "content_signature")
+
+
 def refresh_index(books: DataFrame, chapters: DataFrame, chunks: DataFrame, meta: DataFrame, chunker: Callable[..., DataFrame]) -> tuple[DataFrame, DataFrame]:
     """New ``(chunks, meta)`` after bringing each book of ``books`` (book_id, target) up to its target.
 
     New and changed books are rebuilt; for others only chunks that end beyond what was indexed are added.
+    For an index on disk take ``sources.index_store``, which writes the touched books alone.
     """
-    from folio.operators.intervals import chapter_offsets
-
-    signed = cut(content_signature(chapters))
-    totals = chapter_offsets(chapters).groupBy("book_id").agg(F.max("clean_total").alias("_total"))
-    wanted = books.select("book_id", "target").join(totals, "book_id").select("book_id", F.least("target", "_total").alias("target")).join(signed, "book_id")
-    todo = needs_index(wanted, meta).where("needs_index")
-    old = meta.select("book_id", "chunk_count", "indexed_up_to", F.col("content_signature").alias("_old"))
-    state = todo.join(old, "book_id", "left").withColumn("_rebuild", F.coalesce(F.col("chunk_count") <= 0, F.lit(True)) | ~F.col("_old").eqNullSafe(F.col("content_signature")))
-    state = cut(state)
-    bounds = state.select("book_id", F.when(F.col("_rebuild"), F.lit(0)).otherwise(F.col("indexed_up_to")).cast("long").alias("min_offset"), F.col("target").cast("long").alias("max_offset"))
-    fresh = cut(chunker(chapters.join(bounds.select("book_id"), "book_id", "left_semi"), bounds))
-    kept = chunks.join(state.where("_rebuild").select("book_id"), "book_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
+    state = planned_refresh(books, chapters, meta)
+    fresh = cut(fresh_chunks(state, chapters, chunker))
+    kept = chunks.join(state.where("rebuild").select("book_id"), "book_id", "left_anti").join(fresh.select("chunk_id"), "chunk_id", "left_anti")
     merged = kept.unionByName(fresh, allowMissingColumns=True)
-    new_meta = build_index_meta(merged.join(bounds.select("book_id"), "book_id", "left_semi"), signed, bounds.select("book_id", F.col("max_offset").alias("target")))
+    new_meta = refreshed_meta(state, merged.join(state.select("book_id"), "book_id", "left_semi"))
     return merged, meta.join(new_meta.select("book_id"), "book_id", "left_anti").unionByName(new_meta, allowMissingColumns=True)

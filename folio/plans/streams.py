@@ -2,7 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from folio.operators.segments import chunk_chapters
+from folio.plans.intervals import _OFFSETS
 from folio.plans.registry import query
+from folio.sources.index_store import IndexStore
 from folio.streaming import streams as X
 
 
@@ -66,21 +69,22 @@ def stream_appends(t):
     return X.drain(X.stream_appends(c.select(F.col("conv_id").alias("conversation_key"), F.col("turn").alias("msg_index"), F.col("text").alias("content"))))
 
 
-@query("stream_index_refresh", "select user_id as book_id, max(cast(floor(value * 10) as bigint)) as target from events group by 1")
+@query(
+    "stream_index_refresh",
+    f"""with {_OFFSETS}, t as (select user_id as book_id, max(cast(floor(value * 10) as bigint)) as target from events group by 1),
+        b as (select book_id, max(clean_total) as total from offsets group by 1)
+        select t.book_id, least(target, total) as target from t join b on b.book_id = t.book_id where least(target, total) > 0""",
+)
 def stream_index_refresh(t):
-    found = []
+    store = IndexStore(t.spark, X._folder(t.spark, "index"))
     updates = _events(t).select(F.col("user_id").alias("book_id"), F.floor(F.col("value") * 10).alias("target"))
-    X.stream_index_refresh(updates, lambda targets: found.append(X.cut(targets)))
-    merged = found[0]
-    for more in found[1:]:
-        merged = merged.unionByName(more)
-    return merged.groupBy("book_id").agg(F.max("target").alias("target"))
+    X.stream_store_refresh(updates, store, t.chapters, chunk_chapters)
+    return store.meta().select("book_id", F.col("indexed_up_to").alias("target"))
 
 
 @query("stream_rollback", "select event_id, event_id % 500 as generation_id from events where event_id % 500 not in (select user_id from events where event_type = 'error')")
 def stream_rollback(t):
-    found = []
     underlines = t.events.select("event_id", F.expr("event_id % 500").alias("generation_id"))
-    rollbacks = _events(t).where("event_type = 'error'").select(F.col("user_id").alias("generation_id"))
-    X.stream_rollback(rollbacks, underlines, found.append)
-    return found[-1].select("event_id", "generation_id") if found else underlines
+    log = X.RollbackLog(t.spark, X._folder(t.spark, "rollbacks"))
+    X.stream_rollback(_events(t).where("event_type = 'error'").select(F.col("user_id").alias("generation_id")), log)
+    return log.read(underlines).select("event_id", "generation_id")

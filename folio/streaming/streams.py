@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from folio.operators.staging import cut, shared_dir
+from folio.operators.staging import shared_dir
+from folio.sources.index_store import IndexStore
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,16 +30,16 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def drain(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and read back what it wrote."""
+def drain(df: DataFrame, mode: str = "append", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now and read back what it wrote; with the ``out`` and ``state`` of an earlier run it goes on from there."""
     spark = df.sparkSession
-    out, state = _folder(spark, "stream"), _folder(spark, "state")
+    out, state = out or _folder(spark, "stream"), state or _folder(spark, "state")
     df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
-def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], None]) -> None:
-    df.writeStream.foreachBatch(each).option("checkpointLocation", _folder(df.sparkSession, "state")).trigger(availableNow=True).start().awaitTermination()
+def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    df.writeStream.foreachBatch(each).option("checkpointLocation", state or _folder(df.sparkSession, "state")).trigger(availableNow=True).start().awaitTermination()
 
 
 def _stateful(df: DataFrame, key: str, order: list[str], fn: Callable[[tuple, tuple, pd.DataFrame], tuple[list, tuple]], start: tuple, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout, late: Callable | None = None) -> DataFrame:
@@ -142,24 +143,57 @@ def stream_appends(messages: DataFrame) -> DataFrame:
     return _stateful(messages.select("conversation_key", "msg_index", "content"), "conversation_key", ["msg_index"], fn, (-1,), "conversation_key long, msg_index long, content string", "last long")
 
 
-def stream_index_refresh(updates: DataFrame, refresh: Callable[[DataFrame], None]) -> None:
-    """Each batch of ``(book_id, target)`` as one call with the largest target of each book."""
-    drain_batches(updates, lambda batch, _: refresh(batch.groupBy("book_id").agg(F.max("target").alias("target"))))
+def stream_index_refresh(updates: DataFrame, refresh: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Each batch of ``(book_id, target)`` as one call with the largest target of each book, and the batch's number."""
+    drain_batches(updates, lambda batch, n: refresh(batch.groupBy("book_id").agg(F.max("target").alias("target")), n), state)
+
+
+def stream_store_refresh(updates: DataFrame, store: IndexStore, chapters: DataFrame, chunker: Callable[..., DataFrame], name: str = "refresh", state: str | None = None) -> None:
+    """Keep an index on disk up to a stream of ``(book_id, target)``. ``name`` and ``state`` are one stream's own: a batch that it repeats changes nothing."""
+    stream_index_refresh(updates, lambda targets, n: store.refresh(targets, chapters, chunker, f"{name}-{n}"), state)
 
 
 def rollback(underlines: DataFrame, rollbacks: DataFrame) -> DataFrame:
     return underlines.join(rollbacks.select("generation_id").distinct(), "generation_id", "left_anti")
 
 
-def stream_rollback(rollbacks: DataFrame, underlines: DataFrame, save: Callable[[DataFrame], None]) -> None:
-    """Take out the underlines of each generation that is rolled back; ``save`` gets what is left after a batch."""
-    held = [underlines]
+class RollbackLog:
+    """Generations that were taken back, a folder for each batch under ``path``; underlines are left as they are and read through it."""
+
+    def __init__(self, spark: SparkSession, path: str, kind: str = "long"):
+        self.spark, self.path, self.kind = spark, path.rstrip("/"), kind
+
+    def _folders(self) -> list[str]:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+    def generations(self, besides: str | None = None) -> DataFrame:
+        paths = [f"{self.path}/{n}" for n in self._folders() if n != besides]
+        schema = f"generation_id {self.kind}"
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def append(self, rollbacks: DataFrame, batch: str) -> None:
+        """Add the generations that no other batch has; a batch that is repeated replaces its own folder."""
+        name = f"batch-{batch}"
+        new = rollbacks.select(F.col("generation_id").cast(self.kind).alias("generation_id")).where("generation_id is not null").distinct()
+        new.join(self.generations(besides=name), "generation_id", "left_anti").write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def read(self, underlines: DataFrame) -> DataFrame:
+        return rollback(underlines, self.generations())
+
+    def compact(self, underlines: DataFrame, save: Callable[[DataFrame], None]) -> None:
+        """Have ``save`` write the underlines that are left, then forget the batches that they were read through; later ones stay."""
+        names = self._folders()
+        save(self.read(underlines))
+        for n in names:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}")
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def each(batch: DataFrame, _: int) -> None:
-        held[0] = cut(rollback(held[0], batch))
-        save(held[0])
 
-    drain_batches(rollbacks, each)
+def stream_rollback(rollbacks: DataFrame, log: RollbackLog, name: str = "rollback", state: str | None = None) -> None:
+    """Log each generation of a stream of rollbacks once; a batch writes nothing else."""
+    drain_batches(rollbacks, lambda batch, n: log.append(batch, f"{name}-{n}"), state)
 
 
 def batch_sessions(ticks: DataFrame, gap_minutes: int = 30) -> DataFrame:
