@@ -22,16 +22,21 @@ def _instant(local: Column, tz: str) -> Column:
     return F.convert_timezone(F.lit(tz), F.current_timezone(), local.cast("timestamp_ntz")).cast("timestamp")
 
 
-def daily_reading(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
-    """``(user_id, day, ms)``: reading time by local day; sessions that end before they start are left out."""
+def local_pieces(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
+    """Sessions cut at local midnights: ``(user_id, day, begin, until, day_end, ms)``; those that end before they start are left out."""
     good = sessions.where("end > start")
     first, last = F.to_date(_local(F.col("start"), tz)), F.to_date(_local(F.col("end") - F.expr("interval 1 microsecond"), tz))
     days = good.withColumn("day", F.explode(F.sequence(first, last)))
     # Sessions within one day need no clipping; the others are cut at local midnights.
-    begin = F.greatest("start", _instant(F.col("day"), tz))
-    until = F.least("end", _instant(F.date_add("day", 1), tz))
+    begin, day_end = F.greatest("start", _instant(F.col("day"), tz)), _instant(F.date_add("day", 1), tz)
+    until = F.least("end", day_end)
     ms = F.floor((F.unix_micros(until) - F.unix_micros(begin)) / 1000)
-    return days.groupBy("user_id", "day").agg(F.sum(ms).alias("ms")).where("ms > 0")
+    return days.select("user_id", "day", begin.alias("begin"), until.alias("until"), day_end.alias("day_end"), ms.alias("ms"))
+
+
+def daily_reading(sessions: DataFrame, tz: str = "UTC") -> DataFrame:
+    """``(user_id, day, ms)``: reading time by local day; sessions that end before they start are left out."""
+    return local_pieces(sessions, tz).groupBy("user_id", "day").agg(F.sum("ms").alias("ms")).where("ms > 0")
 
 
 def reading_by_book(sessions: DataFrame) -> DataFrame:

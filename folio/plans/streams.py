@@ -14,9 +14,21 @@ def _events(t):
     return X.read_stream(t.spark, f"{t._dir}/events.parquet")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """with w as (select epoch_us(max(ts)) // 1000 * 1000 - 60000000 as w from events),
+        g as (select user_id, epoch_us(ts) as us, event_type = 'error' as ends from events where epoch_us(ts) <= (select w from w)),
+        n as (select *, case when us - lag(us) over o < 1800000000 and not lag(ends) over o then 0 else 1 end as n from g window o as (partition by user_id order by us, ends)),
+        s as (select *, sum(n) over (partition by user_id order by us, ends rows unbounded preceding) as s from n),
+        m as (select user_id, min(us) as a, max(us) as b, bool_or(ends) as ends from s group by user_id, s),
+        d as (select *, unnest(range(a // 86400000000, (b - 1) // 86400000000 + 1)) as d from m where b > a)
+        select user_id, cast(make_timestamp(d * 86400000000) as date) as day, greatest(a, d * 86400000000) as start_us, least(b, (d + 1) * 86400000000) as end_us from d
+        where ends or b + 1800000000 <= (select w from w) or (d + 1) * 86400000000 <= b""",
+)
 def stream_sessions(t):
-    return X.drain(X.stream_sessions(_events(t)))
+    """Errors close a session."""
+    ticks = _events(t).select("user_id", "ts", F.expr("if(event_type = 'error', 'close', 'tick')").alias("kind"))
+    return X.drain(X.stream_sessions(ticks)).select("user_id", "day", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"))
 
 
 @query(

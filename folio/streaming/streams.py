@@ -6,14 +6,20 @@ operators keep a few numbers for each key, so state grows with the keys that are
 
 from __future__ import annotations
 
+import datetime as dt
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from zoneinfo import ZoneInfo
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folio.operators.reading import local_pieces
 from folio.operators.staging import shared_dir
 from folio.sources.index_store import IndexStore
 
@@ -34,63 +40,174 @@ def drain(df: DataFrame, mode: str = "append", out: str | None = None, state: st
     """Run a stream over all that is there now and read back what it wrote; with the ``out`` and ``state`` of an earlier run it goes on from there."""
     spark = df.sparkSession
     out, state = out or _folder(spark, "stream"), state or _folder(spark, "state")
-    df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    with _state_store(spark):
+        running = df.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    running.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
 
 
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as timers need it; a running stream has settings of its own."""
+    key, own = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, own)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drain_batches(df: DataFrame, each: Callable[[DataFrame, int], None], state: str | None = None) -> None:
     df.writeStream.foreachBatch(each).option("checkpointLocation", state or _folder(df.sparkSession, "state")).trigger(availableNow=True).start().awaitTermination()
 
 
-def _stateful(df: DataFrame, key: str, order: list[str], fn: Callable[[tuple, tuple, pd.DataFrame], tuple[list, tuple]], start: tuple, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout, late: Callable | None = None) -> DataFrame:
+def _stateful(df: DataFrame, key: str, order: list[str], fn: Callable[[tuple, tuple, pd.DataFrame], tuple[list, tuple]], start: tuple, out: str, state: str) -> DataFrame:
     """``fn(key, state, rows in order) -> (output rows, state)`` for each key and batch."""
     names = [p.split()[0] for p in out.split(", ")]
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            rows, now = late(k, held.get), None
-            held.remove()
-        else:
-            pdf = pd.concat(list(parts)).sort_values(order)
-            rows, now = fn(k, held.get if held.exists else start, pdf)
-            held.update(now)
-            if late and now[-1]:
-                held.setTimeoutTimestamp(max(int(now[-1]), held.getCurrentWatermarkMs() + 1))
+        rows, now = fn(k, held.get if held.exists else start, pd.concat(list(parts)).sort_values(order, kind="stable"))
+        held.update(now)
         yield pd.DataFrame(rows, columns=names)
 
-    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", timeout)
+    return df.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
 
 
-def stream_sessions(ticks: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """``(user_id, ts)`` ticks -> closed sessions ``(user_id, start, end)``: a tick extends the open one unless the gap has passed."""
-    gap = gap_minutes * 60_000
+#: Event times are put off by 400 years, as a stream's watermark starts in 1970 and earlier rows would be late.
+SHIFT_US = 146_097 * 86_400 * 1_000_000
 
-    def fn(k: tuple, s: tuple, pdf: pd.DataFrame) -> tuple[list, tuple]:
-        first, last, _ = s
-        out = []
-        for ms in (pdf["ts"].astype("int64") // 1_000_000).tolist() if str(pdf["ts"].dtype).startswith("datetime64[ns") else (pdf["ts"].astype("datetime64[ms]").astype("int64")).tolist():
-            if last is None or first is None or first < 0:
-                first = last = ms
-            elif ms - last >= gap:
-                out.append((k[0], pd.Timestamp(first, unit="ms"), pd.Timestamp(last, unit="ms")))
-                first = last = ms
-            else:
-                last = max(last, ms)
-        return out, (first, last, last + gap)
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.UTC)
+
+
+def _shifted(instant: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(instant) + SHIFT_US)
+
+
+def _micros(t: dt.datetime) -> int:
+    return (t - _EPOCH) // dt.timedelta(microseconds=1)
 
-    def late(k: tuple, s: tuple) -> list:
-        return [(k[0], pd.Timestamp(s[0], unit="ms"), pd.Timestamp(s[1], unit="ms"))]
 
-    marked = ticks.select("user_id", "ts").withWatermark("ts", "1 minute")
-    return _stateful(marked, "user_id", ["ts"], fn, (-1, -1, 0), "user_id long, start timestamp, end timestamp", "first long, last long, due long", GroupStateTimeout.EventTimeTimeout, late)
+def local_day(us: int, zone: ZoneInfo) -> tuple[dt.date, int]:
+    """The local day of an instant in microseconds, and the instant at which the next one begins."""
+    day = (_EPOCH + dt.timedelta(microseconds=us)).astimezone(zone).date()
+    after = day + dt.timedelta(days=1)
+    return day, _micros(dt.datetime(after.year, after.month, after.day, tzinfo=zone).astimezone(dt.UTC))
 
 
-def stream_daily(sessions: DataFrame) -> DataFrame:
-    """Milliseconds of each UTC day and user, put out when the watermark has passed the day."""
-    days = sessions.where("end > start").withColumn("day", F.explode(F.sequence(F.date_trunc("day", "start"), F.date_trunc("day", F.col("end") - F.expr("interval 1 microsecond")), F.expr("interval 1 day"))))
-    begin, until = F.greatest("start", "day"), F.least("end", F.col("day") + F.expr("interval 1 day"))
-    pieces = days.select("user_id", begin.alias("at"), F.floor((F.unix_micros(until) - F.unix_micros(begin)) / 1000).alias("ms"))
-    return pieces.withWatermark("at", "0 seconds").groupBy("user_id", F.window("at", "1 day")).agg(F.sum("ms").alias("ms")).select("user_id", F.to_date("window.start").alias("day"), "ms")
+class _Sessions(StatefulProcessor):
+    """An open session for each user. Rows wait until the watermark has passed them, so they are taken in order of time."""
+
+    def __init__(self, gap_us: int, tz: str):
+        self.gap, self.tz = gap_us, tz
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.zone = handle, ZoneInfo(self.tz)
+        self.open = handle.getValueState("open", "first long, last long")
+        self.waiting = handle.getListState("waiting", "us long, ends boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._advance(key, [(r.us, r.ends) for r in rows], timerValues)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._advance(key, [], timerValues)
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, new: list[tuple[int, bool]], timer_values) -> Iterator[Row]:
+        passed_ms = timer_values.getCurrentWatermarkInMs()
+        passed = passed_ms * 1000 - SHIFT_US
+        waiting = sorted([*((r[0], r[1]) for r in self.waiting.get()), *new])
+        due, later = [w for w in waiting if w[0] <= passed], [w for w in waiting if w[0] > passed]
+        first, last = self.open.get() if self.open.exists() else (None, None)
+        for us, ends in due:
+            if first is not None and us - last >= self.gap:
+                yield from self._pieces(key, first, last)
+                first = None
+            if first is None:
+                first = last = None if ends else us
+                continue
+            last = us
+            # What lies before the last midnight is put out at once.
+            while (next_day := local_day(first, self.zone)[1]) <= last and not ends:
+                yield from self._pieces(key, first, next_day)
+                first = next_day
+            if ends:
+                yield from self._pieces(key, first, last)
+                first = last = None
+        if first is not None and last + self.gap <= passed:
+            yield from self._pieces(key, first, last)
+            first = last = None
+        if first is None:
+            self.open.clear()
+        else:
+            self.open.update((first, last))
+        if later:
+            self.waiting.put(later)
+        elif waiting:
+            self.waiting.clear()
+        times = [w[0] for w in later[:1]]
+        if first is not None:
+            times.append(last + self.gap)
+        if times:
+            self.handle.registerTimer(max(-(-(min(times) + SHIFT_US) // 1000), passed_ms + 1))
+
+    def _pieces(self, key: tuple, first: int, last: int) -> Iterator[Row]:
+        while first < last:
+            day, next_day = local_day(first, self.zone)
+            yield Row(user_id=key[0], day=day, start_us=first, end_us=min(last, next_day))
+            first = next_day
+
+
+def stream_sessions(ticks: DataFrame, gap_minutes: int = 30, tz: str = "UTC", late: str = "1 minute") -> DataFrame:
+    """``(user_id, ts[, kind])`` ticks -> reading time as pieces ``(user_id, day, start, end)``, cut at midnights of ``tz``.
+
+    A tick extends the open session unless the gap has passed since the last one; a row of kind ``close`` ends it there. Days that are
+    over are put out while the session goes on; what is open at the end stays in the state. Rows may come in any order,
+    late by up to ``late``; later ones are dropped. Sessions of one tick have no length and give nothing.
+    """
+    kind = (F.lower("kind") == "close") if "kind" in ticks.columns else F.lit(False)
+    rows = ticks.where("ts is not null").select("user_id", _shifted(F.col("ts")).alias("at"), F.unix_micros("ts").alias("us"), F.coalesce(kind, F.lit(False)).alias("ends"))
+    user = ticks.schema["user_id"].dataType.simpleString()
+    out = rows.withWatermark("at", late).groupBy("user_id").transformWithState(_Sessions(gap_minutes * 60_000_000, tz), f"user_id {user}, day date, start_us long, end_us long", "Append", "EventTime")
+    return out.select("user_id", "day", F.timestamp_micros("start_us").alias("start"), F.timestamp_micros("end_us").alias("end"))
+
+
+class _Days(StatefulProcessor):
+    """Milliseconds of one user and day; put out when the watermark has passed the day's end."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sum = handle.getValueState("sum", "ms long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        ms, end = self.sum.get()[0] if self.sum.exists() else 0, 0
+        for r in rows:
+            ms, end = ms + r.ms, r.closed_ms
+        self.sum.update((ms,))
+        self.handle.registerTimer(max(end, timerValues.getCurrentWatermarkInMs() + 1))
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        if self.sum.exists():
+            yield Row(user_id=key[0], day=key[1], ms=self.sum.get()[0])
+            self.sum.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_daily(sessions: DataFrame, tz: str = "UTC", late: str = "0 seconds") -> DataFrame:
+    """Milliseconds of each user and day of ``tz``, put out when the watermark has passed the midnight that ends the day, after 23, 24 or 25 hours."""
+    days = local_pieces(sessions, tz)
+    closed = F.unix_millis(F.timestamp_micros(F.unix_micros("day_end") + SHIFT_US))
+    pieces = days.select("user_id", "day", _shifted(F.col("begin")).alias("at"), "ms", closed.alias("closed_ms"))
+    user = sessions.schema["user_id"].dataType.simpleString()
+    return pieces.withWatermark("at", late).groupBy("user_id", "day").transformWithState(_Days(), f"user_id {user}, day date, ms long", "Append", "EventTime")
 
 
 def stream_every_n(events: DataFrame, n: int, key: str = "user_id") -> DataFrame:
@@ -111,12 +228,12 @@ def stream_debounce(tasks: DataFrame, ms: int = 3000) -> DataFrame:
         last, out = s[0], []
         for ts in pdf["ts"]:
             at = int(ts.timestamp() * 1000)
-            if last < 0 or at - last >= ms:
+            if last is None or at - last >= ms:
                 out.append((k[0], ts))
                 last = at
         return out, (last,)
 
-    return _stateful(tasks.select("task_key", "ts"), "task_key", ["ts"], fn, (-1,), "task_key string, ts timestamp", "last long")
+    return _stateful(tasks.select("task_key", "ts"), "task_key", ["ts"], fn, (None,), "task_key string, ts timestamp", "last long")
 
 
 def filter_late_sample(ticks: DataFrame, interval_s: int, percent: int) -> DataFrame:
@@ -134,13 +251,32 @@ def stream_gaps(events: DataFrame, gap_minutes: int = 60) -> DataFrame:
 
 
 def stream_appends(messages: DataFrame) -> DataFrame:
-    """Messages beyond the last index that was handed on, for each conversation."""
+    """Versions of conversations -> ``(conversation_key, msg_index, content)`` that each adds to the one before.
+
+    ``messages`` (conversation_key, msg_index, content[, id, version]): a version is in one batch whole; several in
+    a batch are told apart by ``version``, in its order. The state has the number of messages of the last version and a hash
+    chain over their ids (the content where there are none). Where the first so many ids of the next version give another hash,
+    or there are fewer, something earlier has changed: it adds nothing, and is what the next one is held against. As ``chat.tail_appended``.
+    """
+    own = "id" if "id" in messages.columns else "content"
+    version = F.col("version").cast("long") if "version" in messages.columns else F.lit(0).cast("long")
+    rows = messages.select("conversation_key", F.col("msg_index").cast("long").alias("msg_index"), F.col("content").cast("string").alias("content"), F.coalesce(F.col(own).cast("string"), F.lit("")).alias("id"), version.alias("version"))
 
     def fn(k: tuple, s: tuple, pdf: pd.DataFrame) -> tuple[list, tuple]:
-        new = pdf[pdf["msg_index"] > s[0]].drop_duplicates("msg_index")
-        return list(zip([k[0]] * len(new), new["msg_index"], new["content"], strict=True)), (max(s[0], int(pdf["msg_index"].max())),)
+        count, chain = s
+        out = []
+        for _, part in pdf.groupby("version", sort=True):
+            part = part.drop_duplicates("msg_index")
+            links = [""]
+            for i in part["id"]:
+                links.append(hashlib.sha256(f"{links[-1]}\n{i}".encode()).hexdigest())
+            if len(part) >= count and links[count] == chain:
+                out += [(k[0], i, c) for i, c in zip(part["msg_index"][count:], part["content"][count:], strict=True)]
+            count, chain = len(part), links[-1]
+        return out, (count, chain)
 
-    return _stateful(messages.select("conversation_key", "msg_index", "content"), "conversation_key", ["msg_index"], fn, (-1,), "conversation_key long, msg_index long, content string", "last long")
+    key = messages.schema["conversation_key"].dataType.simpleString()
+    return _stateful(rows, "conversation_key", ["version", "msg_index"], fn, (0, ""), f"conversation_key {key}, msg_index long, content string", "count long, chain string")
 
 
 def stream_index_refresh(updates: DataFrame, refresh: Callable[[DataFrame, int], None], state: str | None = None) -> None:
@@ -197,8 +333,10 @@ def stream_rollback(rollbacks: DataFrame, log: RollbackLog, name: str = "rollbac
 
 
 def batch_sessions(ticks: DataFrame, gap_minutes: int = 30) -> DataFrame:
-    """The batch twin of ``stream_sessions``, the sessions still open included."""
-    order = Window.partitionBy("user_id").orderBy("ts")
-    new = F.coalesce((F.unix_millis("ts") - F.unix_millis(F.lag("ts").over(order)) >= gap_minutes * 60_000).cast("int"), F.lit(1))
-    named = ticks.select("user_id", "ts").withColumn("_n", new).withColumn("_s", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    """Sessions ``(user_id, start, end)`` of a whole table of ticks, those still open included; ``reading.daily_reading`` of them is the batch twin of ``stream_sessions``."""
+    ends = F.coalesce(F.lower("kind") == "close", F.lit(False)) if "kind" in ticks.columns else F.lit(False)
+    rows = ticks.where("ts is not null").select("user_id", "ts", ends.alias("_ends"))
+    order = Window.partitionBy("user_id").orderBy("ts", "_ends")
+    apart = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order)) >= gap_minutes * 60_000_000) | F.lag("_ends").over(order)
+    named = rows.withColumn("_n", F.coalesce(apart.cast("int"), F.lit(1))).withColumn("_s", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return named.groupBy("user_id", "_s").agg(F.min("ts").alias("start"), F.max("ts").alias("end")).drop("_s")

@@ -199,11 +199,3 @@ def test_archives_of_old_and_bad_rows(spark, tmp_path):
         corpus.restore_archive(spark, f"{at}/c")
 
 
-def test_stream_sessions_equal_the_batch_twin(spark, tmp_path):
-    rows = [(u, T0 + dt.timedelta(minutes=m)) for u in (1, 2) for m in (0, 10, 40, 45, 100, 131, 5000)]
-    for i, part in enumerate((rows[:7], rows[7:])):
-        spark.createDataFrame(part, "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/ticks")
-    stream = spark.readStream.schema("user_id long, ts timestamp").parquet(f"file://{tmp_path}/ticks")
-    got = {(r["user_id"], r["start"], r["end"]) for r in X.drain(X.stream_sessions(stream)).collect()}
-    want = {(r["user_id"], r["start"], r["end"]) for r in X.batch_sessions(spark.createDataFrame(rows, "user_id long, ts timestamp")).collect()}
-    assert got and got <= want and {w for w in want if w[2] < T0 + dt.timedelta(minutes=4000)} <= got
