@@ -74,24 +74,47 @@ def bucket_identity(key: Column, persona: Column, character: Column) -> Column:
 
 
 def merge_conversations(buckets: DataFrame, preferred: str | None = None) -> DataFrame:
-    """One row for each identity, merged pair by pair in order of ``ordinal``.
+    """One row for each identity, as merging its rows pair by pair in order of ``ordinal`` gives; rows without an identity stay.
 
-    After each merge the row has the larger message count and later time of the two, so the
-    running maxima say what the next row is held against; the last row that beats them is
-    the survivor. A preferred key survives wherever it occurs. Rows without an identity stay.
+    ``buckets`` (ordinal, conversation_key, persona_name, character_name, updated_at) may have ``messages`` (array) or
+    message_count, ``summary_cards`` (array) or summary_count, ``chat_summary``, ``auto_summary_last_end``, and maps by book
+    ``reading_prefix_summary`` and ``ai_underlines``. In each pair the row with the higher score (messages, then summaries, then time)
+    comes first, the one that was there before at a tie (or the preferred key). The longer list stays, the first one's at a tie; names and summary are
+    the first one's unless it has none; maps are laid over each other, the first one's entries on top; cursors and times are the larger ones.
+
+    What a pair gives depends on running maxima alone, so no group is gathered: windows say for each part
+    which row it comes from last.
     """
-    named = buckets.withColumn("identity", bucket_identity(F.col("conversation_key"), F.col("persona_name"), F.col("character_name")))
-    own = F.coalesce("identity", F.concat(F.lit("\u0000"), F.col("ordinal").cast("string")))
-    keyed = named.withColumn("_id", own).withColumn("_ms", F.unix_millis("updated_at"))
+    has = set(buckets.columns)
+    size = lambda array, count: F.greatest(F.size(array), F.lit(0)) if array in has else F.coalesce(F.col(count), F.lit(0)) if count in has else F.lit(0)
+    named = buckets.withColumn("_identity", bucket_identity(F.col("conversation_key"), F.col("persona_name"), F.col("character_name")))
+    own = F.coalesce("_identity", F.concat(F.lit("\u0000"), F.col("ordinal").cast("string")))
+    keyed = named.withColumns({"_id": own, "_ms": F.coalesce(F.unix_millis("updated_at"), F.lit(0)), "_m": size("messages", "message_count").cast("long"), "_c": size("summary_cards", "summary_count").cast("long")})
     before = Window.partitionBy("_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    bar = F.max("message_count").over(before) * 1_000_000 + F.max("_ms").over(before)
-    wins = F.coalesce(F.col("message_count") * 1_000_000 + F.col("_ms") > bar, F.lit(True))
-    scored = keyed.withColumn("_wins", wins)
-    survivor = F.max(F.when(F.col("_wins"), F.struct("ordinal", "conversation_key")))["conversation_key"]
+    most = lambda c: F.max(c).over(before)
+    score, bar = F.col("_m") * 1_000_000 + F.col("_c") * 1_000 + F.col("_ms"), most("_m") * 1_000_000 + most("_c") * 1_000 + most("_ms")
+    tied = F.col("conversation_key") == preferred if preferred is not None else F.lit(False)
+    ranked = keyed.withColumn("_wins", F.coalesce((score > bar) | (score == bar) & tied, F.lit(True)))
+    longer = lambda c: F.coalesce((F.col(c) > most(c)) | (F.col(c) == most(c)) & F.col("_wins"), F.lit(True))
+    some = {c: F.coalesce(F.col(c), F.lit("")) != "" for c in ("persona_name", "character_name", "chat_summary") if c in has}
+    marks = {f"_take_{c}": ok & (F.col("_wins") | (F.coalesce(F.sum(ok.cast("int")).over(before), F.lit(0)) == 0)) for c, ok in some.items()}
+    marked = ranked.withColumns({"_take_m": longer("_m"), "_take_c": longer("_c"), **marks})
+    last = lambda value, mark: F.max_by(value, F.when(F.col(mark), F.col("ordinal")))
+    survivor = last("conversation_key", "_wins")
     chosen = survivor if preferred is None else F.coalesce(F.max(F.when(F.col("conversation_key") == preferred, F.col("conversation_key"))), survivor)
-    return scored.groupBy("_id").agg(
-        chosen.alias("conversation_key"), F.max("message_count").alias("message_count"), F.max("_ms").alias("updated_ms"), F.count("*").alias("merged")
-    ).drop("_id")
+    lists = [last(c, m).alias(c) for c, m in (("messages", "_take_m"), ("summary_cards", "_take_c")) if c in has]
+    texts = [F.coalesce(last(c, f"_take_{c}"), F.lit("")).alias(c) for c in some]
+    cursor = [F.max(F.coalesce("auto_summary_last_end", F.lit(0))).alias("auto_summary_last_end")] * ("auto_summary_last_end" in has)
+    out = marked.groupBy("_id").agg(chosen.alias("conversation_key"), *texts, F.max("_m").alias("message_count"), F.max("_c").alias("summary_count"), F.max("_ms").alias("updated_ms"), F.count("*").alias("merged"), *cursor, *lists)
+    for c in ("reading_prefix_summary", "ai_underlines"):
+        if c in has:
+            # An entry comes from the last row that has its key and came first in its pair, or else from the first that has it.
+            entries = ranked.select("_id", "ordinal", "_wins", F.explode(c).alias("k", "v"))
+            first = F.row_number().over(Window.partitionBy("_id", "k").orderBy("ordinal")) == 1
+            laid = entries.withColumn("_take", F.col("_wins") | first).groupBy("_id", "k").agg(last("v", "_take").alias("v"))
+            # Gathered are the books of one conversation.
+            out = out.join(laid.groupBy("_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias(c)), "_id", "left")
+    return out.drop("_id")
 
 
 def archive_options(buckets: DataFrame, current: str) -> DataFrame:

@@ -73,15 +73,52 @@ def strip_last_generation(t):
 _ID = """case when trim(persona_name) <> '' and trim(character_name) <> '' then concat('book:', book_id, '::', lower(persona_name), '::', lower(character_name)) end"""
 
 
+#: Orders as whole conversations, with lists, texts that may be missing and maps by book.
+_NESTED = """nested as (select ordinal, book_id, conversation_key, persona_name, case when ordinal % 5 = 0 then upper(character_name) else character_name end as character_name, updated_at,
+      list_transform(range(message_count), lambda i: ordinal || '-' || i) as messages, list_transform(range(ordinal % 4), lambda i: 'c' || ordinal || '-' || i) as summary_cards,
+      case when ordinal % 3 = 0 then '' else 's' || ordinal end as chat_summary, ordinal % 100 as auto_summary_last_end,
+      map_from_entries([('b' || (ordinal % 3), 'p' || ordinal), ('c' || (ordinal % 2), 'q' || ordinal)]) as reading_prefix_summary from {buckets})"""
+#: Two conversations as one: x is what was there before. A score tie is x's.
+_SCORE = "len({0}.messages) * 1000000 + len({0}.summary_cards) * 1000 + {0}.ms"
+_FIRST = f"({_SCORE.format('x')} >= {_SCORE.format('y')})"
+_PAIR = f"""struct_pack(key := case when {_FIRST} then x.key else y.key end, ms := greatest(x.ms, y.ms), n := x.n + 1, cursor := greatest(x.cursor, y.cursor),
+    messages := case when len(x.messages) > len(y.messages) or len(x.messages) = len(y.messages) and {_FIRST} then x.messages else y.messages end,
+    summary_cards := case when len(x.summary_cards) > len(y.summary_cards) or len(x.summary_cards) = len(y.summary_cards) and {_FIRST} then x.summary_cards else y.summary_cards end,
+    chat_summary := case when {_FIRST} then coalesce(nullif(x.chat_summary, ''), y.chat_summary) else coalesce(nullif(y.chat_summary, ''), x.chat_summary) end,
+    name := case when {_FIRST} then x.name else y.name end,
+    prefix := case when {_FIRST} then map_concat(y.prefix, x.prefix) else map_concat(x.prefix, y.prefix) end)"""
+
+
+def _nested(t):
+    n = F.col("message_count").cast("int")
+    numbered = lambda count, name: F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), name)).otherwise(F.array().cast("array<string>"))
+    o = F.col("ordinal").cast("string")
+    return t.buckets.withColumns({
+        "character_name": F.when(F.col("ordinal") % 5 == 0, F.upper("character_name")).otherwise(F.col("character_name")),
+        "messages": numbered(n, lambda i: F.concat(o, F.lit("-"), i.cast("string"))),
+        "summary_cards": numbered((F.col("ordinal") % 4).cast("int"), lambda i: F.concat(F.lit("c"), o, F.lit("-"), i.cast("string"))),
+        "chat_summary": F.when(F.col("ordinal") % 3 == 0, "").otherwise(F.concat(F.lit("s"), o)),
+        "auto_summary_last_end": F.col("ordinal") % 100,
+        "reading_prefix_summary": F.expr("map(concat('b', ordinal % 3), concat('p', ordinal), concat('c', ordinal % 2), concat('q', ordinal))"),
+    })
+
+
 @query(
     "merge_conversations",
-    f"""with b as (select *, {_ID} as ident, epoch_us(updated_at) // 1000 as ms from {{buckets}}),
-        s as (select *, coalesce(message_count * 1000000 + ms > max(message_count) over w * 1000000 + max(ms) over w, true) as wins from b
-              window w as (partition by ident order by ordinal rows between unbounded preceding and 1 preceding))
-        select arg_max(conversation_key, case when wins then ordinal end) as conversation_key, max(message_count) as message_count, max(ms) as updated_ms, count(*) as merged from s group by ident""",
+    f"""with {_NESTED}, g as (select {_ID} as ident, list(struct_pack(key := conversation_key, ms := epoch_us(updated_at) // 1000, n := 1, cursor := auto_summary_last_end, messages := messages,
+          summary_cards := summary_cards, chat_summary := chat_summary, name := character_name, prefix := reading_prefix_summary) order by ordinal) as l from nested group by 1),
+        m as (select list_reduce(l, lambda x, y: {_PAIR}) as m from g)
+        select m.key as conversation_key, m.name as character_name, len(m.messages) as message_count, m.ms as updated_ms, m.n as merged, m.cursor as auto_summary_last_end, m.chat_summary as chat_summary,
+          array_to_string(m.messages, ',') as messages, array_to_string(m.summary_cards, ',') as summary_cards,
+          array_to_string(list_sort(list_transform(map_entries(m.prefix), lambda e: e.key || '=' || e.value)), ',') as prefix from m""",
 )
 def merge_conversations(t):
-    return C.merge_conversations(t.buckets)
+    got = C.merge_conversations(_nested(t))
+    entries = F.array_sort(F.transform(F.map_entries("reading_prefix_summary"), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
+    return got.select(
+        "conversation_key", "character_name", "message_count", "updated_ms", "merged", "auto_summary_last_end", "chat_summary",
+        F.array_join("messages", ",").alias("messages"), F.array_join("summary_cards", ",").alias("summary_cards"), F.array_join(entries, ",").alias("prefix"),
+    )
 
 
 @query(
