@@ -125,12 +125,20 @@ def day_key(ts: Column, tz: str = "UTC") -> Column:
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit(tz), ts.cast("timestamp_ntz")), "yyyy-MM-dd")
 
 
-def prompt_record(name: Column, ts: Column, text: Column, quote: Column | None = None) -> Column:
-    head = F.format_string("[发送者:%s][%s]", name, minute_stamp(ts))
+def prompt_record(name: Column, ts: Column, text: Column, quote: tuple[Column, Column, Column] | None = None) -> Column:
+    """Sender, minute and compacted text; behind it the ``quote`` (sender, time, content), where its content is not null."""
+    record = F.concat(F.format_string("[发送者:%s][%s] ", name, minute_stamp(ts)), compact(F.coalesce(text, F.lit(""))))
     if quote is None:
-        return F.concat(head, F.lit(" "), text)
-    quoted = F.when(compact(F.coalesce(quote, F.lit(""))) != "", F.concat(F.lit("[引用:"), compact(quote), F.lit("]"))).otherwise(F.lit(""))
-    return F.concat(head, quoted, F.lit(" "), text)
+        return record
+    sender, at, content = quote
+    quoted = F.concat(F.lit(" [引用:发送者="), F.coalesce(sender, F.lit("")), F.lit(";时间="), F.coalesce(minute_stamp(at), F.lit("")), F.lit(";内容="), compact(content), F.lit("]"))
+    return F.concat(record, F.coalesce(quoted, F.lit("")))
+
+
+def migrate_prompt_record(record: Column) -> Column:
+    """A record of old in today's form: compacted, without the role in front, the time without its label."""
+    bare = F.regexp_replace(compact(F.coalesce(record, F.lit(""))), r"^\[(?:用户消息|角色消息)\]", "")
+    return F.regexp_replace(bare, r"\[时间:([^\]]+)\]", "[$1]")
 
 
 def sender_name(record: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import sanitize
+from folio.functions.text import paragraphs, sanitize, strip
 
 #: Characters in a bucket of range joins.
 BUCKET = 8192
@@ -177,21 +177,46 @@ def safe_offset(positions: DataFrame, offsets: DataFrame) -> DataFrame:
     return out.select(*positions.columns, F.coalesce(inside, whole, F.greatest(F.lit(0), F.col("global_char_offset"))).cast("long").alias("safe_offset"))
 
 
-def highlight_position(highlights: DataFrame, offsets: DataFrame) -> DataFrame:
-    """Global offset and share of the book at which a highlight starts."""
-    o = offsets.select("book_id", F.concat(F.lit("chapter-"), F.col("chapter_index")).alias("chapter_key"), "raw_start", "raw_length", "raw_total")
-    at = F.col("raw_start") + F.least(F.col("start"), F.col("raw_length"))
-    return highlights.join(o, ["book_id", "chapter_key"]).select(*highlights.columns, at.alias("global_offset"), F.when(F.col("raw_total") > 0, at / F.col("raw_total")).otherwise(0.0).alias("ratio"))
+def _chapter_of(key: str) -> Column:
+    """The chapter's index in a key; null for other keys."""
+    return F.expr(f"try_cast(regexp_extract({key}, '^chapter-([0-9]+)$', 1) as int)")
 
 
-def resolve_highlights(highlights: DataFrame, chapters: DataFrame) -> DataFrame:
-    """The text under each highlight, clamped to its chapter; blank ones go; chapters without a title are numbered."""
-    c = chapters.select("book_id", F.concat(F.lit("chapter-"), F.col("chapter_index")).alias("chapter_key"), "chapter_index", "title", "content")
-    n = F.length("content")
+def highlight_position(highlights: DataFrame, offsets: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """Where a highlight starts: ``global_offset`` in its book, and ``ratio``, its share of the chapter.
+
+    Highlights of the whole text (key ``full``) need ``books`` (book_id, full_text_length); their ratio is of that.
+    """
+    o = offsets.select("book_id", "chapter_index", "raw_start", "raw_length")
+    at, n = F.col("start"), F.col("raw_length")
+    keyed = highlights.withColumn("chapter_index", _chapter_of("chapter_key"))
+    share = lambda size: F.when(size > 0, at / size).otherwise(0.0).alias("ratio")
+    out = keyed.join(o, ["book_id", "chapter_index"]).select(*highlights.columns, (F.col("raw_start") + at).alias("global_offset"), share(n))
+    if books is None:
+        return out
+    whole = highlights.where("chapter_key = 'full'").join(books.select("book_id", "full_text_length"), "book_id")
+    return out.unionByName(whole.select(*highlights.columns, at.cast("long").alias("global_offset"), share(F.col("full_text_length"))))
+
+
+def resolve_highlights(highlights: DataFrame, chapters: DataFrame, books: DataFrame | None = None) -> DataFrame:
+    """The text that is shown under each highlight, with its chapter's title; blank ones go, and those of chapters that are not there.
+
+    Places count in the rendered text (``segments.rendered_chapters``) and are clamped to it. Highlights of the whole text
+    (key ``full``) need ``books`` (book_id, full_text).
+    """
+    from folio.operators.segments import rendered_chapters
+
+    n = F.length("rendered")
     start = F.least(F.greatest("start", F.lit(0)), n)
-    text = F.col("content").substr(start.cast("int") + 1, (F.least(F.greatest("end", F.lit(0)), n) - start).cast("int"))
-    named = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.concat(F.lit("第"), F.col("chapter_index") + 1, F.lit("章"))).otherwise(F.col("title"))
-    return highlights.where("end > start").join(c, ["book_id", "chapter_key"]).select(*highlights.columns, named.alias("title"), text.alias("text")).where(F.trim("text") != "")
+    text = F.col("rendered").substr(start.cast("int") + 1, (F.greatest(start, F.least("end", n)) - start).cast("int"))
+    keyed = highlights.withColumn("_chapter", _chapter_of("chapter_key"))
+    wanted = keyed.select("book_id", F.col("_chapter").alias("chapter_index")).distinct()
+    c = rendered_chapters(chapters.join(wanted, ["book_id", "chapter_index"], "left_semi")).select("book_id", F.col("chapter_index").cast("int").alias("_chapter"), F.col("title").alias("_title"), "rendered")
+    met = keyed.join(c, ["book_id", "_chapter"])
+    if books is not None:
+        whole = books.select("book_id", F.lit("全文").alias("_title"), F.array_join(paragraphs(F.coalesce("full_text", F.lit(""))), "\n").alias("rendered"))
+        met = met.unionByName(keyed.where("chapter_key = 'full'").join(whole, "book_id"))
+    return met.select(*highlights.columns, F.col("_title").alias("title"), text.alias("text")).where(strip(F.col("text")) != "")
 
 
 def merge_regions(explicit: DataFrame, implicit: DataFrame, keys: list[str]) -> DataFrame:

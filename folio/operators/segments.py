@@ -5,45 +5,72 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, compact, heading_key, normalize_block, paragraphs, sanitize, strip
+from folio.functions.text import WS, compact, fix_typography, heading_key, normalize_block, paragraphs, sanitize, strip
+
+#: White space at the ends of a title.
+_BLANK = " \t\n\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # ---- chapters -----------------------------------------------------------------------------------
 
 
-def _compiles(regex: str | None) -> bool:
+def _java_compiles(spark: SparkSession, regex: str) -> bool:
+    """Whether the engine that runs the split takes the regex."""
     try:
-        re.compile(regex or "")
-    except re.error:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(f"(?m)((?:{regex}).*)")
+    except Exception:  # what the JVM throws comes as one kind of error
         return False
-    return bool((regex or "").strip())
+    return bool(regex.strip())
+
+
+_PREFACE, _WHOLE = "序章 / 前言", "全文"
+
+
+def _regex_cuts(text: str, regex: str | None) -> list[tuple[str, str]]:
+    """The split of one text by Python's engine; names of groups may be written as Java and JavaScript do."""
+    if not text:
+        return []
+    pattern = _pattern(regex or "")
+    starts = [m.start() for m in pattern.finditer(text)] if pattern else []
+    if not starts:
+        return [(_WHOLE, text)]
+    parts = [text[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(text)], strict=True)]
+    return [(_PREFACE, text[: starts[0]])] * (starts[0] > 0) + [(c.split("\n", 1)[0].strip(_BLANK), c) for c in parts]
+
+
+@lru_cache(maxsize=256)
+def _pattern(regex: str) -> re.Pattern | None:
+    try:
+        return re.compile(f"((?:{re.sub(r'[(][?]<(?=[A-Za-z])', '(?P<', regex)}).*)", re.MULTILINE) if regex.strip() else None
+    except re.error:
+        return None
 
 
 def split_chapters_regex(books: DataFrame, regex: str | Column) -> DataFrame:
-    """Chapters that start at lines with a match; what stands before the first is the preface. ``regex`` may be a column.
+    """Chapters that start at lines with a match; what stands before the first is the preface.
 
-    A book without matches, a blank regex or one that does not compile gives one chapter of the whole text.
+    A regex for all books is Java's and runs in the JVM; a column of regexes is split by Python's engine, which
+    takes each in turn. A book without matches, a blank regex or one that its engine does not take gives one chapter of
+    the whole text, and does not touch other books.
     """
-    text = F.coalesce("full_text", F.lit(""))
-    whole = F.array(F.struct(F.lit("全文").alias("title"), text.alias("content")))
     if isinstance(regex, Column):
-        books = books.withColumn("_usable", F.udf(_compiles, "boolean")(regex))
-        usable, pattern = F.col("_usable"), F.when(F.col("_usable"), regex).otherwise("")
-    else:
-        usable, pattern = F.lit(_compiles(regex)), F.lit(regex if _compiles(regex) else "")
+        return per_text(books.withColumn("_regex", regex), ["book_id"], "full_text", lambda t, r: [(i, *c) for i, c in enumerate(_regex_cuts(t, r))], "chapter_index int, title string, content string", ("_regex",))
+    text = F.coalesce("full_text", F.lit(""))
+    whole = F.array(F.struct(F.lit(_WHOLE).alias("title"), text.alias("content")))
+    usable = _java_compiles(books.sparkSession, regex)
     # A mark is put before each match (the rest of the line goes with it), and the text is cut there.
     mark = "\u0001\u0002"
-    marked = F.regexp_replace(text, F.concat(F.lit("(?m)((?:"), pattern, F.lit(").*)")), F.lit(mark + "$1"))
-    cut = F.split(F.when(usable, marked).otherwise(text), mark)
+    cut = F.split(F.regexp_replace(text, f"(?m)((?:{regex}).*)", mark + "$1") if usable else text, mark)
     head = F.element_at(cut, 1)
     rest = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda c: F.struct(strip(F.substring_index(c, "\n", 1)).alias("title"), c.alias("content")))
-    first = F.when(head != "", F.array(F.struct(F.lit("序章 / 前言").alias("title"), head.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
-    found = F.when(usable & (F.size(cut) > 1), F.concat(first, rest)).otherwise(whole)
+    first = F.when(head != "", F.array(F.struct(F.lit(_PREFACE).alias("title"), head.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
+    found = F.when(F.size(cut) > 1, F.concat(first, rest)).otherwise(whole)
     return books.where("coalesce(full_text, '') <> ''").select("book_id", F.posexplode(found).alias("chapter_index", "c")).select("book_id", "chapter_index", "c.title", "c.content")
 
 
@@ -221,16 +248,67 @@ def split_paragraphs(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", "chapter_index", F.posexplode(paragraphs(F.col("content"))).alias("paragraph_index", "text"))
 
 
+def title_paragraphs(p: Column, title: Column) -> Column:
+    """How many leading paragraphs say what the title says: one, two short ones together, or none."""
+    key, one, two = heading_key(F.coalesce(title, F.lit(""))), heading_key(F.get(p, F.lit(0))), heading_key(F.concat_ws(" ", F.get(p, F.lit(0)), F.get(p, F.lit(1))))
+    short = lambda i: (F.length(F.get(p, F.lit(i))) <= 80) & ~F.get(p, F.lit(i)).rlike("[。！？!?]")
+    return F.when((key != "") & (one == key), 1).when((key != "") & (F.size(p) > 1) & short(0) & short(1) & (two == key), 2).otherwise(0)
+
+
 def drop_title_paragraphs(chapters: DataFrame) -> DataFrame:
     """Paragraph arrays less a first one, or two short ones, that say what the title says."""
-    p = F.col("_p")
-    key, one, two = heading_key(F.coalesce("title", F.lit(""))), heading_key(F.get(p, F.lit(0))), heading_key(F.concat_ws(" ", F.get(p, F.lit(0)), F.get(p, F.lit(1))))
-    short = lambda i: (F.length(F.get(p, F.lit(i))) <= 80) & ~F.get(p, F.lit(i)).rlike("[。！？!?]")
-    n = F.when((key != "") & (one == key), 1).when((key != "") & (F.size(p) > 1) & short(0) & short(1) & (two == key), 2).otherwise(0)
-    made = chapters.withColumn("_p", paragraphs(F.col("content"))).withColumn("dropped", n)
+    made = chapters.withColumn("_p", paragraphs(F.col("content"))).withColumn("dropped", title_paragraphs(F.col("_p"), F.col("title")))
     return made.select("book_id", "chapter_index", "dropped", F.slice("_p", F.col("dropped") + 1, F.size("_p")).alias("paragraphs"))
 
 
+def shown_title(title: Column, index: Column) -> Column:
+    return F.coalesce(F.nullif(strip(title), F.lit("")), F.concat(F.lit("第"), index + 1, F.lit("章")))
+
+
+def rendered_chapters(chapters: DataFrame) -> DataFrame:
+    """``(book_id, chapter_index, title, rendered)``: what a reader sees of each chapter, paragraphs without blank lines and repeated titles."""
+    named = chapters.select("book_id", "chapter_index", shown_title(F.col("title"), F.col("chapter_index")).alias("title"), paragraphs(F.coalesce("content", F.lit(""))).alias("_p"))
+    shown = F.slice("_p", title_paragraphs(F.col("_p"), F.col("title")) + 1, F.greatest(F.size("_p"), F.lit(0)))
+    return named.select("book_id", "chapter_index", "title", F.array_join(shown, "\n").alias("rendered"))
+
+
+_BREAK = "\r\n?|[\n\\x{2028}\\x{2029}\\x{0085}]"
+
+
+def rendered_pieces(chapters: DataFrame) -> DataFrame:
+    """How raw places become rendered ones: ``(book_id, chapter_index, paragraph_index, raw_start, raw_end, start, end, text)``.
+
+    A row for each paragraph that is shown: where its line stands in the raw content, without the white space at its ends, and where it stands in the rendered text.
+    """
+    titled = chapters.select("book_id", "chapter_index", shown_title(F.col("title"), F.col("chapter_index")).alias("title"), F.coalesce("content", F.lit("")).alias("content"))
+    raw = F.regexp_extract_all("content", F.lit(f"(?s)(.*?(?:{_BREAK})|.+\\z)"), F.lit(1))
+    # Typography changes no line break, so the lines of both texts belong together in order.
+    lines = F.arrays_zip(raw.alias("raw"), F.split(fix_typography(F.col("content")), _BREAK).alias("fixed"))
+    counted = titled.withColumn("_p", paragraphs(F.col("content"))).withColumn("_dropped", title_paragraphs(F.col("_p"), F.col("title")))
+    cut = counted.select("book_id", "chapter_index", "_dropped", F.posexplode(lines).alias("_line", "l")).where("l.raw is not null")
+    own = Window.partitionBy("book_id", "chapter_index").orderBy("_line")
+    before = own.rowsBetween(Window.unboundedPreceding, -1)
+    lead = F.length(F.regexp_extract("l.raw", f"^{WS}*", 0))
+    placed = cut.select("book_id", "chapter_index", "_dropped", "_line", strip(F.col("l.fixed")).alias("text"), (F.coalesce(F.sum(F.length("l.raw")).over(before), F.lit(0)) + lead).alias("raw_start"), F.length(strip(F.col("l.raw"))).alias("_n"))
+    shown = placed.where("text <> ''").withColumn("paragraph_index", F.row_number().over(own) - 1 - F.col("_dropped")).where("paragraph_index >= 0")
+    start = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    return shown.select("book_id", "chapter_index", "paragraph_index", "raw_start", (F.col("raw_start") + F.col("_n")).alias("raw_end"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+
+
+def to_rendered(points: DataFrame, pieces: DataFrame) -> DataFrame:
+    """``points`` (book_id, chapter_index, offset) with ``rendered_offset``: their place in the rendered text, from one sort of both sides.
+
+    Places in white space or in a line that is not shown go to the end of the paragraph before, or to the start; a place inside a
+    paragraph that typography has shortened goes to its end at the latest.
+    """
+    marks = pieces.select("book_id", "chapter_index", F.col("raw_start").cast("long").alias("_at"), F.lit(0).alias("_kind"), F.struct("raw_start", "start", "end").alias("_piece"))
+    rows = points.withColumn("_at", F.col("offset").cast("long")).withColumn("_kind", F.lit(1)).withColumn("_piece", F.lit(None).cast(marks.schema["_piece"].dataType))
+    order = Window.partitionBy("book_id", "chapter_index").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(marks, allowMissingColumns=True).withColumn("_found", F.last("_piece", ignorenulls=True).over(order)).where("_kind = 1")
+    inside = F.least(F.col("_found.end"), F.col("_found.start") + F.col("_at") - F.col("_found.raw_start"))
+    return found.select(*points.columns, F.coalesce(inside, F.lit(0)).cast("long").alias("rendered_offset"))
+
+
 _D = "[0-9０-９]"
 _ENDS = f"(?:[!?。！？｡…]|(?<!{_D})[.．]|[.．](?!{_D}))+"
 _HYPHEN = r"(?:(?<=-)-|-(?=-)|(?<=\s)-|-(?=\s))"
@@ -443,9 +521,18 @@ def order_cached_chunks(cache: DataFrame, chapters: DataFrame) -> DataFrame:
     return met.select(*cache.columns, F.row_number().over(order).alias("rank"))
 
 
-def cached_paragraphs(chunks: DataFrame, cache: DataFrame) -> DataFrame:
+def cached_paragraphs(chunks: DataFrame, cache: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """Paragraphs with a cached chunk of their text; with ``titles`` (book_id, chapter_index, title) a chapter's cached title counts as paragraph -1.
+
+    Chapters without any chunk have no title either.
+    """
     keys = ["book_id", "chapter_index", "text"]
-    return chunks.join(cache.select("book_id", "chapter_index", F.col("chunk_text").alias("text")), keys, "left_semi").select("book_id", "chapter_index", "paragraph_index").distinct()
+    stored = cache.select("book_id", "chapter_index", F.col("chunk_text").alias("text"))
+    every = chunks.select(*keys, "paragraph_index")
+    if titles is not None:
+        read = titles.join(chunks.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi")
+        every = every.unionByName(read.select("book_id", "chapter_index", strip(F.col("title")).alias("text"), F.lit(-1).cast(chunks.schema["paragraph_index"].dataType).alias("paragraph_index")).where("text <> ''"))
+    return every.join(stored, keys, "left_semi").select("book_id", "chapter_index", "paragraph_index").distinct()
 
 
 # ---- excerpts and quotes --------------------------------------------------------------------------

@@ -269,15 +269,27 @@ def conversation_keys(t):
     return t.buckets.select("ordinal", built.alias("built"), p["book_id"].alias("book_id"), p["persona_id"].alias("persona_id"), p["character_id"].alias("character_id"))
 
 
+_SQUEEZED = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+
+
 @query(
     "prompt_records",
-    """select id, '[发送者:' || sender || '][' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || content as record, sender as name from {timed_messages}""",
+    f"""select id, '[发送者:' || sender || '][' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || {_SQUEEZED} ||
+          case when id % 3 = 0 then ' [引用:发送者=Q' || id || ';时间=' || strftime(ts - interval 90 minute, '%Y-%m-%d %H:%M') || ';内容=' || {_SQUEEZED} || ']' else '' end as record, sender as name from {{timed_messages}}""",
 )
 def prompt_records(t):
-    record = T.prompt_record(F.col("sender"), F.col("ts"), F.col("content"))
+    quote = F.concat(F.lit("Q"), F.col("id")), F.col("ts") - F.expr("interval 90 minutes"), F.when(F.col("id") % 3 == 0, F.concat(F.lit(" \n"), F.col("content"), F.lit("\t")))
+    record = T.prompt_record(F.col("sender"), F.col("ts"), F.concat(F.lit("  "), F.col("content"), F.lit("\n")), quote)
     return t.timed_messages.select("id", record.alias("record"), T.sender_name(record).alias("name"))
 
 
+@query("migrate_prompt_records", f"""select id, '[发送者:' || sender || '][' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || {_SQUEEZED} as record from {{timed_messages}}""")
+def migrate_prompt_records(t):
+    role = F.when(F.col("sender") == "click", "[用户消息]").when(F.col("sender") == "view", "[角色消息]").otherwise("")
+    old = F.concat(role, F.format_string("[发送者:%s][时间:%s]  ", F.col("sender"), T.minute_stamp(F.col("ts"))), F.col("content"))
+    return t.timed_messages.select("id", T.migrate_prompt_record(old).alias("record"))
+
+
 @query(
     "fill_placeholders",
     """select conversation_key, msg_index, 'Hi ' || '$1 A' || ', I am ' || sender || '. ' || '$1 A' || content as text from {messages}""",

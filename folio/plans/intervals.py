@@ -206,23 +206,40 @@ def count_highlights(t):
     return I.count_highlights(t.highlights)
 
 
+#: Every fifth highlight is of the whole text.
+_KEYED = """keyed as (select * replace (case when chapter_key = 'chapter-4' then 'full' else chapter_key end as chapter_key) from {highlights})"""
+
+
+def _keyed(t):
+    return t.highlights.withColumn("chapter_key", F.when(F.col("chapter_key") == "chapter-4", "full").otherwise(F.col("chapter_key")))
+
+
 @query(
     "highlight_position",
-    f"""with {_OFFSETS} select h.range_id, h.book_id, raw_start + least(h.start, raw_length) as global_offset, round((raw_start + least(h.start, raw_length)) / raw_total, 6) as ratio
-        from {{highlights}} h join offsets o on o.book_id = h.book_id and h.chapter_key = 'chapter-' || o.chapter_index where raw_total > 0""",
+    f"""with {_OFFSETS}, {_KEYED} select h.range_id, h.book_id, raw_start + h.start as global_offset, round(case when raw_length > 0 then h.start / raw_length else 0 end, 6) as ratio
+        from keyed h join offsets o on o.book_id = h.book_id and h.chapter_key = 'chapter-' || o.chapter_index
+        union all select h.range_id, h.book_id, h.start, round(case when full_text_length > 0 then h.start / full_text_length else 0 end, 6) from keyed h join {{books}} b on b.book_id = h.book_id where h.chapter_key = 'full'""",
 )
 def highlight_position(t):
-    return I.highlight_position(t.highlights, _offsets(t)).select("range_id", "book_id", "global_offset", F.round("ratio", 6).alias("ratio"))
+    return I.highlight_position(_keyed(t), _offsets(t), t.books).select("range_id", "book_id", "global_offset", F.round("ratio", 6).alias("ratio"))
+
+
+_LINES = "list_filter(list_transform(string_split({0}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 @query(
     "resolve_highlights",
-    """select range_id, h.book_id, c.title, substr(content, cast(least(h.start, len(content)) as bigint) + 1, cast(least(h."end", len(content)) - least(h.start, len(content)) as bigint)) as text
-       from {highlights} h join {chapters} c on c.book_id = h.book_id and h.chapter_key = 'chapter-' || c.chapter_index where h."end" > h.start
-       and trim(substr(content, cast(least(h.start, len(content)) as bigint) + 1, cast(least(h."end", len(content)) - least(h.start, len(content)) as bigint))) <> ''""",
+    f"""with {_KEYED}, c as (select book_id, 'chapter-' || chapter_index as chapter_key, case when chapter_index % 2 = 0 then trim(string_split(content, chr(10))[1]) else title end as title,
+          array_to_string(case when chapter_index % 2 = 0 then {_LINES.format("content")}[2:] else {_LINES.format("content")} end, chr(10)) as r from {{chapters}}
+          union all select book_id, 'full', '全文', array_to_string({_LINES.format("full_text")}, chr(10)) from {{books}}),
+        x as (select range_id, h.book_id, title, substr(r, cast(least(start, len(r)) as bigint) + 1, cast(greatest(least("end", len(r)) - least(start, len(r)), 0) as bigint)) as text
+          from keyed h join c on c.book_id = h.book_id and c.chapter_key = h.chapter_key)
+        select * from x where trim(text, ' ' || chr(10)) <> ''""",
 )
 def resolve_highlights(t):
-    return I.resolve_highlights(t.highlights, t.chapters).select("range_id", "book_id", "title", "text")
+    """Chapters with an even index bear their first line as title, so it is not shown twice."""
+    named = t.chapters.withColumn("title", F.when(F.col("chapter_index") % 2 == 0, F.substring_index("content", "\n", 1)).otherwise(F.col("title")))
+    return I.resolve_highlights(_keyed(t), named, t.books).select("range_id", "book_id", "title", "text")
 
 
 @query(

@@ -108,7 +108,7 @@ def restore_old_archive(t):
     S.export_archive(t.spark, {"settings": settings}, path, "2024-01-01T00:00:00Z")
     S.replace_all(S.restore_archive(t.spark, path), live, {"images": "image_ref string, data_url string"})
     kind = "messages array<struct<turn:long,text:string>>"
-    back = t.spark.read.parquet(f"{live}/conversations").select("conversation_key", F.from_json("bucket", kind)["messages"].alias("m"))
+    back = S.live_tables(t.spark, live)["conversations"].select("conversation_key", F.from_json("bucket", kind)["messages"].alias("m"))
     characters = F.aggregate("m", F.lit(0).cast("long"), lambda n, x: n + F.length(x["text"]))
     return back.select(F.col("conversation_key").cast(t.conversations.schema["conv_id"].dataType).alias("conversation_key"), F.size("m").cast("long").alias("messages"), characters.alias("characters"))
 

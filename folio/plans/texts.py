@@ -239,10 +239,16 @@ _PARS = """pars as (select book_id, chapter_index, i - 1 as paragraph_index, p a
            select book_id, chapter_index, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from {chapters})))"""
 
 
-@query("cached_paragraphs", f"with {_PARS} select distinct p.book_id, p.chapter_index, p.paragraph_index from pars p where exists (select 1 from pars c where c.book_id = p.book_id and c.chapter_index = p.chapter_index and c.text = p.text and (c.chapter_index * 7 + c.paragraph_index) % 3 = 0)")
+@query(
+    "cached_paragraphs",
+    f"""with {_PARS} select distinct p.book_id, p.chapter_index, p.paragraph_index from pars p where exists (select 1 from pars c where c.book_id = p.book_id and c.chapter_index = p.chapter_index and c.text = p.text and (c.chapter_index * 7 + c.paragraph_index) % 3 = 0)
+        union all select book_id, chapter_index, -1 from {{chapters}} c where chapter_index % 2 = 0 and exists (select 1 from pars p where p.book_id = c.book_id and p.chapter_index = c.chapter_index)""",
+)
 def cached_paragraphs(t):
+    """Titles of chapters with an even index are cached too."""
     pieces, cache = _cache(t)
-    return _longs(S.cached_paragraphs(pieces, cache))
+    spoken = t.chapters.where("chapter_index % 2 = 0").select("book_id", "chapter_index", F.col("title").alias("chunk_text"), F.lit(0).alias("created_at"))
+    return _longs(S.cached_paragraphs(pieces, cache.unionByName(spoken), t.chapters))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,14 +131,14 @@ def normalize_buckets(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.where(ok).withColumns(names), df.where(~ok)
 
 
-SCHEMA_NAME, VERSION = "reading-archive", 1
+SCHEMA_NAME, VERSION, APP_ID = "reading-archive", 1, "folio"
 
 
-def export_archive(spark: SparkSession, tables: dict[str, DataFrame], path: str, exported_at: str) -> None:
-    """Each table as Parquet under ``path``, and a manifest that names them; written last, so a broken export has none."""
+def export_archive(spark: SparkSession, tables: dict[str, DataFrame], path: str, exported_at: str, app_id: str = APP_ID) -> None:
+    """Each table as Parquet under ``path``, and a manifest that names them and the application; written last, so a broken export has none."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
-    manifest = {"schema": SCHEMA_NAME, "version": VERSION, "exportedAt": exported_at, "tables": sorted(tables)}
+    manifest = {"schema": SCHEMA_NAME, "version": VERSION, "exportedAt": exported_at, "appId": app_id, "tables": sorted(tables)}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_manifest")
 
 
@@ -151,8 +152,8 @@ ROW_RULES = {
 }
 
 
-def restore_archive(spark: SparkSession, path: str, rules: dict[str, str] | None = None, legacy_key: str = "chat_history") -> dict[str, DataFrame]:
-    """The tables of an archive; ValueError if its manifest is missing, foreign, undated or newer than this code.
+def restore_archive(spark: SparkSession, path: str, rules: dict[str, str] | None = None, legacy_key: str = "chat_history", app_id: str = APP_ID) -> dict[str, DataFrame]:
+    """The tables of an archive; ValueError if its manifest is missing, foreign, of another application, undated or newer than this code.
 
     ``rules`` (conditions by table name, ROW_RULES unless given) say which rows are taken; nulls go. Archives of old have
     their chats in ``settings`` (key, value) as one JSON object of buckets by conversation under ``legacy_key``: where
@@ -163,7 +164,7 @@ def restore_archive(spark: SparkSession, path: str, rules: dict[str, str] | None
         manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/_manifest").collect()))
     except Exception as e:
         raise ValueError(f"{path} has no readable manifest") from e
-    known = isinstance(manifest, dict) and manifest.get("schema") == SCHEMA_NAME
+    known = isinstance(manifest, dict) and manifest.get("schema") == SCHEMA_NAME and manifest.get("appId") == app_id
     if not known or not isinstance(manifest.get("version"), int) or not 1 <= manifest["version"] <= VERSION or not manifest.get("exportedAt"):
         raise ValueError(f"{path} is not an archive that can be read here")
     out = {}
@@ -180,16 +181,62 @@ def restore_archive(spark: SparkSession, path: str, rules: dict[str, str] | None
     return out
 
 
+POINTER = "CURRENT"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(conf)
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The folder that holds the tables now."""
+    at, fs = _hadoop(spark, f"{path}/{POINTER}")
+    return spark.read.text(at.toString()).first()[0] if fs.exists(at) else None
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Put the pointer's new text in place of the old one in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, fs = _hadoop(spark, f"{path}/.{POINTER}-{version}")
+    out = fs.create(new, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"), over)
+
+
 def replace_all(tables: dict[str, DataFrame], path: str, known: dict[str, str] | None = None) -> None:
-    """Each table in place of what ``path`` holds under its name; tables of ``known`` (name -> schema) that are not given become empty.
+    """Put ``tables`` in place of all that ``path`` holds; tables of ``known`` (name -> schema) that are not given become empty.
 
-    ``tables`` must not be read from ``path`` itself.
+    The tables are written to a new folder, and a pointer to it is swapped last, so that until then, and after a failure
+    at any table, the old ones can be read whole (``live_tables``). ``tables`` may be read from ``path`` itself.
+    The folder before stays for those who still read it; older ones go.
     """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-    for name, schema in (known or {}).items():
-        if name not in tables:
-            SparkSession.active().createDataFrame([], schema).write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next((df.sparkSession for df in tables.values()), None) or SparkSession.active()
+    before, version = _version(spark, path), f"v-{uuid.uuid4().hex}"
+    whole = {n: spark.createDataFrame([], schema) for n, schema in (known or {}).items()} | tables
+    for name, df in whole.items():
+        df.write.parquet(f"{path}/{version}/{name}")
+    manifest = {"schema": SCHEMA_NAME, "version": VERSION, "tables": sorted(whole)}
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{path}/{version}/_manifest")
+    _point(spark, path, version)
+    at, fs = _hadoop(spark, path)
+    for found in fs.listStatus(at):
+        name = found.getPath().getName()
+        if name.startswith("v-") and name not in (before, version):
+            fs.delete(found.getPath(), True)
+
+
+def live_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables that the last whole ``replace_all`` has put under ``path``; none before the first."""
+    version = _version(spark, path)
+    if version is None:
+        return {}
+    manifest = json.loads(spark.read.text(f"{path}/{version}/_manifest").first()[0])
+    return {n: spark.read.parquet(f"{path}/{version}/{n}") for n in manifest["tables"]}
 
 
 def write_transcripts(transcripts: DataFrame, path: str, folders: bool = False) -> None:
