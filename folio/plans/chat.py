@@ -231,7 +231,7 @@ def estimate_tokens(t):
 @query(
     "assemble_context",
     """with c as (select owner_id, string_agg(content, chr(10) order by start, "end", card_id) as cards from {summary_cards} s join {reader_progress} p on p.book_id = s.owner_id % 10 where s."end" <= p.safe_offset group by 1),
-       e as (select doc_id as owner_id, left(text, 800) as excerpt from {documents}),
+       e as (select doc_id as owner_id, text as excerpt from {documents}),
        h as (select owner_id, string_agg(snippet, chr(10) order by start, range_id) as snippets from (
               select h.book_id as owner_id, h.start, h.range_id, trim(substr(d.text, cast(h.start + 1 as integer), cast(h."end" - h.start as integer))) as snippet
               from {highlights} h join {documents} d on d.doc_id = h.book_id) where snippet <> '' group by 1),
@@ -246,7 +246,7 @@ def assemble_context(t):
     snippet = F.trim(F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
     return C.assemble_context(
         cards,
-        t.documents.select(F.col("doc_id").alias("owner_id"), F.left("text", F.lit(800)).alias("excerpt")),
+        t.documents.select(F.col("doc_id").alias("owner_id"), F.col("text").alias("excerpt")),
         t.chapters.select(F.col("book_id").alias("owner_id"), F.col("chapter_index").alias("rank"), F.col("content").alias("text")),
         marked.select("owner_id", "start", "range_id", snippet.alias("snippet")),
     )

@@ -30,31 +30,29 @@ def chapter_offsets(t):
 
 
 _LOCATED = f"""{_OFFSETS}, ends as (select book_id, max(chapter_index) as last_index from offsets group by 1), located as (
-    select p.*, coalesce(min(o.chapter_index), any_value(e.last_index)) as ci from {{positions}} p join ends e on e.book_id = p.book_id
+    select p.*, coalesce(min(o.chapter_index), any_value(e.last_index)) as ci from {{positions}} p left join ends e on e.book_id = p.book_id
     left join offsets o on o.book_id = p.book_id and p.global_char_offset <= o.raw_end group by all)"""
 
 
 @query(
     "locate_chapter",
     f"""with {_LOCATED} select l.user_id, l.book_id, l.event_id, l.global_char_offset, l.ci as chapter_index, greatest(0, l.global_char_offset - o.raw_start) as chapter_char_offset
-        from located l join offsets o on o.book_id = l.book_id and o.chapter_index = l.ci""",
+        from located l left join offsets o on o.book_id = l.book_id and o.chapter_index = l.ci""",
 )
 def locate_chapter(t):
-    known = t.positions.join(t.books.select("book_id"), "book_id", "left_semi")
-    return _longs(I.locate_chapter(known, _offsets(t))).where("chapter_index is not null")
+    """Positions in unknown books have no chapter."""
+    return _longs(I.locate_chapter(t.positions, _offsets(t)))
 
 
 @query(
     "safe_offset",
-    f"""with {_LOCATED} select l.event_id, l.book_id, cast(o.clean_start + case when o.raw_length > 0 then
-          round(least(1.0, greatest(0, l.global_char_offset - o.raw_start) / o.raw_length) * o.clean_length) else 0 end as bigint) as safe_offset
-        from located l join offsets o on o.book_id = l.book_id and o.chapter_index = l.ci""",
+    f"""with {_LOCATED} select l.event_id, l.book_id, cast(case when o.book_id is null then greatest(0, l.global_char_offset) else o.clean_start + case when o.raw_length > 0 then
+          round(least(1.0, greatest(0, l.global_char_offset - o.raw_start) / o.raw_length) * o.clean_length) else 0 end end as bigint) as safe_offset
+        from located l left join offsets o on o.book_id = l.book_id and o.chapter_index = l.ci""",
 )
 def safe_offset(t):
-    known = t.positions.join(t.books.select("book_id"), "book_id", "left_semi")
     offsets = _offsets(t)
-    at = I.locate_chapter(known, offsets).where("chapter_index is not null")
-    return I.safe_offset(at, offsets).select("event_id", "book_id", "safe_offset")
+    return I.safe_offset(I.locate_chapter(t.positions, offsets), offsets).select("event_id", "book_id", "safe_offset")
 
 
 @query(

@@ -60,11 +60,11 @@ def format_bytes(t):
 @query(
     "categorise_resources",
     """with o as (select ps as resource_id, arg_min(category, priority) as category from (
-         select l_partkey as ps, case l_linenumber % 3 when 0 then 'covers' when 1 then 'avatars' else 'backgrounds' end as category, l_orderkey * 10 + l_linenumber as priority from {lineitem} where l_linenumber <= 3 and l_partkey % 4 <> 0) group by 1)
+         select l_partkey as ps, case l_linenumber % 3 when 0 then 'covers' when 1 then 'avatars' else 'backgrounds' end as category, l_orderkey * 10 + l_linenumber as priority from {lineitem} where l_returnflag = 'R') group by 1)
        select p_partkey as resource_id, coalesce(category, 'other') as category from {part} left join o on o.resource_id = p_partkey""",
 )
 def categorise_resources(t):
-    owners = t.lineitem.where("l_linenumber <= 3 and l_partkey % 4 <> 0").select(
+    owners = t.lineitem.where("l_returnflag = 'R'").select(
         F.col("l_partkey").alias("resource_id"), F.expr("case l_linenumber % 3 when 0 then 'covers' when 1 then 'avatars' else 'backgrounds' end").alias("category"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("priority")
     )
     return L.categorise_resources(t.part.select(F.col("p_partkey").alias("resource_id")), owners)
@@ -118,12 +118,12 @@ def unique_names(t):
 @query(
     "upsert",
     """select c_custkey, c_name, case when c_custkey % 3 = 0 then c_acctbal + 1 else c_acctbal end as c_acctbal from {customer}
-       union all select c_custkey + 1000000, c_name, c_acctbal from {customer} where c_custkey <= 10""",
+       union all select c_custkey + 1000000, c_name, c_acctbal from {customer} where c_acctbal < 0""",
 )
 def upsert(t):
     c = t.customer.select("c_custkey", "c_name", "c_acctbal")
     changed = c.where("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1)
-    return L.upsert(c, changed.unionByName(c.where("c_custkey <= 10").withColumn("c_custkey", F.col("c_custkey") + 1000000)), ["c_custkey"])
+    return L.upsert(c, changed.unionByName(c.where("c_acctbal < 0").withColumn("c_custkey", F.col("c_custkey") + 1000000)), ["c_custkey"])
 
 
 @query("delete_by_book", "select chunk_id, cast(book_id as bigint) as book_id from {chunks} where book_id % 3 <> 0")

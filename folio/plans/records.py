@@ -88,9 +88,10 @@ def archive_round_trip(t):
     return total("customer", "c_custkey").unionByName(total("orders", "o_orderkey"))
 
 
-@query("parse_replies", r"""select conversation_key, msg_index, least(3, greatest(2, len(list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '')))) as n, 'quoted' as underline from {messages} where content <> ''""")
+@query("parse_replies", r"""select conversation_key, msg_index, case when n = 0 then 0 else least(3, greatest(2, n)) end as n, 'quoted' as underline
+      from (select *, len(list_filter(list_transform(string_split(coalesce(content, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')) as n from {messages})""")
 def parse_replies(t):
-    m = t.messages.where("content <> ''").select("conversation_key", "msg_index", F.concat("content", F.lit("\n<underline> quoted </underline>")).alias("reply"))
+    m = t.messages.select("conversation_key", "msg_index", F.concat(F.coalesce("content", F.lit("")), F.lit("\n<underline> quoted </underline>")).alias("reply"))
     return P.parse_replies(m, ["conversation_key", "msg_index"], 2, 3).select("conversation_key", "msg_index", F.size("bubbles").cast("long").alias("n"), "underline")
 
 

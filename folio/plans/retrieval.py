@@ -167,7 +167,12 @@ def note_query_text(t):
     return t.documents.select("doc_id", R.note_query_text(F.col("text"), reply).alias("query_text"))
 
 
-@query("content_signature")
+@query(
+    "content_signature",
+    f"""with c as (select book_id, chapter_index, title, {_CLEAN.format("content")} as t from {{chapters}}),
+        b as (select book_id, 'sentence-v1' || count(*) || string_agg(chapter_index || '|' || title || '|' || length(t) || '|' || left(t, 80) || '|' || right(t, 80), '' order by chapter_index) as fed from c group by 1)
+        select book_id, printf('%x', list_reduce(list_prepend(2166136261::bigint, list_transform(string_split(fed, ''), lambda c: cast(ord(c) as bigint))), lambda h, x: (xor(h, x) * 16777619) & 4294967295)) as content_signature from b""",
+)
 def content_signature(t):
     return R.content_signature(t.chapters)
 

@@ -47,10 +47,15 @@ def stream_every_n(t):
     return X.drain(X.stream_every_n(_events(t), 10))
 
 
-@query("stream_debounce")
+@query(
+    "stream_debounce",
+    """with k as (select user_id || ':' || event_type as task_key, list([ts] order by ts) as l from events group by 1),
+         f as (select task_key, list_reduce(l, lambda o, r: case when epoch_ms(r[1]) - epoch_ms(o[-1]) >= 3600000 then list_concat(o, r) else o end) as kept from k)
+       select task_key, epoch_us(unnest(kept)) as us from f""",
+)
 def stream_debounce(t):
     tasks = _events(t).select(F.concat_ws(":", "user_id", "event_type").alias("task_key"), "ts")
-    return X.drain(X.stream_debounce(tasks, 3_600_000))
+    return X.drain(X.stream_debounce(tasks, 3_600_000)).select("task_key", F.unix_micros("ts").alias("us"))
 
 
 @query("filter_late_ticks", "select event_id, user_id from {ticks} where (epoch_us(actual) - epoch_us(planned)) / 1000.0 <= 10000")

@@ -82,12 +82,17 @@ def dedupe_toc(t):
     return S.dedupe_toc(toc).select("book_id", "toc_index", "path")
 
 
-@query("flatten_toc")
+@query(
+    "flatten_toc",
+    """with e as (select book_id, 0 as level, chapter_index as a, 0 as b, title, 'chapter' as path from {chapters} union all
+         select book_id, 1, chapter_index, i, line, 'leaf' from (select book_id, chapter_index, unnest(l) as line, unnest(range(len(l))) as i from (select *, string_split(content, chr(10)) as l from {chapters})))
+       select book_id, cast(level as bigint) as level, title, path, row_number() over (partition by book_id order by level, a, b) - 1 as toc_index from e""",
+)
 def flatten_toc(t):
-    leaf = F.transform(F.split("content", "\n"), lambda x: F.struct(F.left(x, F.lit(20)).alias("title"), F.lit("leaf").alias("path")))
+    leaf = F.transform(F.split("content", "\n"), lambda x: F.struct(x.alias("title"), F.lit("leaf").alias("path")))
     entry = F.struct("chapter_index", F.struct(F.col("title"), F.lit("chapter").alias("path"), leaf.alias("children")).alias("e"))
     toc = t.chapters.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["e"]).alias("toc"))
-    return S.flatten_toc(toc)
+    return _longs(S.flatten_toc(toc))
 
 
 @query(
@@ -131,10 +136,15 @@ def split_paragraphs(t):
     return _longs(S.split_paragraphs(t.chapters))
 
 
-@query("drop_title_paragraphs")
+@query(
+    "drop_title_paragraphs",
+    """select book_id, chapter_index, cast(d as bigint) as dropped, cast(len(ps) - d as bigint) as n_paragraphs from (select book_id, chapter_index, case when chapter_index % 2 = 0 then 1 else 0 end as d,
+         list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from {chapters})""",
+)
 def drop_title_paragraphs(t):
+    """Chapters with an even index bear their first line as title."""
     named = t.chapters.withColumn("title", F.when(F.col("chapter_index") % 2 == 0, F.substring_index("content", "\n", 1)).otherwise(F.col("title")))
-    return S.drop_title_paragraphs(named).select("book_id", "chapter_index", "dropped", F.size("paragraphs").alias("n_paragraphs"))
+    return _longs(S.drop_title_paragraphs(named).select("book_id", "chapter_index", "dropped", F.size("paragraphs").alias("n_paragraphs")))
 
 
 @query("split_sentences")
@@ -308,12 +318,21 @@ def fix_typography(t):
     return t.documents.select("doc_id", T.normalize_block(F.col("text")).alias("text"))
 
 
-@query("safe_file_names", r"""select doc_id, substr(regexp_replace(trim(regexp_replace(regexp_replace(left(text, 120), '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '\s+', ' ', 'g')), '[. ]+$', ''), 1, 96) as name, lpad(cast(doc_id + 1 as varchar), cast(greatest(3, length(cast(doc_id + 1 as varchar))) as integer), '0') as number from {documents}""")
+@query("safe_file_names", r"""select doc_id, substr(regexp_replace(trim(regexp_replace(regexp_replace(text, '[<>:"/\\|?*\x00-\x1F]', '_', 'g'), '\s+', ' ', 'g')), '[. ]+$', ''), 1, 96) as name, lpad(cast(doc_id + 1 as varchar), cast(greatest(3, length(cast(doc_id + 1 as varchar))) as integer), '0') as number from {documents}""")
 def safe_file_names(t):
-    return t.documents.select("doc_id", T.safe_file_name(F.left("text", F.lit(120)), F.lit("untitled")).alias("name"), T.chapter_number(F.col("doc_id")).alias("number"))
+    return t.documents.select("doc_id", T.safe_file_name(F.col("text"), F.lit("untitled")).alias("name"), T.chapter_number(F.col("doc_id")).alias("number"))
 
 
-@query("text_hashes")
+_BASE36 = "coalesce(nullif(ltrim(array_to_string(list_transform([6, 5, 4, 3, 2, 1, 0], lambda k: substr('0123456789abcdefghijklmnopqrstuvwxyz', (h // cast(pow(36, k) as bigint)) % 36 + 1, 1)), ''), '0'), ''), '0')"
+
+
+@query(
+    "text_hashes",
+    f"""with u as (select event_id, list_transform(string_split(props, ''), lambda c: cast(ord(c) as bigint)) as u from {{events}}),
+        f as (select event_id, list_reduce(list_prepend(2166136261::bigint, u), lambda h, x: (xor(h, x) * 16777619) & 4294967295) as fnv, list_reduce(list_prepend(0::bigint, u), lambda h, x: (h * 31 + x) & 4294967295) as raw from u),
+        s as (select event_id, fnv, abs(case when raw >= 2147483648 then raw - 4294967296 else raw end) as h from f)
+        select event_id, printf('%08x', fnv) as fnv, 'h' || {_BASE36} as h31 from s""",
+)
 def text_hashes(t):
     return t.events.select("event_id", T.fnv1a32(F.col("props")).alias("fnv"), T.hash31(F.col("props")).alias("h31"))
 
