@@ -250,9 +250,12 @@ def split_paragraphs(chapters: DataFrame) -> DataFrame:
 
 def title_paragraphs(p: Column, title: Column) -> Column:
     """How many leading paragraphs say what the title says: one, two short ones together, or none."""
-    key, one, two = heading_key(F.coalesce(title, F.lit(""))), heading_key(F.get(p, F.lit(0))), heading_key(F.concat_ws(" ", F.get(p, F.lit(0)), F.get(p, F.lit(1))))
-    short = lambda i: (F.length(F.get(p, F.lit(i))) <= 80) & ~F.get(p, F.lit(i)).rlike("[。！？!?]")
-    return F.when((key != "") & (one == key), 1).when((key != "") & (F.size(p) > 1) & short(0) & short(1) & (two == key), 2).otherwise(0)
+    first = lambda i: F.get(p, F.lit(i))
+    short = lambda i: (F.length(first(i)) <= 80) & ~first(i).rlike("[。！？!?]")
+    # The three keys by one expression, which is long, and once a row.
+    keys = F.transform(F.array(F.coalesce(title, F.lit("")), first(0), F.concat_ws(" ", first(0), first(1))), heading_key)
+    count_ = lambda k: F.when((k[0] != "") & (k[1] == k[0]), 1).when((k[0] != "") & (F.size(p) > 1) & short(0) & short(1) & (k[2] == k[0]), 2).otherwise(0)
+    return F.element_at(F.transform(F.array(keys), count_), 1)
 
 
 def drop_title_paragraphs(chapters: DataFrame) -> DataFrame:
