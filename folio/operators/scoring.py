@@ -203,18 +203,18 @@ def score_blocks(queries: DataFrame, chunks: DataFrame, tops: list[tuple[int, bo
     without, all pairs. ``scope`` (query_id, book_id): a query meets the passages of its books alone. Where queries and
     passages have a model_id, only equal ones meet. Pairs that lack a vector, or whose vectors differ in size, have no score.
     """
-    laid, own = cut(_queries(queries)), _chunks(chunks)
-    schema = _result(laid, own)
+    own, asking = _chunks(chunks), _queries(queries)
+    schema = _result(asking, own)
     if scope is not None:
-        asked = laid.join(scope.select("query_id", "book_id").distinct(), "query_id").select(*_QUERY, "book_id")
+        asked = asking.join(scope.select("query_id", "book_id").distinct(), "query_id").select(*_QUERY, "book_id")
         near = asked.repartitionByRange("book_id", "query_id").sortWithinPartitions("book_id", "query_id")
         q = _named(packed(near, AT_ONCE, "book_id"), "q")
         c = _named(packed(own, SLICE, "book_id"), "c")
         return _of_packs(c.join(q, F.col("c_book_id") == F.col("q_book_id")).drop("q_book_id"), True, tops, schema)
-    n = laid.count()
-    if n <= QUERY_BLOCK:
-        arrow = laid.toArrow().combine_chunks()
-        block = laid.sparkSession.sparkContext.broadcast([arrow.column(c).to_pylist() if c in ("terms", "model_id") else pa.concat_arrays(arrow.column(c).chunks or [pa.array([], arrow.column(c).type)]) for c in _QUERY])
+    # One row more than a block tells whether there are more queries.
+    arrow = asking.limit(QUERY_BLOCK + 1).toArrow().combine_chunks()
+    if arrow.num_rows <= QUERY_BLOCK:
+        block = own.sparkSession.sparkContext.broadcast([arrow.column(c).to_pylist() if c in ("terms", "model_id") else pa.concat_arrays(arrow.column(c).chunks or [pa.array([], arrow.column(c).type)]) for c in _QUERY])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = QueryBlock(*block.value)
@@ -224,5 +224,5 @@ def score_blocks(queries: DataFrame, chunks: DataFrame, tops: list[tuple[int, bo
         return own.mapInArrow(run, schema)
     groups = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     c = _named(packed(own, SLICE), "c").withColumn("_group", F.pmod(F.xxhash64(F.element_at("c_chunk_id", 1)), F.lit(groups)))
-    q = _named(packed(laid, AT_ONCE), "q").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    q = _named(packed(cut(asking), AT_ONCE), "q").withColumn("_group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     return _of_packs(c.join(q.hint("merge"), "_group").drop("_group"), False, tops, schema)
