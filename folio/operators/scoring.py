@@ -23,7 +23,7 @@ from folio.operators.staging import cut
 #: Share of the keyword boost in a score.
 BOOST = 0.08
 
-#: Queries of a block (of which the driver gathers one at most), passages of a slice, queries scored at once.
+#: Queries of a block (of which the driver gathers one at most), passages of a slice, queries of a packed row.
 QUERY_BLOCK = 4096
 SLICE = 512
 AT_ONCE = 512
@@ -123,32 +123,47 @@ def block_scores(q: QueryBlock, vectors: pa.Array, hays: list[str], models: list
     return np.where(np.isfinite(out), rounded, -np.inf)
 
 
-def _best(scores: np.ndarray, books: np.ndarray, tops: list[tuple[int, np.ndarray | None]]) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, query) of the best of each book, for each (how many, which passages); rows of a book stand together, by id."""
-    keep = np.zeros(scores.shape, dtype=bool)
-    edges = np.r_[0, np.flatnonzero(books[1:] != books[:-1]) + 1, len(books)]
-    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        for k, mask in tops:
-            rows = np.arange(lo, hi) if mask is None else lo + np.flatnonzero(mask[lo:hi])
+class Best:
+    """The best scores so far of the book that is being read: (rank, query) for each of the rankings that are asked for."""
+
+    def __init__(self, tops: list[tuple[int, bool]], queries: int):
+        self.tops, self.queries, self.book = tops, queries, object()
+
+    def of(self, book: object) -> None:
+        if book != self.book:
+            self.book, self.scores = book, [np.full((k, self.queries), -np.inf) for k, _ in self.tops]
+
+    def mark(self, scores: np.ndarray, safe: np.ndarray, keep: np.ndarray) -> None:
+        """Mark in ``keep`` what may be among the best: a later passage of a book loses a tie, so it must beat the k-th before it."""
+        for i, (k, only) in enumerate(self.tops):
+            rows = np.flatnonzero(safe) if only else np.arange(len(scores))
             order = np.argsort(-scores[rows], axis=0, kind="stable")[:k]
-            np.put_along_axis(keep, rows[order], True, axis=0)
-    return np.nonzero(keep & (scores > -np.inf))
+            found = np.take_along_axis(scores[rows], order, axis=0)
+            at, of = np.nonzero(found > self.scores[i][-1])
+            keep[rows[order[at, of]], of] = True
+            self.scores[i] = -np.sort(-np.vstack([self.scores[i], found]), axis=0)[:k]
 
 
-def _scored(q: QueryBlock, chunk: dict[str, pa.Array], tops: list[tuple[int, bool]] | None) -> Iterator[pa.RecordBatch]:
-    n = len(chunk["chunk_id"])
+def _scored(q: QueryBlock, chunk: dict[str, pa.Array], tops: list[tuple[int, bool]] | None, best: Best | None = None) -> Iterator[pa.RecordBatch]:
+    """Scores of passages, of which those of a book stand together; by id, if ``best`` is carried from one call to the next."""
+    best = best or Best(tops or [], len(q.ids))
     codes = pc.dictionary_encode(chunk["book_id"], null_encoding="encode").indices.to_numpy()
-    safe = np.array([bool(x) for x in chunk["safe"].to_pylist()])
-    for lo in range(0, n, SLICE):
+    safe = np.array([bool(x) for x in chunk["safe"].to_pylist()], dtype=bool)
+    for lo in range(0, len(codes), SLICE):
         part = {c: x.slice(lo, SLICE) for c, x in chunk.items()}
         scores = block_scores(q, part["embedding"], part["hay"].to_pylist(), part["model_id"].to_pylist())
-        own = slice(lo, lo + SLICE)
-        for first in range(0, scores.shape[1], AT_ONCE):
-            some = scores[:, first : first + AT_ONCE]
-            at, of = np.nonzero(some > -np.inf) if tops is None else _best(some, codes[own], [(k, safe[own] if only else None) for k, only in tops])
-            if len(at):
-                rows = pa.array(at)
-                yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(of + first)), *(part[c].take(rows) for c in _SHOWN), pa.array(some[at, of])], names=["query_id", *_SHOWN, "score"])
+        keep = scores > -np.inf
+        if tops is not None:
+            keep = np.zeros(scores.shape, dtype=bool)
+            own = codes[lo : lo + SLICE]
+            edges = np.r_[0, np.flatnonzero(own[1:] != own[:-1]) + 1, len(own)].tolist()
+            for first, end in zip(edges[:-1], edges[1:], strict=True):
+                best.of(part["book_id"][first].as_py())
+                best.mark(scores[first:end], safe[lo + first : lo + end], keep[first:end])
+        at, of = np.nonzero(keep)
+        if len(at):
+            rows = pa.array(at)
+            yield pa.RecordBatch.from_arrays([q.ids.take(pa.array(of)), *(part[c].take(rows) for c in _SHOWN), pa.array(scores[at, of])], names=["query_id", *_SHOWN, "score"])
 
 
 def packed(df: DataFrame, size: int, by: str | None = None) -> DataFrame:
@@ -218,8 +233,9 @@ def score_blocks(queries: DataFrame, chunks: DataFrame, tops: list[tuple[int, bo
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q = QueryBlock(*block.value)
+            best = Best(tops or [], len(q.ids))
             for b in batches:
-                yield from _scored(q, {c: b.column(c) for c in _CHUNK}, tops)
+                yield from _scored(q, {c: b.column(c) for c in _CHUNK}, tops, best)
 
         return own.mapInArrow(run, schema)
     groups = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
