@@ -128,4 +128,7 @@ def oracle(text: str) -> str:
         return body
     # A view is put down after those that it reads, as each is entered when its text is complete.
     parts = ", ".join(f"{n} as ({s})" for n, s in done.items())
-    return f"WITH {parts}, {body[5:]}" if body[:5].lower() == "with " else f"WITH {parts} {body}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{parts}, {body[len(start):]}"
+    return f"with {parts} {body}"

@@ -4,12 +4,19 @@ from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import segments as S
+from folio.plans import text_sql
 from folio.plans.registry import query
 
 
 #: The cleaning of blocks as DuckDB SQL, for texts without quotes and spaces of other kinds.
 BLOCK_SPACE = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t][ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10))"
 
+_DROPPED = r"(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->|<!doctype[^>]*>"
+_LINE_BREAK = r"(?i)</?(?:article|aside|blockquote|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>|<br\b[^>]*>"
+_PARS = """pars as (select book_id, chapter_index, i - 1 as paragraph_index, p as text from (
+         select book_id, chapter_index, unnest(ps) as p, generate_subscripts(ps, 1) as i from (
+           select book_id, chapter_index, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from {chapters})))"""
+
 
 def _longs(df):
     return df.select(*[F.col(c).cast("long").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes])
@@ -28,7 +35,7 @@ def split_chapters_regex(t):
     return _longs(S.split_chapters_regex(t.books, "^The "))
 
 
-@query("split_chapters_chars")
+@query("split_chapters_chars", text_sql.SIZED)
 def split_chapters_chars(t):
     return S.split_chapters_chars(t.books, 1000)
 
@@ -47,7 +54,7 @@ def split_chapters_heading(t):
     return _longs(S.split_chapters_heading(b).select("book_id", "chapter_index", "title", F.length("content").alias("n_chars")))
 
 
-@query("resolve_chapters")
+@query("resolve_chapters", text_sql.RESOLVED)
 def resolve_chapters(t):
     books = t.books.select("book_id", "full_text", F.expr("case when book_id % 3 = 0 then 600 else 0 end").alias("chapter_char_count"), F.lit("^The ").alias("chapter_regex"))
     return S.resolve_chapters(books, t.chapters.where("book_id % 3 = 1"))
@@ -68,7 +75,7 @@ def merge_text_blocks(t):
     return got.select("book_id", F.col("block_index").cast("long").alias("block_index"), "type", F.length("text").cast("long").alias("n_chars"))
 
 
-@query("repair_chapter_titles")
+@query("repair_chapter_titles", text_sql.TITLES)
 def repair_chapter_titles(t):
     return S.repair_chapter_titles(t.chapters.select("book_id", "chapter_index", "title", "content"))
 
@@ -147,7 +154,7 @@ def drop_title_paragraphs(t):
     return _longs(S.drop_title_paragraphs(named).select("book_id", "chapter_index", "dropped", F.size("paragraphs").alias("n_paragraphs")))
 
 
-@query("split_sentences")
+@query("split_sentences", text_sql.SENTENCES)
 def split_sentences(t):
     return S.split_sentences(t.chapters, ["book_id", "chapter_index"], "content")
 
@@ -172,12 +179,12 @@ def refresh_index(t):
     return meta.select("book_id", "chunk_count", "indexed_up_to", "content_signature")
 
 
-@query("chunk_paragraphs")
+@query("chunk_paragraphs", text_sql.spoken(_PARS, 200))
 def chunk_paragraphs(t):
     return S.chunk_paragraphs(S.split_paragraphs(t.chapters), 200)
 
 
-@query("group_layout_lines")
+@query("group_layout_lines", text_sql.LAYOUT)
 def group_layout_lines(t):
     items = t.events.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("item_id"), (F.col("event_id") % 100).cast("double").alias("x"), F.round(F.col("value") * 2).alias("baseline"), F.expr("cast(8 + event_id % 5 as double)").alias("font"))
     return S.group_layout_lines(items)
@@ -185,8 +192,8 @@ def group_layout_lines(t):
 
 @query(
     "html_to_text",
-    r"""with a as (select page_id, regexp_replace(html, '(?is)<head\b.*?</head\s*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->|<!doctype[^>]*>', ' ', 'g') as h from {pages}),
-        b as (select page_id, regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '(?i)</?(?:article|aside|blockquote|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>|<br\b[^>]*>', chr(10), 'g') as h from a),
+    rf"""with a as (select page_id, regexp_replace(html, '{_DROPPED}', ' ', 'g') as h from {{pages}}),
+        b as (select page_id, regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '{_LINE_BREAK}', chr(10), 'g') as h from a),
         c as (select page_id, replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as h from b)
         select page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '[ \t]+\n', chr(10), 'g'), '\n[ \t]+', chr(10), 'g'), '[ \t][ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10)) as text from c""",
 )
@@ -194,9 +201,13 @@ def html_to_text(t):
     return S.html_to_text(t.pages, ["page_id"])
 
 
-@query("html_to_blocks")
+_PICTURED = """select page_id, replace(html, '<br>', concat('<br><img src="/i/', page_id, '.png" alt="p ', page_id % 9, '" width=', page_id % 300, ' style="height: 12px">')) as html from {pages}"""
+
+
+@query("html_to_blocks", text_sql.blocks(_PICTURED, BLOCK_SPACE, _DROPPED, _LINE_BREAK))
 def html_to_blocks(t):
-    return S.html_to_blocks(t.pages, ["page_id"])
+    """Every line break has a picture behind it; sizes that are not known are 0."""
+    return S.html_to_blocks(t.spark.sql(_PICTURED, pages=t.pages), ["page_id"]).fillna(0, ["width", "height"])
 
 
 _IMG = """refs as (select page_id, unnest(regexp_extract_all(html, '(?i)<img[^>]*\\ssrc="([^"]*)"', 1)) as ref from {pages})"""
@@ -244,11 +255,6 @@ def _cache(t):
     return pieces, pieces.where("(chapter_index * 7 + paragraph_index) % 3 = 0").select("book_id", "chapter_index", F.col("text").alias("chunk_text"), F.lit(0).alias("created_at"))
 
 
-_PARS = """pars as (select book_id, chapter_index, i - 1 as paragraph_index, p as text from (
-         select book_id, chapter_index, unnest(ps) as p, generate_subscripts(ps, 1) as i from (
-           select book_id, chapter_index, list_filter(list_transform(string_split(content, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ps from {chapters})))"""
-
-
 @query(
     "cached_paragraphs",
     f"""with {_PARS} select distinct p.book_id, p.chapter_index, p.paragraph_index from pars p where exists (select 1 from pars c where c.book_id = p.book_id and c.chapter_index = p.chapter_index and c.text = p.text and (c.chapter_index * 7 + c.paragraph_index) % 3 = 0)
@@ -270,7 +276,7 @@ def order_cached_chunks(t):
     return _longs(S.order_cached_chunks(_cache(t)[1], t.chapters).select("book_id", "chapter_index", "chunk_text", "rank"))
 
 
-@query("reading_excerpt")
+@query("reading_excerpt", text_sql.excerpts(300))
 def reading_excerpt(t):
     p = t.positions.select("book_id", F.col("event_id").alias("position_id"), F.col("global_char_offset").alias("position"))
     return S.reading_excerpt(p, t.books, 300)
