@@ -149,3 +149,36 @@ def blocks(source: str, space: str, drop: str, line_break: str) -> str:
         numbered as (select *, cast(row_number() over (partition by page_id order by i) - 1 as integer) as block_index from every),
         named as (select page_id, block_index, type, text, coalesce({sources}) as image_ref, {_attribute('alt')} as alt, {_attribute('title')} as title, {_pixels('width')} as width, {_pixels('height')} as height from numbered)
         select page_id, block_index, type, text, image_ref, alt, title, coalesce(width, 0) as width, coalesce(height, 0) as height from named where type = 'text' or image_ref is not null"""
+
+
+_TAIL = r"""^["'')\]}）】」』》〉”’ \t\r.!?;。！？；｡．﹒…⋯︙]*\n*"""
+_STOPS = "text"
+for _sign, _private in ((r"\.", "chr(57344)"), ("．", "chr(57345)"), ("﹒", "chr(57346)")):
+    for _ in range(2):
+        _STOPS = f"regexp_replace({_STOPS}, '([0-9]){_sign}([0-9])', '\\1' || {_private} || '\\2', 'g')"
+_STOPS = rf"regexp_replace({_STOPS}, '[\n!?;。！？；｡…⋯︙.．﹒]', chr(1), 'g')"
+
+
+def passages(source: str, size: int = 512, overlap: int = 64, least: int = 20, forward: int = 120, backward: int = 180) -> str:
+    """``source`` (book_id, chapter_index, text, clean_start) as overlapping passages that end where a sentence does, if one is near."""
+    keys = "book_id, chapter_index, clean_start, text, m, n"
+    hard, low = f"least(here + {size}, n)", f"least(n, here + {max(20, int(size * 0.35))})"
+    ahead = _first("m", f"greatest(here, {hard} - 1) + 1", f"least(n, {hard} + {forward}) - greatest(here, {hard} - 1)", _MARK)
+    floor = f"greatest({low} - 1, {hard} - {backward})"
+    behind = _last("m", f"{floor} + 1", f"greatest(0, {hard} - {floor})", _MARK)
+    # A place from 1 is the end of that mark from 0; what follows it is its tail.
+    place = f"coalesce({ahead}, {behind})"
+    near = f"least(n, {place} + length(regexp_extract(substring(text, cast({place} as bigint) + 1), '{_TAIL}')))"
+    end = f"case when n - here <= {least} then n when {hard} > {low} and {place} is not null and {near} > {low} then {near} else {hard} end"
+    step = f"select {keys}, here, case when upto - here < {least} then n else upto end as upto from (select {keys}, here, {end} as upto from "
+    return f"""marked as (select book_id, chapter_index, clean_start, text, {_STOPS} as m, length(text) as n from {source}),
+        cuts as ({step} (select *, 0 as here from marked where n > 0))
+          union all {step} (select {keys}, case when upto - {overlap} > here then greatest(upto - {overlap}, 0) else here + {size - overlap} end as here from cuts where upto < n) where here < n))
+        select book_id || '_ch' || chapter_index || '_' || here as chunk_id, book_id, cast(chapter_index as integer) as chapter_index, cast(clean_start + here as bigint) as start_offset,
+          cast(clean_start + upto as bigint) as end_offset, substring(text, here + 1, cast(upto - here as bigint)) as text from cuts where upto - here >= {least}"""
+
+
+#: The chapters' texts have no images and no blanks beside line breaks or at their ends but those that go here.
+_CLEAN = r"""clean as (select book_id, chapter_index, trim(regexp_replace(regexp_replace(content, '\s+\n', chr(10), 'g'), '\n\s+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13)) as text from {chapters}),
+        placed as (select *, coalesce(sum(length(text)) over (partition by book_id order by chapter_index rows between unbounded preceding and 1 preceding), 0) as clean_start from clean)"""
+PASSAGES = f"with recursive {_CLEAN}, {passages('placed')}"

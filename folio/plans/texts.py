@@ -159,7 +159,7 @@ def split_sentences(t):
     return S.split_sentences(t.chapters, ["book_id", "chapter_index"], "content")
 
 
-@query("chunk_chapters")
+@query("chunk_chapters", text_sql.PASSAGES)
 def chunk_chapters(t):
     return S.chunk_chapters(t.chapters)
 
