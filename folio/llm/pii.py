@@ -2,15 +2,16 @@
 
 Four exact patterns (email, ip, card, phone) give the base spans, which always stay. Beside
 them wider patterns propose candidates: written-out emails, cards in other groupings, phone
-numbers without a plus, addresses of the wrong shape. Labelers vote on each candidate, for,
-against or not at all: its pattern, its check sum and structure, gazetteers of endings,
-issuers and country codes, cue words around it, and how it stands in the text.
+numbers without a plus, addresses of the wrong shape. Labelers vote on each of these candidates, for,
+against or not at all: a pattern of its own kind (it abstains on what only fails a base pattern),
+its check sum and structure, gazetteers of endings, issuers and country codes, cue words around
+it, and how it stands in the text. Base spans are certain, so they have no vote and no part in what follows.
 Expectation-maximisation over the counts of vote patterns, of which there is a fixed number,
 estimates how reliable each labeler is and how likely each pattern is personal data. The final
-span classifier sees what the votes do not: the span's shape with the lengths of its groups, the
-words and characters beside it. It is a logistic model over hashed features, trained on the
-probabilities of at most SAMPLED candidates, and decides on every candidate that is not a base
-span. Documents are read once.
+span classifier sees no votes, but the span: its shape with the lengths of its groups, first and
+number of digits, check sum, ending, and the words and characters beside it. It is a logistic model
+over hashed features, trained on the probabilities of at most SAMPLED candidates, and decides on
+every candidate that is not a base span. Documents are read once.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ _SPELT = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(a
 _GROUPED = re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])")
 _DOMESTIC = re.compile(r"(?<![0-9+(.])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
 
+#: The wider patterns that speak for a candidate of their kind.
+OWN = {0: _SPELT, 2: _GROUPED, 3: _DOMESTIC}
+
 #: Endings, country codes and cue words of the gazetteer and context labelers.
 ENDINGS = frozenset("com org net edu gov info io de fr es uk it nl eu ch at be pl pt br ca us au jp cn in ru".split())
 COUNTRY_CODES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "52", "55", "61", "81", "82", "86", "90", "91", "351", "352", "353", "358", "420")
@@ -86,6 +90,10 @@ def _ip_ok(s: str) -> bool:
     return all(len(p) <= 3 and int(p) <= 255 for p in (x.lstrip("0") or "0" for x in s.split(".")))
 
 
+def _ending(s: str) -> str:
+    return re.split(r"[^A-Za-z0-9-]+", s.rstrip("."))[-1].lower()
+
+
 def _digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -131,9 +139,9 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[str,
     s = text[start:end]
     digits = _digits(s)
     if kind == 0:
-        ending = re.split(r"[^A-Za-z0-9-]+", s.rstrip("."))[-1].lower()
-        structure = "+" if ending.isalpha() and len(ending) >= 2 else "-"
-        gazetteer = "+" if ending in ENDINGS else "0"
+        # Said in plain words it may be prose ("look at this dot matrix"), so only signs speak for it.
+        structure = "+" if base or re.search(r"[\[({]", s) else "0"
+        gazetteer = "+" if _ending(s) in ENDINGS else "-"
     elif kind == 1:
         structure = "+" if _ip_ok(s) else "-"
         gazetteer = "-" if s.startswith(("0.", "127.", "255.")) or not structure == "+" else "+"
@@ -147,14 +155,16 @@ def votes(text: str, kind: int, start: int, end: int, base: bool) -> tuple[str,
     context = "+" if around & CUES[KINDS[kind]] else "-" if any(around & CUES[k] for k in KINDS if k != KINDS[kind]) else "0"
     before, after = text[start - 1 : start], text[end : end + 1]
     standing = "-" if before.isalnum() or after.isalnum() else "+"
-    return ("+" if base else "-") + structure + gazetteer + context + standing, min(len(s) // 8, 3)
+    pattern = "+" if base or kind in OWN and OWN[kind].fullmatch(s) else "0"
+    return pattern + structure + gazetteer + context + standing, min(len(s) // 8, 3)
 
 
 def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     """Pattern -> probability of personal data, from the number of candidates of each pattern.
 
     A pattern is ``kind|votes|length``. Expectation-maximisation over kinds' rates and each
-    labeler's votes given the truth, with priors that labelers are mostly right.
+    labeler's votes given the truth, with priors that labelers are mostly right. Cards with a failing
+    check sum and addresses out of range are none by definition: known cases, which anchor the rest.
     """
     if not counts:
         return {}
@@ -162,17 +172,17 @@ def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     n = np.array([counts[p] for p in names], dtype=float)
     kind = np.array([int(p.split("|")[0]) for p in names])
     vote = np.array([["-0+".index(c) for c in p.split("|")[1]] for p in names])
-    size = np.array([int(p.split("|")[2]) for p in names])
+    known = ((kind == 1) | (kind == 2)) & (vote[:, 1] == 0)
     # The prior's weight is a share of the data, so that it means the same at any size.
     weight = 0.3 * n.sum()
-    right = np.array([0.95, 0.9, 0.7, 0.6, 0.6])
+    right = np.array([0.65, 0.9, 0.7, 0.6, 0.6])
     prior = np.stack([np.stack([r, np.full(5, 0.1), 1 - r], 1) if y == 0 else np.stack([1 - r, np.full(5, 0.1), r], 1) for y in (0, 1) for r in [right]])
     prior /= prior.sum(2, keepdims=True)
     theta, rate = prior.copy(), np.full(len(KINDS), 0.5)
     at = np.arange(len(LABELERS))
     for _ in range(rounds):
         logs = np.stack([np.log(theta[y][at, vote]).sum(1) for y in (0, 1)]) + np.log(np.stack([1 - rate[kind], rate[kind]]))
-        p = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
+        p = np.where(known, 0.0, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50))))
         for y, q in ((0, 1 - p), (1, p)):
             seen = np.stack([[(n * q * (vote[:, i] == v)).sum() for v in range(3)] for i in at])
             theta[y] = (seen + weight * prior[y]) / (seen.sum(1, keepdims=True) + weight)
@@ -182,14 +192,16 @@ def fit(counts: dict[str, int], rounds: int = 50) -> dict[str, float]:
     return dict(zip(names, p.tolist(), strict=True))
 
 
-def features(text: str, kind: int, start: int, end: int, vote: str) -> list[int]:
-    """Hashed features of a candidate: votes, shape and group lengths, the words and characters on both sides."""
+def features(text: str, kind: int, start: int, end: int) -> list[int]:
+    """Hashed features of a candidate: shape and group lengths, digits, check sum and ending, the words and characters on both sides."""
     s = text[start:end]
-    shape = re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), re.sub(r"[^\W\d_]+", "a", s[:200]))
+    digits = _digits(s)
+    shape = re.sub(r"[0-9]+", lambda m: str(min(len(m[0]), 9)), re.sub(r"[^\W\d_]+", "a", s))
     before, after = re.findall(r"\w+", text[max(0, start - 40) : start].lower())[-2:], re.findall(r"\w+", text[end : end + 40].lower())[:1]
     said = [f"k{kind}", f"s{kind}{shape}", f"g{kind}{len(re.findall('[0-9]+', s))}", f"n{kind}{min(len(s) // 4, 12)}"]
+    said += [f"e{_ending(s)}"] if kind == 0 else [f"f{kind}{digits[:2]}", f"m{kind}{min(len(digits), 24)}", f"l{kind}{luhn(digits)}"]
     said += [f"b{kind}{w}" for w in before] + [f"a{kind}{w}" for w in after]
-    said += [f"c{kind}{_class(text[start - 1 : start])}", f"d{kind}{_class(text[end : end + 1])}"] + [f"v{kind}{i}{v}" for i, v in enumerate(vote)]
+    said += [f"c{kind}{_class(text[start - 1 : start])}", f"d{kind}{_class(text[end : end + 1])}"]
     return sorted({xxhash.xxh64_intdigest(x.encode("utf-8", "replace"), 5) % FEATURES for x in said})
 
 
@@ -224,7 +236,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
         out = []
         for k, a, b, base in candidates(text):
             v, size = votes(text, k, a, b, base)
-            out.append({"kind": k, "start": a, "end": b, "base": base, "pattern": f"{k}|{v}|{size}", "features": features(text, k, a, b, v)})
+            out.append({"kind": k, "start": a, "end": b, "base": base, "pattern": f"{k}|{v}|{size}", "features": [] if base else features(text, k, a, b)})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,18 +255,19 @@ def find_pii(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     rows. Columns other than doc_id and text, whatever their names, are ignored.
     """
     found = cut(find_candidates(docs))
-    each = found.select("doc_id", F.explode("spans").alias("s"))
+    each = found.select("doc_id", F.explode(F.filter("spans", lambda s: ~s["base"])).alias("s"))
     # Patterns: 4 kinds, 3 votes of 5 labelers and 4 lengths, so 3,888 rows at the very most.
     counts = {r["p"]: r["n"] for r in each.groupBy(F.col("s.pattern").alias("p")).agg(F.count("*").alias("n")).collect()}
     likely = fit(counts)
-    share = min(1_000_000, 1_000_000 * SAMPLED // max(sum(counts.values()), 1))
-    drawn = each.where(F.pmod(F.xxhash64("doc_id", "s.start", "s.end"), F.lit(1_000_000)) < share).select("s.features", "s.pattern")
-    # A hash sample of about SAMPLED candidates, and never over twice that.
-    rows = sorted((r["features"], likely[r["pattern"]]) for r in drawn.limit(2 * SAMPLED).collect())
+    # The SAMPLED candidates with the smallest hashes; those that tie in all of this are equal. The share spares the sort the rest.
+    share = min(1_000_000, 2_000_000 * SAMPLED // max(sum(counts.values()), 1) + 1)
+    hashed = each.select(F.pmod(F.xxhash64("doc_id", "s.start", "s.end"), F.lit(1_000_000)).alias("h"), "s.features", "s.pattern").where(F.col("h") < share)
+    drawn = hashed.orderBy("h", "pattern", "features").limit(SAMPLED).collect()
+    rows = sorted((r["features"], likely[r["pattern"]]) for r in drawn)
     weights = F.from_json(F.lit(json.dumps(train(rows).tolist())), "array<double>")
     score = lambda s: F.aggregate(s["features"], F.lit(0.0), lambda acc, f: acc + F.get(weights, f))
     edge = math.log(threshold / (1 - threshold))
-    return found.select("doc_id", F.filter("spans", lambda s: s["base"] | (score(s) >= edge)).alias("spans"))
+    return found.select("doc_id", F.filter("spans", lambda s: s["base"] | (score(s) > edge)).alias("spans"))
 
 
 def redact(text: str, spans: list) -> str:
