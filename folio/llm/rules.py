@@ -217,14 +217,16 @@ def base_failed() -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` with ``_base_failed`` and ``_kept``; every row has both, blank texts fail the base.
 
-    Columns of ``docs`` that have the name of a count or statistic are replaced.
+    Null texts count as empty. Very long texts are measured whole. Every row is judged by itself, so repeated
+    rows each have the same verdict and an empty table gives no rows; a statistic that equals a threshold
+    counts as not above it. Columns of ``docs`` that have the name of a count or statistic are replaced.
     """
     rules = learn(docs, labels)
     return measured(docs).withColumn("_base_failed", base_failed()).withColumn("_kept", ~F.col("_base_failed") & verdict(rules))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept; columns unchanged."""
+    """The documents that are kept; columns unchanged, also those with the name of a count. Otherwise as ``judge``."""
     return judge(wrapped(docs, "doc_id", "text"), labels).where("_kept").select("_row.*")
 
 

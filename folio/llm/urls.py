@@ -157,6 +157,13 @@ def build_cascade(listed: DataFrame, others: DataFrame, n: int | None = None, re
     return levels
 
 
+def _rule_keys(rules: DataFrame) -> DataFrame:
+    """``(key, verdict, length, labels)``: each listed key once, with its path's length and its host's labels."""
+    host, path = F.lower("host"), F.coalesce("path", F.lit(""))
+    named = rules.where("host is not null and verdict is not null").select(F.concat(host, path).alias("key"), "verdict", F.length(path).alias("length"), F.size(F.split("host", "[.]")).alias("labels"))
+    return named.groupBy("key").agg(F.max("verdict").alias("verdict"), F.max("length").alias("length"), F.max("labels").alias("labels"))
+
+
 def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` for each row of ``pages``.
 
@@ -165,11 +172,21 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> Da
     empty host and path, fit no rule and are allowed. Very long URLs are looked at whole: only the
     hosts' last labels and the starts of paths can be listed. Repeated rows each give a row, an
     empty table gives none. Columns other than page_id and url, whatever their names, are ignored.
+
+    ``rules`` is a sequence of (host, path, verdict) or, for long lists, a table with these columns, whose
+    keys meet the universe in a join. Either may be empty. Hosts are held in lower case, null
+    paths count as empty, rules without host or verdict are left out, and of two verdicts on one key block holds.
     """
     spark = pages.sparkSession
     small_batches(spark)
-    lengths = sorted({0, *(len(p) for _, p, _ in rules)})
-    labels = max(h.count(".") + 1 for h, _, _ in rules)
+    listed = _rule_keys(rules) if isinstance(rules, DataFrame) else None
+    if listed is None:
+        lengths = sorted({0, *(len(p) for _, p, _ in rules)})
+        labels = max((h.count(".") + 1 for h, _, _ in rules), default=1)
+    else:
+        # Two facts of the list: how long its paths are, each length once, and how many labels its hosts have at most.
+        shape = listed.agg(F.collect_set("length").alias("lengths"), F.max("labels").alias("labels")).first()
+        lengths, labels = sorted({0, *shape["lengths"]}), shape["labels"] or 1
     host, path = url_parts(F.col("url").cast("string"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))
     # No host or path prefix has a question mark, so words cannot be mistaken for them.
@@ -177,11 +194,15 @@ def judge_urls(pages: DataFrame, rules=RULES, blocked_words=BLOCKED_WORDS) -> Da
     keyed = parts.withColumn("keys", F.array_union(probe_keys(F.col("host"), F.col("path"), labels, lengths), words))
 
     # The complete universe of keys: each once, with what lists it.
-    kinds = F.lit(None).cast("string")
-    for verdict in ("allow", "block"):
-        kinds = F.when(F.col("key").isin([h + p for h, p, v in rules if v == verdict]), F.lit(verdict)).otherwise(kinds)
+    found = keyed.select(F.explode("keys").alias("key")).distinct()
+    if listed is None:
+        kinds = F.lit(None).cast("string")
+        for verdict in ("allow", "block"):
+            kinds = F.when(F.col("key").isin([h + p for h, p, v in rules if v == verdict]), F.lit(verdict)).otherwise(kinds)
+    else:
+        found, kinds = found.join(listed.select("key", "verdict"), "key", "left"), F.col("verdict")
     kinds = F.when(F.col("key").isin([f"?{w}" for w in blocked_words]), F.lit("word")).otherwise(kinds)
-    named = keyed.select(F.explode("keys").alias("key")).distinct().withColumn("kind", kinds)
+    named = found.withColumn("kind", kinds)
     every = cut(named.select("kind", _hashes(F.col("key")).alias("h")).select("kind", "h.*"))
     sizes = {r["kind"]: r["count"] for r in every.groupBy("kind").count().collect()}
     total = sum(sizes.values())
