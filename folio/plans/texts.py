@@ -284,12 +284,15 @@ def reading_excerpt(t):
 
 @query(
     "locate_quote",
-    """with q as (select doc_id, regexp_replace(substr(text, 31, 40), '\\s+', '', 'g') as quote, regexp_replace(text, '\\s+', '', 'g') as bare from {documents})
-       select doc_id, coalesce(quote <> '' and position(quote in bare) > 0, false) as found from q""",
+    r"""with q as (select doc_id, text, regexp_replace(substr(text, 31, 40), '\s+', '', 'g') as quote, regexp_replace(text, '\s+', '', 'g') as bare from {documents}),
+       f as (select *, length(bare) - length(quote) - strpos(reverse(bare), reverse(quote)) + 2 as first from q where quote <> '' and strpos(reverse(bare), reverse(quote)) > 0),
+       p as (select doc_id, quote, first, list_filter(list_transform(string_split(text, ''), lambda x, i: case when not regexp_matches(x, '^\s$') then i end), lambda i: i is not null) as places from f)
+       select doc_id, first is not null as found, cast(coalesce(places[first] - 1, -1) as integer) as start, cast(coalesce(places[first + length(quote) - 1], -1) as integer) as "end" from {documents} left join p using (doc_id)""",
 )
 def locate_quote(t):
+    """Forty characters of each text, in the whole of it; -1 where they are blank."""
     at = S.locate_quote(F.col("text"), F.substring("text", 31, 40))
-    return t.documents.select("doc_id", at.isNotNull().alias("found"))
+    return t.documents.select("doc_id", at.alias("at")).select("doc_id", F.col("at").isNotNull().alias("found"), F.col("at.start").alias("start"), F.col("at.end").alias("end")).fillna(-1)
 
 
 @query("math_regions")
