@@ -134,3 +134,42 @@ def test_late_sample_stream_equals_batch(spark, tmp_path):
     assert rows(X.drain(X.filter_late_sample(stream(spark, tmp_path, df), 20, 30)).select("event_id"), "event_id") == batch
     assert 0 < len(batch) < 165 and all(i % 20 <= 10 for (i,) in batch)
     assert len(rows(X.filter_late_sample(df, 20, 100), "event_id")) == 165
+
+
+def test_copies_of_ranges_change_no_merge(spark):
+    """The same ranges sixty times merge as they do once."""
+    from folio.operators.intervals import merge_ranges
+
+    rows = [("b", i % 3, i * 7 % 50, i * 7 % 50 + i % 9, "xyz"[i % 3 * i % 3]) for i in range(120)]
+    once = spark.createDataFrame(rows, "book_id string, chapter_key int, start long, end long, color string").distinct()
+    many = once.crossJoin(spark.range(60)).drop("id")
+    got = [sorted(map(tuple, merge_ranges(r, ["book_id", "chapter_key"]).collect())) for r in (once, many)]
+    assert got[0] == got[1] and got[0]
+
+
+def test_characters_meet_lore_in_cells(spark):
+    """A category with more rows than a cell, on both sides, beside a rare one: every pair once, in more than one task."""
+    from pyspark.sql import functions as F
+
+    from folio.operators import chat
+
+    c = spark.range(9000).select(F.col("id").alias("character_id"), F.expr("if(id = 5, array(' rare ', 'wide', 'wide'), array('wide', ''))").alias("categories"))
+    lore = spark.range(5000).select(F.col("id").alias("entry_id"), F.expr("if(id < 2, 'rare', 'wide')").alias("category"))
+    got = chat.bind_lore(c, lore)
+    n, pairs = got.agg(F.count("*"), F.approx_count_distinct(F.hash("character_id", "entry_id"))).first()
+    assert n == 9000 * 4998 + 2 and pairs > 0.9 * n
+    assert got.where("category = 'wide'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_a_name_of_many_personas_makes_no_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from folio.operators import chat
+
+    c = spark.range(3000).select(F.col("id").alias("character_id"), F.lit("a").alias("name"))
+    p = spark.range(2000).select((F.col("id") + 7).alias("persona_id"), F.array(F.lit("a"), F.lit("b")).alias("bound_roles"))
+    got = chat.bind_persona(c, p)
+    assert got.agg(F.count("*"), F.min("persona_id"), F.max("persona_id")).first() == (3000, 7, 7)
+    # The join's side of names is aggregated before it.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.rindex("Aggregate") and plan.count("Aggregate") == 2
