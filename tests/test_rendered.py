@@ -146,3 +146,19 @@ def test_archives_of_another_application(spark, tmp_path):
     with pytest.raises(ValueError, match="not an archive"):
         corpus.restore_archive(spark, f"file://{tmp_path}/a")
     assert corpus.restore_archive(spark, f"file://{tmp_path}/a", app_id="other")["t"].count() == 2
+
+
+def test_highlights_meet_pieces_of_their_chapter(spark):
+    """Highlights inside a piece, across its border, longer than one, before and beyond the text, and without an end, against slices of the rendered text."""
+    from folio.operators.intervals import PIECE, resolve_highlights
+
+    text = " ".join(f"w{i}é" for i in range(400)) + "\nlast line"
+    spans = [(0, 5), (PIECE - 3, PIECE + 4), (2 * PIECE - 1, 3 * PIECE - 1), (7, 3 * PIECE), (-9, 4), (-9, -2), (len(text) - 3, len(text) + 50), (len(text), len(text) + 5), (10**7, 10**7 + 3), (40, None), (9, 3), (0, 10**10)]
+    h = spark.createDataFrame([(1, k, i, s, e) for k in ("chapter-0", "full") for i, (s, e) in enumerate(spans)], "book_id long, chapter_key string, range_id long, start long, end long")
+    chapters = spark.createDataFrame([(1, 0, "T", text)], "book_id long, chapter_index int, title string, content string")
+    books = spark.createDataFrame([(1, text)], "book_id long, full_text string")
+    got = {(r["chapter_key"], r["range_id"]): r["text"] for r in resolve_highlights(h, chapters, books).collect()}
+    cut = {i: text[max(s, 0) : max(max(s, 0), len(text) if e is None else e)] for i, (s, e) in enumerate(spans)}
+    assert got == {(k, i): t for k in ("chapter-0", "full") for i, t in cut.items() if t.strip()}
+    # No row holds a copy of a chapter that is not needed: the join with pieces has the piece's number.
+    assert "_piece" in resolve_highlights(h, chapters, books)._jdf.queryExecution().optimizedPlan().toString()
