@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import WS, compact, fix_typography, heading_key, normalize_block, paragraphs, sanitize, strip
+from folio.functions.text import WS, compact, fix_typography, heading_key_of, heading_plain, heading_rest, let, normalize_block, paragraphs, sanitize, strip
+from folio.operators.staging import cut
 
 #: White space at the ends of a title.
 _BLANK = " \t\n\r\x0b\x0c\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
@@ -170,34 +171,53 @@ _TOC = r"(?i)table\s+of\s+contents|目\s*录"
 _PLACEHOLDER = r"(?i)^(chapter\s+\d+|table\s+of\s+contents|contents|目\s*录)?$"
 
 
-def _title_lines(content: Column) -> Column:
-    """Lines without page numbers and chapter marks."""
-    lines = F.transform(F.split(normalize_block(F.coalesce(content, F.lit(""))), "\n"), lambda x: strip(F.regexp_replace(compact(x), r"\s*[·•\-–—]?\s*\d{1,5}\s*$", "")))
-    return F.transform(lines, lambda x: strip(F.regexp_replace(x, r"(?i)^chapter\s+\d+\s*[:：.\-]?\s*", "")))
+#: What a text needs for a compacted line of it to have _TOC.
+_TOC_HINT = f"(?i)table{WS}+of{WS}+contents|目{WS}*录"
+#: No title is longer than this, not with a page number either.
+_LONG = 60
+
+
+def _title_line(line: Column) -> Column:
+    """A compacted line without page number and chapter mark; a long line, which is no title, stays."""
+    bare = strip(F.regexp_replace(line, r"\s*[·•\-–—]?\s*\d{1,5}\s*$", ""))
+    bare = strip(F.regexp_replace(bare, r"(?i)^chapter\s+\d+\s*[:：.\-]?\s*", ""))
+    return F.when((F.length(line) > _LONG) & ~line.rlike("(?i)^chapter"), line).otherwise(bare)
+
+
+def _usable(size: int) -> Callable[[Column], Column]:
+    return lambda x: (F.length(x) <= size) & (x != "") & ~x.rlike(r"^\d+$") & ~x.rlike(_TOC)
 
 
 def repair_chapter_titles(chapters: DataFrame) -> DataFrame:
-    """Placeholder titles from the chapter's first short line, else from the book's table of contents, which may go."""
-    usable = lambda size: lambda x: (x != "") & ~x.rlike(r"^\d+$") & ~x.rlike(_TOC) & (F.length(x) <= size)
-    lines = _title_lines(F.col("content"))
-    own = F.get(F.filter(lines, usable(36)), F.lit(0))
-    placeholder = compact(F.coalesce("title", F.lit(""))).rlike(_PLACEHOLDER)
-    c = chapters.withColumn("title", F.when(placeholder, F.coalesce(own, F.col("title"))).otherwise(F.col("title")))
-    all_lines = F.filter(F.transform(F.split(normalize_block(F.coalesce("content", F.lit(""))), "\n"), compact), lambda x: x != "")
-    header = F.array_position(F.transform(all_lines, lambda x: x.rlike(_TOC)), True)
-    after = F.when(header > 0, F.slice(_title_lines(F.array_join(all_lines, "\n")), header + 1, F.size(all_lines))).otherwise(F.array().cast("array<string>"))
-    titles = F.array_distinct(F.filter(after, lambda x: usable(42)(x) & ~x.rlike(r"^[-=._\s]+$")))
-    c = c.withColumn("_titles", titles).withColumn("_lines", all_lines)
-    toc_at = F.min(F.when(F.col("content").rlike(_TOC) & (F.size("_titles") >= 3), F.col("chapter_index"))).over(Window.partitionBy("book_id"))
-    c = c.withColumn("_toc", toc_at).withColumn("_is", F.coalesce(F.col("chapter_index") == F.col("_toc"), F.lit(False)))
-    still = compact(F.coalesce("title", F.lit(""))).rlike(_PLACEHOLDER)
-    rank = F.row_number().over(Window.partitionBy("book_id", (still & ~F.col("_is"))).orderBy("chapter_index"))
+    """Placeholder titles from the chapter's first short line, else from the book's table of contents, which may go.
+
+    Only books with a table of contents are brought together; chapters of others are looked at where they are.
+    """
+    whole = F.coalesce("content", F.lit(""))
+    is_open = lambda title: compact(F.coalesce(title, F.lit(""))).rlike(_PLACEHOLDER)
+    lines = F.transform(F.split(normalize_block(whole), "\n"), lambda x: let(compact(x), _title_line))
+    own = F.get(F.filter(lines, _usable(36)), F.lit(0))
+    c = chapters.withColumn("title", F.when(is_open(F.col("title")), F.coalesce(own, F.col("title"))).otherwise(F.col("title")))
+
+    hinted = F.col("content").rlike(_TOC_HINT)
+    all_lines = F.filter(F.transform(F.split(normalize_block(whole), "\n"), compact), lambda x: x != "")
+    after = lambda ls: let(F.array_position(F.transform(ls, lambda x: x.rlike(_TOC)), True), lambda at: F.when(at > 0, F.slice(F.transform(ls, _title_line), at.cast("int") + 1, F.size(ls))).otherwise(F.array().cast("array<string>")))
+    titles = lambda ls: F.array_distinct(F.filter(after(ls), lambda x: _usable(42)(x) & ~x.rlike(r"^[-=._\s]+$")))
+    listing = let(all_lines, lambda ls: F.struct(titles(ls).alias("_titles"), ls.alias("_lines")))
+    listing = F.when(hinted, listing)
+    found = chapters.where(hinted & F.col("content").rlike(_TOC)).select("book_id", "chapter_index", listing.alias("l")).where(F.size("l._titles") >= 3)
+    toc = cut(found.groupBy("book_id").agg(F.min("chapter_index").alias("_toc")))
+    plain = c.join(toc, "book_id", "left_anti").select("book_id", "chapter_index", "title", "content")
+
+    c = c.join(toc, "book_id").withColumn("_l", listing).select("*", "_l.*").withColumn("_is", F.col("chapter_index") == F.col("_toc"))
+    c = c.withColumn("_open", is_open(F.col("title")) & ~F.col("_is"))
+    rank = F.row_number().over(Window.partitionBy("book_id", "_open").orderBy("chapter_index"))
     listed = c.where("_is").select("book_id", F.posexplode("_titles").alias("_p", "_t")).select("book_id", (F.col("_p") + 1).alias("_rank"), "_t")
-    named = c.withColumn("_open", still & ~F.col("_is")).withColumn("_rank", F.when(F.col("_open"), rank)).join(listed, ["book_id", "_rank"], "left")
+    named = c.withColumn("_rank", F.when(F.col("_open"), rank)).join(listed, ["book_id", "_rank"], "left")
     short = F.size(F.filter("_lines", lambda x: F.length(strip(F.regexp_replace(x, r"\s*[·•\-–—]?\s*\d{1,5}\s*$", ""))) <= 24))
-    drop = F.col("_is") & (F.size("_titles") >= 5) & (F.size("_lines") >= 8) & (short / F.size("_lines") >= 0.6)
-    title = F.when(F.col("_is") & still, F.lit("目录")).otherwise(F.coalesce("_t", "title"))
-    return named.where(~drop).select("book_id", "chapter_index", title.alias("title"), "content")
+    drop = F.coalesce(F.col("_is") & (F.size("_titles") >= 5) & (F.size("_lines") >= 8) & (short / F.size("_lines") >= 0.6), F.lit(False))
+    title = F.when(F.col("_is") & is_open(F.col("title")), F.lit("目录")).otherwise(F.coalesce("_t", "title"))
+    return plain.unionByName(named.where(~drop).select("book_id", "chapter_index", title.alias("title"), "content"))
 
 
 def dedupe_toc(toc: DataFrame) -> DataFrame:
@@ -252,10 +272,13 @@ def title_paragraphs(p: Column, title: Column) -> Column:
     """How many leading paragraphs say what the title says: one, two short ones together, or none."""
     first = lambda i: F.get(p, F.lit(i))
     short = lambda i: (F.length(first(i)) <= 80) & ~first(i).rlike("[。！？!?]")
-    # The three keys by one expression, which is long, and once a row.
-    keys = F.transform(F.array(F.coalesce(title, F.lit("")), first(0), F.concat_ws(" ", first(0), first(1))), heading_key)
-    count_ = lambda k: F.when((k[0] != "") & (k[1] == k[0]), 1).when((k[0] != "") & (F.size(p) > 1) & short(0) & short(1) & (k[2] == k[0]), 2).otherwise(0)
-    return F.element_at(F.transform(F.array(keys), count_), 1)
+    both = F.when((F.size(p) > 1) & short(0) & short(1), heading_plain(F.concat_ws(" ", first(0), first(1))))
+    plain = F.array(heading_plain(F.coalesce(title, F.lit(""))), heading_plain(first(0)), both)
+    # Keys are long work on long texts, so only headings with the title's rest get one; the expression stands once, as it is long too.
+    like = lambda k: F.transform(k, lambda x: F.when(heading_rest(x) == heading_rest(k[0]), x))
+    said = lambda k: F.when(k[1] == k[0], 1).when(k[2] == k[0], 2).otherwise(0)
+    by_key = lambda k: F.when(k[1].isNotNull() | k[2].isNotNull(), let(F.transform(k, heading_key_of), said)).otherwise(0)
+    return let(plain, lambda k: F.when(k[0] == "", 0).when(k[1] == k[0], 1).otherwise(let(like(k), by_key)))
 
 
 def drop_title_paragraphs(chapters: DataFrame) -> DataFrame:
@@ -529,12 +552,14 @@ def cached_paragraphs(chunks: DataFrame, cache: DataFrame, titles: DataFrame | N
 
     Chapters without any chunk have no title either.
     """
+    # Texts meet by their digest, so that none is shuffled.
     keys = ["book_id", "chapter_index", "text"]
-    stored = cache.select("book_id", "chapter_index", F.col("chunk_text").alias("text"))
-    every = chunks.select(*keys, "paragraph_index")
+    digest = lambda text: F.sha2(text.cast("binary"), 256).alias("text")
+    stored = cache.select("book_id", "chapter_index", digest(F.col("chunk_text")))
+    every = chunks.select(*keys[:2], digest(F.col("text")), "paragraph_index")
     if titles is not None:
         read = titles.join(chunks.select("book_id", "chapter_index").distinct(), ["book_id", "chapter_index"], "left_semi")
-        every = every.unionByName(read.select("book_id", "chapter_index", strip(F.col("title")).alias("text"), F.lit(-1).cast(chunks.schema["paragraph_index"].dataType).alias("paragraph_index")).where("text <> ''"))
+        every = every.unionByName(read.where(strip(F.col("title")) != "").select(*keys[:2], digest(strip(F.col("title"))), F.lit(-1).cast(chunks.schema["paragraph_index"].dataType).alias("paragraph_index")))
     return every.join(stored, keys, "left_semi").select("book_id", "chapter_index", "paragraph_index").distinct()
 
 
@@ -555,6 +580,8 @@ def reading_excerpt(positions: DataFrame, books: DataFrame, n: int = 800) -> Dat
 
     Positions before or beyond the text count as its start or end; unknown books and null texts have an empty excerpt at 0.
     """
+    # Only books with a position are read.
+    books = books.join(positions.select("book_id").distinct(), "book_id", "left_semi")
     spans = split_sentences(books.select("book_id", F.col("full_text").alias("text")), ["book_id"])
     done = spans.where("boundary_type is not null")
     known = positions.join(books.select("book_id", F.coalesce(F.length("full_text"), F.lit(0)).alias("_n")), "book_id", "left")

@@ -183,3 +183,36 @@ def test_titles(spark):
     rows = [(1, 0, "Contents", toc), (1, 1, "Chapter 1", "x" * 50), (1, 2, "Chapter 2", "Short line\nmore"), (1, 3, "Real", "text")]
     got = {r["chapter_index"]: r["title"] for r in S.repair_chapter_titles(spark.createDataFrame(rows, "book_id long, chapter_index int, title string, content string")).collect()}
     assert got[2] == "Short line" and got[3] == "Real" and got[1].startswith("Part A")
+
+
+def test_rest_of_a_heading_is_kept_by_its_key(spark):
+    """Headings with one key have one rest, so no key is missed by looking at rests first."""
+    from pyspark.sql import functions as F
+
+    from folio.functions import text as T
+
+    heads = ["Chapter One", "chapter 1", "CHAPTER I.", "第一章 起", "第1章 起", "twenty and one dogs", "21 dogs", "mix five", "1009 5", "and", "", " . ", "One\u0085", "1\u0085 x", "hundred and mild did", "100 mild did", "十二回 a", "12回 a"]
+    df = spark.createDataFrame(list(enumerate(heads)), "i long, t string").select("t", T.heading_key(F.col("t")).alias("k"), T.heading_rest(T.heading_plain(F.col("t"))).alias("r"), T.heading_plain(F.col("t")).alias("p"))
+    rows = df.collect()
+    for a in rows:
+        assert (a.k == "") == (a.p == "")
+        assert all(a.r == b.r for b in rows if a.k == b.k), a
+    assert len({r.k for r in rows}) < len(heads) - 4
+
+
+def test_guards_change_no_text(spark):
+    """Texts with and without what a pattern needs, against the patterns on their own."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from folio.functions import text as T
+
+    random.seed(2)
+    texts = ["".join(random.choice(list("ab1 .,\n\r\t") + ["’", "“", "”", "　", " ", "＂", "ʼ", "  ", "\n\n"]) for _ in range(random.randint(0, 14))) for _ in range(1500)] + ["a b", "", None]
+    plain = lambda c: F.regexp_replace(c, f"^{T.WS}+|{T.WS}+$", "")
+    c = F.col("t")
+    block = plain(T._chain(T._chain(c, T._TYPOGRAPHY), T._BLOCK_SPACE))
+    squeezed = plain(F.regexp_replace(c, f"{T.WS}+", " "))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_block(c).alias("a"), block.alias("b"), T.compact(c).alias("x"), squeezed.alias("y"), T.strip(c).alias("m"), plain(c).alias("n"))
+    assert df.where("not (a <=> b and x <=> y and m <=> n)").count() == 0
