@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.functions.text import fnv1a32_value, sanitize
+from folio.functions.text import fnv1a32_value, let, sanitize
 from folio.operators.scoring import score_blocks
 from folio.operators.staging import cut, numbered
 
@@ -110,11 +110,17 @@ def note_query_text(note: Column, reply: Column, size: int = 1200) -> Column:
 
 def content_signature(chapters: DataFrame, strategy: str = "sentence-v1") -> DataFrame:
     """A hash of each book's chapters, from counts, titles, lengths, heads and tails; changes when the text does."""
-    text = sanitize(F.col("content"))
-    part = F.concat_ws("|", F.col("chapter_index"), F.coalesce("title", F.lit("")), F.length(text), F.substring(text, 1, 80), F.right(text, F.lit(80)))
+    return _signed(chapters, strategy).drop("_total")
+
+
+def _signed(chapters: DataFrame, strategy: str = "sentence-v1") -> DataFrame:
+    """Signature and clean length of each book, from one pass in which each text is cleaned once."""
+    said = lambda text: F.struct(F.length(text).alias("n"), F.substring(text, 1, 80).alias("head"), F.right(text, F.lit(80)).alias("tail"))
+    chapters = chapters.select("book_id", "chapter_index", "title", let(sanitize(F.col("content")), said).alias("_s"))
+    part = F.concat_ws("|", F.col("chapter_index"), F.coalesce("title", F.lit("")), F.col("_s.n"), F.col("_s.head"), F.col("_s.tail"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("chapter_index", part.alias("p")))), lambda s: s["p"])
     fed = F.concat(F.lit(strategy), F.count("*").cast("string"), F.array_join(parts, ""))
-    return chapters.groupBy("book_id").agg(F.lower(F.hex(fnv1a32_value(fed))).alias("content_signature"))
+    return chapters.groupBy("book_id").agg(F.lower(F.hex(fnv1a32_value(fed))).alias("content_signature"), F.sum(F.col("_s.n").cast("long")).alias("_total"))
 
 
 def build_index_meta(chunks: DataFrame, signatures: DataFrame, targets: DataFrame) -> DataFrame:
@@ -166,11 +172,8 @@ def embed(df: DataFrame, text_col: str, fn: Callable[[list[str]], list[list[floa
 
 def planned_refresh(books: DataFrame, chapters: DataFrame, meta: DataFrame) -> DataFrame:
     """What is to be done for ``books`` (book_id, target): ``(book_id, target, content_signature, indexed, rebuild)``, without those that need nothing."""
-    from folio.operators.intervals import chapter_offsets
-
     asked = chapters.join(books.select("book_id").distinct(), "book_id", "left_semi")
-    totals = chapter_offsets(asked).groupBy("book_id").agg(F.max("clean_total").alias("_total"))
-    wanted = books.groupBy("book_id").agg(F.max("target").alias("target")).join(totals, "book_id").join(content_signature(asked), "book_id")
+    wanted = books.groupBy("book_id").agg(F.max("target").alias("target")).join(_signed(asked), "book_id")
     wanted = cut(wanted.select("book_id", F.least("target", "_total").cast("long").alias("target"), "content_signature"))
     old = meta.select("book_id", "chunk_count", "indexed_up_to", F.col("content_signature").alias("_old"))
     met = needs_index(wanted, meta).where("needs_index").join(old, "book_id", "left")

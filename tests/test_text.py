@@ -216,3 +216,22 @@ def test_guards_change_no_text(spark):
     squeezed = plain(F.regexp_replace(c, f"{T.WS}+", " "))
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_block(c).alias("a"), block.alias("b"), T.compact(c).alias("x"), squeezed.alias("y"), T.strip(c).alias("m"), plain(c).alias("n"))
     assert df.where("not (a <=> b and x <=> y and m <=> n)").count() == 0
+
+
+def test_sanitized_texts_and_hashes_of_long_ones(spark):
+    """``sanitize`` against its patterns on their own; a hash of a long text takes no square of its length."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    from folio.functions import text as T
+
+    random.seed(5)
+    bits = ["<IMG src=x>", "DATA:image/png;base64,AA==", "IDB://a.b", "![x](idb://q)", "[图片：a]", " ", "\n", "\n\n\n", "\t", "a:b;c", "x", "　"]
+    df = spark.createDataFrame([("".join(random.choices(bits, k=random.randint(0, 9))),) for _ in range(800)], "t string")
+    old = F.regexp_replace(T._chain(F.col("t"), T._PROMPT_NOISE), f"^{T.WS}+|{T.WS}+$", "")
+    assert df.where(~T.sanitize(F.col("t")).eqNullSafe(old)).count() == 0
+    began = time.time()
+    assert spark.range(1).select(T.fnv1a32(F.repeat(F.lit("ab"), 100_000 + F.col("id").cast("int")))).first()[0]
+    assert time.time() - began < 20
