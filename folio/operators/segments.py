@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import count
 
 import pyarrow as pa
@@ -45,23 +44,26 @@ def _regex_cuts(text: str, regex: str | None) -> list[tuple[str, str]]:
     return [(_PREFACE, text[: starts[0]])] * (starts[0] > 0) + [(c.split("\n", 1)[0].strip(_BLANK), c) for c in parts]
 
 
-@lru_cache(maxsize=256)
 def _pattern(regex: str) -> re.Pattern | None:
     try:
+        # ``re`` keeps what it compiled. A cache by functools would be pickled by its name, and workers lack the package.
         return re.compile(f"((?:{re.sub(r'[(][?]<(?=[A-Za-z])', '(?P<', regex)}).*)", re.MULTILINE) if regex.strip() else None
     except re.error:
         return None
 
 
-def split_chapters_regex(books: DataFrame, regex: str | Column) -> DataFrame:
+def split_chapters_regex(books: DataFrame, regex: str | Column, keep_empty: bool = False) -> DataFrame:
     """Chapters that start at lines with a match; what stands before the first is the preface.
 
     A regex for all books is Java's and runs in the JVM; a column of regexes is split by Python's engine, which
     takes each in turn. A book without matches, a blank regex or one that its engine does not take gives one chapter of
-    the whole text, and does not touch other books.
+    the whole text, and does not touch other books. An empty text has no chapter, or with ``keep_empty`` one that is empty;
+    a null never has one.
     """
     if isinstance(regex, Column):
-        return per_text(books.withColumn("_regex", regex), ["book_id"], "full_text", lambda t, r: [(i, *c) for i, c in enumerate(_regex_cuts(t, r))], "chapter_index int, title string, content string", ("_regex",))
+        least = [(_WHOLE, "")] * keep_empty
+        own = books.where("full_text is not null").withColumn("_regex", regex)
+        return per_text(own, ["book_id"], "full_text", lambda t, r: [(i, *c) for i, c in enumerate(_regex_cuts(t, r) or least)], "chapter_index int, title string, content string", ("_regex",))
     text = F.coalesce("full_text", F.lit(""))
     whole = F.array(F.struct(F.lit(_WHOLE).alias("title"), text.alias("content")))
     usable = _java_compiles(books.sparkSession, regex)
@@ -144,8 +146,11 @@ def split_chapters_heading(blocks: DataFrame) -> DataFrame:
     return made.withColumn("_n", n).select("book_id", (F.col("_n") - 1).alias("chapter_index"), F.coalesce(F.nullif("_t", F.lit("")), F.concat(F.lit("第 "), "_n", F.lit(" 章"))).alias("title"), "content")
 
 
-def resolve_chapters(books: DataFrame, structured: DataFrame) -> DataFrame:
-    """By size where a book asks for 500 characters or more, else its own structure, else its regex."""
+def resolve_chapters(books: DataFrame, structured: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """By size where a book asks for 500 characters or more, else its own structure, else its regex.
+
+    ``keep_empty`` is that of ``split_chapters_regex``.
+    """
     sized = books.where("chapter_char_count >= 500")
     rest = books.where("coalesce(chapter_char_count, 0) < 500")
     own = structured.join(rest.select("book_id"), "book_id", "left_semi")
@@ -154,7 +159,7 @@ def resolve_chapters(books: DataFrame, structured: DataFrame) -> DataFrame:
         sized, ["book_id"], "full_text", lambda t, n: [(i, *c) for i, c in enumerate(_size_cuts(t, n))], "chapter_index int, title string, content string", ("chapter_char_count",)
     )
     out = own.select("book_id", "chapter_index", "title", "content").unionByName(by_size)
-    return out.unionByName(split_chapters_regex(plain, F.col("chapter_regex")))
+    return out.unionByName(split_chapters_regex(plain, F.col("chapter_regex"), keep_empty))
 
 
 def merge_text_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
