@@ -73,8 +73,8 @@ def split_chapters_regex(books: DataFrame, regex: str | Column, keep_empty: bool
     head = F.element_at(cut, 1)
     rest = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda c: F.struct(strip(F.substring_index(c, "\n", 1)).alias("title"), c.alias("content")))
     first = F.when(head != "", F.array(F.struct(F.lit(_PREFACE).alias("title"), head.alias("content")))).otherwise(F.array().cast("array<struct<title:string,content:string>>"))
-    found = F.when(F.size(cut) > 1, F.concat(first, rest)).otherwise(whole)
-    return books.where("coalesce(full_text, '') <> ''").select("book_id", F.posexplode(found).alias("chapter_index", "c")).select("book_id", "chapter_index", "c.title", "c.content")
+    found = F.when((F.size(cut) > 1) & (text != ""), F.concat(first, rest)).otherwise(whole)
+    return books.where("full_text is not null" if keep_empty else "coalesce(full_text, '') <> ''").select("book_id", F.posexplode(found).alias("chapter_index", "c")).select("book_id", "chapter_index", "c.title", "c.content")
 
 
 def per_text(df: DataFrame, keys: list[str], text: str, fn: Callable[..., list[tuple]], schema: str, args: tuple[str, ...] = ()) -> DataFrame:

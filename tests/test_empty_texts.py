@@ -6,6 +6,7 @@ import sys
 import duckdb
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from folio.operators import segments
 from folio.plans import registry
@@ -24,7 +25,7 @@ def folder(tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["resolve_chapters"])
+@pytest.mark.parametrize("name", ["resolve_chapters", "split_chapters_regex"])
 def test_query_over_empty_texts(spark, folder, name):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{folder}/documents.parquet'")
@@ -39,3 +40,12 @@ def test_the_split_by_a_column_runs_where_the_package_is_absent(tmp_path):
     code = "import pickle, sys; print(len(pickle.load(sys.stdin.buffer)('a\\nb\\na', '^a')))"
     done = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(segments._regex_cuts), cwd=tmp_path, env={}, capture_output=True, check=False)
     assert done.stdout.split() == [b"2"], done.stderr.decode()
+
+
+@pytest.mark.parametrize("regex", ["^The ", "x*", "(", None])
+def test_a_kept_empty_text_is_one_chapter(spark, regex):
+    regex = regex or F.lit("x*")
+    books = spark.createDataFrame([(1, ""), (2, None)], "book_id long, full_text string")
+    got = segments.split_chapters_regex(books, regex, keep_empty=True)
+    assert list(map(tuple, got.collect())) == [(1, 0, "全文", "")]
+    assert segments.split_chapters_regex(books, regex).count() == 0
